@@ -7,9 +7,10 @@ token) pairs. So texts of similarity s share a node at depth d of one tree with
 q(d + 1) = 1 - (1 - s q(d)) ^ BRANCH: over 0.88 at any depth for s = 0.75, hence below 1e-5 to be missed by all trees.
 Nodes of up to ``SMALL`` texts end the recursion; larger ones branch to depth ``DEPTH``.
 
-Nodes are compared exhaustively up to components: first every member with the node's smallest member, then, where
-members of other components are left over, each of those with all members of other components. Comparisons first use
-the minwise estimate (over 4 standard deviations below the threshold to fail), then the full sets, exactly.
+Nodes are compared exhaustively up to components: first every member with the node's smallest member; then, ``ROUNDS``
+times, every member left in another component with the likeliest member of any component but its own; last, each that
+is still left over with all members of other components. Comparisons first use the minwise estimate (over 4 standard
+deviations below the threshold to fail), then the full sets, exactly.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ from . import words as w
 from .components import components
 
 SHINGLE, THRESHOLD = 5, 75
-TREES, BRANCH, START, DEPTH, SMALL, WIDTH = 6, 2, 2, 4, 64, 96
-ESTIMATE = 0.55
+TREES, BRANCH, START, DEPTH, SMALL, WIDTH = 6, 2, 2, 4, 64, 128
+ESTIMATE, ROUNDS = 0.58, 2
 CHUNK = 512
 FILTER_BITS = 1 << 23
 U = w.U
@@ -104,9 +105,9 @@ def _close(batches):
         yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(est)], ["a", "b", "est"]).filter(keep)
 
 
-def _left_over(batches):
-    """Rows sorted by g: within each, pairs of one left over (side 1) and any member of another component."""
-    held = None
+def _left_over(all_of_them: bool):
+    """Rows sorted by g: within each, pairs of one left over (side 1) and members of another component (side 0): all that
+    are close, or for each left over the closest."""
 
     def pairs(t):
         g = t["g"].to_numpy()
@@ -115,30 +116,33 @@ def _left_over(batches):
         out = [np.zeros((2, 0), np.int64)]
         for lo, hi in zip(cut[:-1], cut[1:], strict=True):
             x, y = lo + np.flatnonzero(side[lo:hi] == 1), lo + np.flatnonzero(side[lo:hi] == 0)
-            for k in range(0, len(x), 64):
-                z = x[k : k + 64]
-                ok = comp[z][:, None] != comp[y][None, :]
-                if ok.any():
-                    i, j = np.nonzero(ok)
-                    for m in range(0, len(i), 1 << 14):
-                        p, q = z[i[m : m + (1 << 14)]], y[j[m : m + (1 << 14)]]
-                        near = (sig[p] == sig[q]).mean(axis=1) >= ESTIMATE
-                        out.append(np.stack([np.minimum(rep[p[near]], rep[q[near]]), np.maximum(rep[p[near]], rep[q[near]])]))
-        a, b = np.unique(np.concatenate(out, axis=1), axis=1) if len(out) > 1 else out[0]
+            theirs = sig[y]
+            for i in x:
+                est = np.where(comp[y] != comp[i], (theirs == sig[i]).mean(axis=1), 0)
+                near = np.flatnonzero(est >= ESTIMATE)
+                if len(near) and not all_of_them:
+                    near = near[[est[near].argmax()]]
+                other = rep[y[near]]
+                out.append(np.stack([np.minimum(rep[i], other), np.maximum(rep[i], other)]))
+        a, b = np.unique(np.concatenate(out, axis=1), axis=1)
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    for batch in batches:
-        t = pa.Table.from_batches([batch])
-        t = pa.concat_tables([held, t]).combine_chunks() if held is not None and len(held) else t
-        if not len(t):
-            continue
-        g = t["g"].to_numpy()
-        last = int(np.flatnonzero(g != g[-1])[-1]) + 1 if g[0] != g[-1] else 0
-        if last:
-            yield pairs(t.slice(0, last))
-        held = t.slice(last)
-    if held is not None and len(held):
-        yield pairs(held)
+    def run(batches):
+        held = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            t = pa.concat_tables([held, t]).combine_chunks() if held is not None and len(held) else t
+            if not len(t):
+                continue
+            g = t["g"].to_numpy()
+            last = int(np.flatnonzero(g != g[-1])[-1]) + 1 if g[0] != g[-1] else 0
+            if last:
+                yield pairs(t.slice(0, last))
+            held = t.slice(last)
+        if held is not None and len(held):
+            yield pairs(held)
+
+    return run
 
 
 def _sets(bits):
@@ -191,6 +195,23 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, scratch: Scratch, name: str) -
     return out
 
 
+def _candidates(groups: DataFrame, comp: DataFrame, sigs: DataFrame, all_of_them: bool) -> DataFrame:
+    """Pairs (a, b) of a member outside the component of its group's pivot and a member outside its own component.
+
+    Groups are cut into chunks of about CHUNK members on either side, so that no task holds a whole large group.
+    """
+    of = lambda c: comp.select(F.col("node").alias(c), F.col("component").alias(f"{c}_comp"))
+    seen = groups.join(of("rep"), "rep", "left").join(of("pivot"), "pivot", "left").select("pivot", "rep", F.coalesce("rep_comp", "rep").alias("comp"), F.coalesce("pivot_comp", "pivot").alias("pcomp"))
+    per = seen.groupBy("pivot").agg(F.count("*").alias("size"), F.count_if(F.col("comp") != F.col("pcomp")).alias("odd")).where("odd > 0")
+    seen = seen.join(per, "pivot")
+    parts, odd_parts = (F.ceil(F.col(c) / CHUNK).cast("int") for c in ("size", "odd"))
+    spread = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
+    mine = seen.where("comp <> pcomp").select("pivot", "rep", "comp", F.lit(1).alias("side"), spread(odd_parts).alias("i"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("j"))
+    theirs = seen.select("pivot", "rep", "comp", F.lit(0).alias("side"), F.explode(F.sequence(F.lit(0), odd_parts - 1)).alias("i"), spread(parts).alias("j"))
+    grid = mine.unionByName(theirs).select(F.xxhash64("pivot", "i", "j").alias("g"), "rep", "comp", "side").join(sigs, "rep")
+    return grid.repartition("g").sortWithinPartitions("g").mapInArrow(_left_over(all_of_them), "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text; other columns are ignored).
 
@@ -221,30 +242,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     for x in ends[1:]:
         members = members.unionByName(x)
 
-    # every member with the smallest of its node; for each the likeliest of them is confirmed first
-    star = members.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
+    # nodes with the same smallest member are one group; every member with that one, for each the likeliest
+    groups = scratch.save(members.select("pivot", "rep").distinct(), "groups")
+    star = groups.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
     star = star.join(sigs.toDF("a", "sa"), "a").join(sigs.toDF("b", "sb"), "b")
     best = star.mapInArrow(_close, "a long, b long, est double").groupBy("b").agg(F.max_by("a", F.struct("est", -F.col("a"))).alias("a"))
     links = _confirmed(docs, scratch.save(best.select("a", "b"), "star"), scratch, "star")
-    comp = scratch.save(components(links, scratch, "star_cc"), "comp")
 
-    # members outside the component of their node's smallest, with all members outside their own component
-    of = lambda c: comp.select(F.col("node").alias(c), F.col("component").alias(f"{c}_comp"))
-    seen = members.join(of("rep"), "rep", "left").join(of("pivot"), "pivot", "left").select("node", "rep", "size", F.coalesce("rep_comp", "rep").alias("comp"), F.coalesce("pivot_comp", "pivot").alias("pcomp"))
-    seen = scratch.save(seen, "seen")
-    odd = seen.where("comp <> pcomp")
-    per = odd.groupBy("node").agg(F.count("*").alias("odd"))
-    parts = F.ceil(F.col("size") / CHUNK).cast("int")
-    odd_parts = F.ceil(F.col("odd") / CHUNK).cast("int")
-    spread = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
-    mine = odd.join(per, "node").select("node", "rep", "comp", F.lit(1).alias("side"), spread(odd_parts).alias("i"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("j"))
-    theirs = seen.join(per, "node").select("node", "rep", "comp", F.lit(0).alias("side"), F.explode(F.sequence(F.lit(0), odd_parts - 1)).alias("i"), spread(parts).alias("j"))
-    grid = mine.unionByName(theirs).select(F.xxhash64("node", "i", "j").alias("g"), "rep", "comp", "side").join(sigs, "rep")
-    rest = grid.repartition("g").sortWithinPartitions("g").mapInArrow(_left_over, "a long, b long").distinct()
-    more = _confirmed(docs, scratch.save(rest, "rest"), scratch, "rest")
-    ids = scratch.save(components(links.unionByName(more), scratch, "cc"), "ids").toDF("rep", "component")
+    for k in range(ROUNDS + 1):
+        comp = components(links, scratch, f"cc_{k}")
+        rest = scratch.save(_candidates(groups, comp, sigs, k == ROUNDS), f"rest_{k}")
+        if rest.isEmpty():
+            break
+        links = links.unionByName(_confirmed(docs, rest, scratch, f"rest_{k}"))
+    ids = scratch.save(components(links, scratch, "cc"), "ids").toDF("rep", "component")
     whose = reps.select("f1", "f2", "n", "rep").join(ids, "rep", "left").select("f1", "f2", "n", F.coalesce("component", "rep").alias("component"))
     out = rows.select("doc_id", "n", "f1", "f2").join(whose, ["f1", "f2", "n"], "left")
-    scratch.drop("seen", "star", "rest", "comp", *(f"full_{d}" for d in range(START, DEPTH + 1)))
+    scratch.drop("star", "groups", *(f"rest_{k}" for k in range(ROUNDS + 1)), *(f"full_{d}" for d in range(START, DEPTH + 1)))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
