@@ -277,6 +277,24 @@ def _merged(batches):
         yield pa.RecordBatch.from_pylist(rows, pa.schema([("doc_id", pa.int64()), ("f", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.int64()))]))
 
 
+def _clean(shared):
+    def run(batches):
+        for rows, shard in _shards(shared.value, batches):
+            keep = pa.array(shard.judge()[0] == 0)
+            yield from pa.Table.from_batches(rows).filter(keep).combine_chunks().to_batches()
+
+    return run
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, columns: list[str], n: int = WINDOW) -> DataFrame:
+    """The rows of ``docs`` without any occurrence of a window, in one pass for each slice of the benchmark."""
+    spark, out = docs.sparkSession, docs.select(*columns)
+    ship(spark)
+    for b in slices(benchmark, n):
+        out = out.mapInArrow(_clean(spark.sparkContext.broadcast(b)), out.schema)
+    return out
+
+
 def _longest(shared, column):
     def run(batches):
         bench = shared.value

@@ -6,12 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_model
+from . import decontaminate, language_model, mixing, packing
 from .near_dups import near_duplicates
 from .substrings import remove_repeats
 from .toxicity import toxicity
 
 
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The schedule of a mixture in which every source is taken at least once and none more than twice."""
+    rows, _ = mixing.mix(spark.read.parquet(f"{sf_dir}/documents.parquet"), max_repeats=2.0)
+    return rows.select("doc_id", "source", "n_tokens", "epoch", "block_key", "doc_key")
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -20,6 +26,10 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op7_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -34,8 +44,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_source_mixing": op1_source_mixing,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op5_lm_scoring": op5_lm_scoring,
+    "op7_token_packing": op7_token_packing,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_toxicity": op10_toxicity,

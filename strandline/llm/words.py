@@ -105,13 +105,17 @@ def words_of(raw: np.ndarray, offs: np.ndarray, kind: np.ndarray, lower: bool, f
     at = np.searchsorted(starts, offs)
     h = None
     if hashed:
-        up, down = _pow(n)
-        total = np.zeros(n + 1, U)
-        np.cumsum(_BYTE[data] * up[:n], out=total[1:])
-        h = mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U))
+        h = span_hashes(data, starts, ends)
     return Words(first, data, starts, ends, at, h)
 
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    up, down = _pow(len(data))
+    total = np.zeros(len(data) + 1, U)
+    np.cumsum(_BYTE[data] * up[: len(data)], out=total[1:])
+    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U))
+
+
 def blocks(col: pa.Array | pa.ChunkedArray, kind: np.ndarray, lower: bool, size: int = 1 << 18, hashed: bool = True) -> Iterator[Words]:
     """All texts of a column, some texts at a time, so that memory stays near ``size`` bytes or one text."""
     raw, offs = column_bytes(col)
