@@ -16,8 +16,8 @@ def bitmap(rows: DataFrame, *keys: str):
     """A broadcast of BITS bits (1 MB whatever the input; when it fills up, it only passes more rows)."""
     spark, bits = rows.sparkSession, np.zeros(BITS // 32, np.uint32)
     h = rows.select(place(*keys).alias("h"))
-    for r in h.groupBy(F.shiftright("h", 5).alias("k")).agg(F.bit_or(F.expr("shiftleft(1L, int(h % 32))")).alias("v")).toLocalIterator():
-        bits[r.k] = r.v
+    cells = h.groupBy(F.shiftright("h", 5).alias("k")).agg(F.bit_or(F.expr("shiftleft(1L, int(h % 32))")).alias("v")).toArrow()
+    bits[cells["k"].to_numpy()] = cells["v"].to_numpy()
     return spark.sparkContext.broadcast(bits)
 
 

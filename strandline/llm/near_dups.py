@@ -7,10 +7,9 @@ token) pairs. So texts of similarity s share a node at depth d of one tree with
 q(d + 1) = 1 - (1 - s q(d)) ^ BRANCH: over 0.88 at any depth for s = 0.75, hence below 1e-5 to be missed by all trees.
 Nodes of up to ``SMALL`` texts end the recursion; larger ones branch to depth ``DEPTH``.
 
-Nodes are compared exhaustively up to components: first every member with the node's smallest member; then, ``ROUNDS``
-times, every member left in another component with the likeliest member of any component but its own; last, each that
-is still left over with all members of other components. Comparisons first use the minwise estimate (over 4 standard
-deviations below the threshold to fail), then the full sets, exactly.
+Nodes are compared exhaustively up to components: first every member with the node's smallest member; then every member
+left in another component with all members of components other than its own. Comparisons first use the minwise estimate
+(over 4 standard deviations below the threshold to fail), then the full sets, exactly.
 """
 
 from __future__ import annotations
@@ -21,13 +20,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..runtime import Scratch, ship
 from . import words as w
+from .bitmap import bitmap, passes, place
 from .components import components
 
 SHINGLE, THRESHOLD = 5, 75
 TREES, BRANCH, START, DEPTH, SMALL, WIDTH = 6, 2, 2, 4, 64, 128
-ESTIMATE, ROUNDS = 0.58, 2
+ESTIMATE = 0.58
 CHUNK = 512
-FILTER_BITS = 1 << 23
 U = w.U
 _rng = np.random.default_rng(7)
 _A = _rng.integers(0, 2**63, WIDTH, dtype=U) * U(2) + U(1)
@@ -105,27 +104,8 @@ def _close(batches):
         yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(est)], ["a", "b", "est"]).filter(keep)
 
 
-def _left_over(all_of_them: bool):
-    """Rows sorted by g: within each, pairs of one left over (side 1) and members of another component (side 0): all that
-    are close, or for each left over the closest."""
-
-    def pairs(t):
-        g = t["g"].to_numpy()
-        cut = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1], [True]]))
-        rep, comp, side, sig = t["rep"].to_numpy(), t["comp"].to_numpy(), t["side"].to_numpy(), _matrix(t["sig"])
-        out = [np.zeros((2, 0), np.int64)]
-        for lo, hi in zip(cut[:-1], cut[1:], strict=True):
-            x, y = lo + np.flatnonzero(side[lo:hi] == 1), lo + np.flatnonzero(side[lo:hi] == 0)
-            theirs = sig[y]
-            for i in x:
-                est = np.where(comp[y] != comp[i], (theirs == sig[i]).mean(axis=1), 0)
-                near = np.flatnonzero(est >= ESTIMATE)
-                if len(near) and not all_of_them:
-                    near = near[[est[near].argmax()]]
-                other = rep[y[near]]
-                out.append(np.stack([np.minimum(rep[i], other), np.maximum(rep[i], other)]))
-        a, b = np.unique(np.concatenate(out, axis=1), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+def _by_group(judge):
+    """Runs ``judge`` on tables of whole groups, from rows sorted by g."""
 
     def run(batches):
         held = None
@@ -137,29 +117,78 @@ def _left_over(all_of_them: bool):
             g = t["g"].to_numpy()
             last = int(np.flatnonzero(g != g[-1])[-1]) + 1 if g[0] != g[-1] else 0
             if last:
-                yield pairs(t.slice(0, last))
+                yield from judge(t.slice(0, last).combine_chunks()).to_batches()
             held = t.slice(last)
         if held is not None and len(held):
-            yield pairs(held)
+            yield from judge(held.combine_chunks()).to_batches()
 
     return run
 
 
+def _sides(t: pa.Table):
+    """For each group, the rows left over (side 1) and the other rows (side 0)."""
+    g, side = t["g"].to_numpy(), t["side"].to_numpy()
+    cut = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1], [True]]))
+    for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+        yield lo + np.flatnonzero(side[lo:hi] == 1), lo + np.flatnonzero(side[lo:hi] == 0)
+
+
+def _closeness(t: pa.Table) -> pa.Table:
+    """Rows with a close row of another component on the other side of their group."""
+    comp, sig, keep = t["comp"].to_numpy(), _matrix(t["sig"]), np.zeros(len(t), bool)
+    for x, y in _sides(t):
+        theirs = sig[y]
+        for i in x:
+            near = ((theirs == sig[i]).mean(axis=1) >= ESTIMATE) & (comp[y] != comp[i])
+            keep[i] |= near.any()
+            keep[y[near]] = True
+    return t.filter(pa.array(keep))
+
+
+def _linked(t: pa.Table) -> pa.Table:
+    """Links between components, as many as join what can be joined: no pair of members already joined here is compared."""
+    rep, comp, sig = t["rep"].to_numpy(), t["comp"].to_numpy(), _matrix(t["sig"])
+    raw, offs = w.column_bytes(t["shingles"])
+    sets = [np.frombuffer(raw[a:b].tobytes(), U) for a, b in zip(offs[:-1], offs[1:], strict=True)]
+    size, out = np.array([len(s) for s in sets]), []
+    for x, y in _sides(t):
+        label, theirs = comp.copy(), sig[y]
+        for i in x:
+            near = y[((theirs == sig[i]).mean(axis=1) >= ESTIMATE) & (label[y] != label[i])]
+            for k in range(0, len(near), 64):
+                js = near[k : k + 64]
+                js = js[(label[js] != label[i]) & (100 * np.minimum(size[js], size[i]) >= THRESHOLD * np.maximum(size[js], size[i]))]
+                if not len(js):
+                    continue
+                at, both = np.cumsum(size[js]) - size[js], np.concatenate([sets[j] for j in js])
+                k_ = np.minimum(np.searchsorted(sets[i], both), size[i] - 1)
+                n = np.add.reduceat((sets[i][k_] == both).astype(np.int64), at)
+                for j in js[100 * n >= THRESHOLD * (size[js] + size[i] - n)]:
+                    if label[j] != label[i]:
+                        out.append((min(rep[i], rep[j]), max(rep[i], rep[j])))
+                        label[label == label[j]] = label[i]
+    a, b = zip(*out, strict=True) if out else ((), ())
+    return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
 def _sets(bits):
     def run(batches):
-        wanted = bits.value
         for batch in batches:
-            ids = batch["doc_id"].to_numpy(zero_copy_only=False)
-            if not batch["doc_id"].null_count:
-                at = batch["h"].to_numpy()
-                batch = batch.filter(pa.array((wanted[at >> 5] >> (at & 31).astype(np.uint32)) & 1 == 1))
-                ids = batch["doc_id"].to_numpy(zero_copy_only=False)
-            if len(ids):
+            batch = batch.filter(pa.array(passes(bits.value, batch["h"].to_numpy())))
+            if len(batch):
                 yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([s.tobytes() for s in shingle_sets(batch["text"])], pa.binary())], ["doc_id", "shingles"])
 
     return run
 
 
+def _full_sets(docs: DataFrame, ids: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """(doc_id, shingles) of some ids. A bitmap of fixed size keeps most other texts from going over the network; an exact
+    join follows it, so the bitmap decides nothing."""
+    ids = scratch.save(ids.distinct(), f"{name}_ids")
+    sets = docs.where("doc_id is not null").select("doc_id", "text", place("doc_id").alias("h")).mapInArrow(_sets(bitmap(ids, "doc_id")), "doc_id long, shingles binary")
+    return scratch.save(sets.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), f"{name}_sets")
+
+
 def _agree(threshold):
     def run(batches):
         for batch in batches:
@@ -174,32 +203,9 @@ def _agree(threshold):
     return run
 
 
-def _confirmed(docs: DataFrame, pairs: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose full sets reach the threshold.
-
-    A bitmap of fixed size (1 MB) of the ids concerned keeps most other texts from being read twice over the network;
-    an exact join follows it, so the bitmap decides nothing.
-    """
-    spark = scratch.spark
-    ids = scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), f"{name}_ids")
-    h = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).cast("long")
-    bits = np.zeros(FILTER_BITS // 32, np.uint32)
-    for r in ids.select(h.alias("h")).groupBy(F.shiftright("h", 5).alias("k")).agg(F.bit_or(F.expr("shiftleft(1L, int(h % 32))")).alias("v")).toLocalIterator():
-        bits[r.k] = r.v
-    wanted = spark.sparkContext.broadcast(bits)
-    sets = docs.where("doc_id is not null").select("doc_id", "text", h.alias("h")).mapInArrow(_sets(wanted), "doc_id long, shingles binary")
-    sets = scratch.save(sets.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), f"{name}_sets")
-    full = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("xa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("xb")), "b")
-    out = scratch.save(full.mapInArrow(_agree(THRESHOLD), "a long, b long"), f"{name}_links")
-    scratch.drop(f"{name}_ids", f"{name}_sets")
-    return out
-
-
-def _candidates(groups: DataFrame, comp: DataFrame, sigs: DataFrame, all_of_them: bool) -> DataFrame:
-    """Pairs (a, b) of a member outside the component of its group's pivot and a member outside its own component.
-
-    Groups are cut into chunks of about CHUNK members on either side, so that no task holds a whole large group.
-    """
+def _grid(groups: DataFrame, comp: DataFrame) -> DataFrame:
+    """(g, rep, comp, side): in each g, members outside the component of their group's pivot (side 1), and members to
+    compare those with. Groups are cut into chunks of about CHUNK on either side, so that no task holds a large group."""
     of = lambda c: comp.select(F.col("node").alias(c), F.col("component").alias(f"{c}_comp"))
     seen = groups.join(of("rep"), "rep", "left").join(of("pivot"), "pivot", "left").select("pivot", "rep", F.coalesce("rep_comp", "rep").alias("comp"), F.coalesce("pivot_comp", "pivot").alias("pcomp"))
     per = seen.groupBy("pivot").agg(F.count("*").alias("size"), F.count_if(F.col("comp") != F.col("pcomp")).alias("odd")).where("odd > 0")
@@ -208,8 +214,7 @@ def _candidates(groups: DataFrame, comp: DataFrame, sigs: DataFrame, all_of_them
     spread = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
     mine = seen.where("comp <> pcomp").select("pivot", "rep", "comp", F.lit(1).alias("side"), spread(odd_parts).alias("i"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("j"))
     theirs = seen.select("pivot", "rep", "comp", F.lit(0).alias("side"), F.explode(F.sequence(F.lit(0), odd_parts - 1)).alias("i"), spread(parts).alias("j"))
-    grid = mine.unionByName(theirs).select(F.xxhash64("pivot", "i", "j").alias("g"), "rep", "comp", "side").join(sigs, "rep")
-    return grid.repartition("g").sortWithinPartitions("g").mapInArrow(_left_over(all_of_them), "a long, b long").distinct()
+    return mine.unionByName(theirs).select(F.xxhash64("pivot", "i", "j").alias("g"), "rep", "comp", "side")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -247,17 +252,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     star = groups.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
     star = star.join(sigs.toDF("a", "sa"), "a").join(sigs.toDF("b", "sb"), "b")
     best = star.mapInArrow(_close, "a long, b long, est double").groupBy("b").agg(F.max_by("a", F.struct("est", -F.col("a"))).alias("a"))
-    links = _confirmed(docs, scratch.save(best.select("a", "b"), "star"), scratch, "star")
-
-    for k in range(ROUNDS + 1):
-        comp = components(links, scratch, f"cc_{k}")
-        rest = scratch.save(_candidates(groups, comp, sigs, k == ROUNDS), f"rest_{k}")
-        if rest.isEmpty():
-            break
-        links = links.unionByName(_confirmed(docs, rest, scratch, f"rest_{k}"))
+    star = scratch.save(best.select("a", "b"), "star")
+    sets = _full_sets(docs, star.select(F.explode(F.array("a", "b")).alias("doc_id")), scratch, "star")
+    full = star.join(sets.toDF("a", "xa"), "a").join(sets.toDF("b", "xb"), "b")
+    links = scratch.save(full.mapInArrow(_agree(THRESHOLD), "a long, b long"), "star_links")
+
+    # what is left over
+    comp = scratch.save(components(links, scratch, "star_cc"), "comp")
+    row = "g long, rep long, comp long, side int"
+    rest = _grid(groups, comp).join(sigs, "rep").repartition("g").sortWithinPartitions("g").select("g", "rep", "comp", "side", "sig")
+    rest = scratch.save(rest.mapInArrow(_by_group(_closeness), f"{row}, sig binary"), "rest")
+    sets = _full_sets(docs, rest.select(F.col("rep").alias("doc_id")), scratch, "rest")
+    full = rest.join(sets.withColumnRenamed("doc_id", "rep"), "rep").repartition("g").sortWithinPartitions("g").select("g", "rep", "comp", "side", "sig", "shingles")
+    more = scratch.save(full.mapInArrow(_by_group(_linked), "a long, b long"), "more_links")
+    links = links.unionByName(more)
     ids = scratch.save(components(links, scratch, "cc"), "ids").toDF("rep", "component")
     whose = reps.select("f1", "f2", "n", "rep").join(ids, "rep", "left").select("f1", "f2", "n", F.coalesce("component", "rep").alias("component"))
     out = rows.select("doc_id", "n", "f1", "f2").join(whose, ["f1", "f2", "n"], "left")
-    scratch.drop("star", "groups", *(f"rest_{k}" for k in range(ROUNDS + 1)), *(f"full_{d}" for d in range(START, DEPTH + 1)))
+    scratch.drop("star", "star_ids", "star_sets", "groups", "rest", "rest_ids", "rest_sets", *(f"full_{d}" for d in range(START, DEPTH + 1)))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
