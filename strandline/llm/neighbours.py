@@ -1,6 +1,6 @@
 """Approximate nearest neighbours by robust-pruned directed graphs, one for each shard of the vectors.
 
-A shard's distinct vectors are inserted in batches: a greedy beam search from the entry point proposes neighbours, and
+A shard's distinct vectors are inserted in batches: a greedy beam search from the entry points proposes neighbours, and
 pruning with a relaxed distance keeps those that no kept, nearer neighbour is (``ALPHA`` times) closer to; edges are then
 also added backwards, and pruned again where a point has too many. Queries go to every shard in blocks; a beam search finds
 candidates in its graph, whose distances are then computed in double precision on the original vectors. Equal vectors
@@ -16,14 +16,20 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..runtime import Scratch, ship
 
 SHARD_ROWS, BLOCK_ROWS = 4096, 1024
-DEGREE, BUILD_BEAM, BEAM, ALPHA, BATCH = 32, 48, 80, 1.2, 128
+DEGREE, BUILD_BEAM, BEAM, ALPHA, BATCH, ENTRIES = 32, 48, 80, 1.2, 128, 24
 
 
 class Graph:
-    def __init__(self, points: np.ndarray, degree: int = DEGREE, edges: np.ndarray | None = None, entry: int | None = None):
+    def __init__(self, points: np.ndarray, degree: int = DEGREE, edges: np.ndarray | None = None):
         self.points = points.astype(np.float32)
         self.degree = degree
-        self.entry = int(((points - points.mean(axis=0)) ** 2).sum(axis=1).argmin()) if entry is None else entry
+        # entry points: the most central one, then one by one the farthest from all before
+        far = ((points - points.mean(axis=0)) ** 2).sum(axis=1)
+        self.entries = [int(far.argmin())]
+        far[:] = np.inf
+        while len(self.entries) < min(ENTRIES, len(points)):
+            np.minimum(far, ((points - points[self.entries[-1]]) ** 2).sum(axis=1), out=far)
+            self.entries.append(int(far.argmax()))
         self.edges = np.full((len(points), degree), -1, np.int32) if edges is None else edges
         if edges is None:
             self._build()
@@ -32,10 +38,11 @@ class Graph:
         """(points, squared distances) of the beam's end for each query, nearest first; -1 and inf where it has fewer."""
         q, n = queries.astype(np.float32), len(queries)
         at, dist = np.full((n, beam), -1, np.int64), np.full((n, beam), np.inf, np.float32)
-        at[:, 0] = self.entry
-        dist[:, 0] = ((q - self.points[self.entry]) ** 2).sum(axis=1)
+        k = len(self.entries)
+        at[:, :k] = self.entries
+        dist[:, :k] = ((q[:, None] - self.points[self.entries][None]) ** 2).sum(axis=2)
         spent, seen = np.zeros((n, beam), bool), np.zeros((n, len(self.points) + 1), bool)
-        seen[:, self.entry] = True
+        seen[:, self.entries] = True
         live = np.arange(n)
         while live.size:
             free = np.where(spent[live] | (at[live] < 0), np.inf, dist[live])
@@ -81,8 +88,9 @@ class Graph:
     def _build(self) -> None:
         n, r = len(self.points), np.random.default_rng(1)
         order = r.permutation(n)
-        order = np.concatenate([[self.entry], order[order != self.entry]])
-        lo = 1
+        order = np.concatenate([self.entries, order[~np.isin(order, self.entries)]])
+        lo = len(self.entries)
+        self.edges[self.entries] = self.prune(order[:lo], np.tile(order[:lo], (lo, 1)))
         while lo < n:
             who = order[lo : lo + min(BATCH, max(1, lo))]
             lo += len(who)
@@ -101,6 +109,8 @@ class Graph:
             extra = np.full((len(target), int(count.max(initial=0))), -1, np.int64)
             extra[np.repeat(np.arange(len(target)), count), np.arange(len(dst)) - np.repeat(first, count)] = src
             both = np.concatenate([self.edges[target].astype(np.int64), extra], axis=1)
+            both = np.sort(both, axis=1)
+            both[:, 1:][both[:, 1:] == both[:, :-1]] = -1
             full = (both >= 0).sum(axis=1) > self.degree
             self.edges[target[full]] = self.prune(target[full], both[full])
             short = np.flatnonzero(~full)
@@ -119,11 +129,11 @@ def _indexed(key, table):
     points, inv = np.unique(v, axis=0, return_inverse=True)
     by = np.lexsort((ids, inv.ravel()))
     g = Graph(points)
-    row = {"dim": [dim], "shard": [key[1].as_py()], "points": [points.tobytes()], "ids": [ids[by].tobytes()], "first": [np.searchsorted(inv.ravel()[by], np.arange(len(points) + 1)).tobytes()], "edges": [g.edges.tobytes()], "entry": [g.entry]}
-    return pa.table(row, pa.schema([("dim", pa.int32()), ("shard", pa.int32()), ("points", pa.binary()), ("ids", pa.binary()), ("first", pa.binary()), ("edges", pa.binary()), ("entry", pa.int32())]))
+    row = {"dim": [dim], "shard": [key[1].as_py()], "points": [points.tobytes()], "ids": [ids[by].tobytes()], "first": [np.searchsorted(inv.ravel()[by], np.arange(len(points) + 1)).tobytes()], "edges": [g.edges.tobytes()]}
+    return pa.table(row, pa.schema([("dim", pa.int32()), ("shard", pa.int32()), ("points", pa.binary()), ("ids", pa.binary()), ("first", pa.binary()), ("edges", pa.binary())]))
 
 
-_INDEX = "dim int, shard int, points binary, ids binary, first binary, edges binary, entry int"
+_INDEX = "dim int, shard int, points binary, ids binary, first binary, edges binary"
 
 
 def _asked(top: int):
@@ -133,7 +143,7 @@ def _asked(top: int):
             dim, r = key[0].as_py(), index.to_pylist()[0]
             points = np.frombuffer(r["points"]).reshape(-1, dim)
             ids, first = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["first"], np.int64)
-            g = Graph(points, edges=np.frombuffer(r["edges"], np.int32).reshape(len(points), -1), entry=r["entry"])
+            g = Graph(points, edges=np.frombuffer(r["edges"], np.int32).reshape(len(points), -1))
             q, who = _matrix(queries["v"], dim), queries["vec_id"].to_numpy()
             for lo in range(0, len(q), 256):
                 at, _ = g.search(q[lo : lo + 256], BEAM)
