@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, language_model, licenses, mixing, neighbours, packing
+from . import decontaminate, html_text, language_model, licenses, mixing, neighbours, packing
 from .near_dups import near_duplicates
 from .substrings import remove_repeats
 from .toxicity import toxicity
@@ -18,6 +18,10 @@ def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "source", "n_tokens", "epoch", "block_key", "doc_key")
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -53,6 +57,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mixing": op1_source_mixing,
+    "op2_html_text": op2_html_text,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_license_scan": op4_license_scan,
     "op5_lm_scoring": op5_lm_scoring,
