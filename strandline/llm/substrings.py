@@ -5,8 +5,9 @@ windows with the same anchor place are one segment. Equal windows have equal anc
 segments of one anchor can share a window: these are a shard. Segments that occur again and again are kept once, with
 their number. A shard with one distinct segment needs no search. For others, a suffix automaton of the shard's distinct
 segments, with weighted occurrence counts on its states, is what its segments are streamed through; the matching
-statistics give the places where the longest suffix that occurs twice has at least ``window`` words. Shards of more
-than ``LARGE`` distinct segments are not built in one task: there each window is counted by its hash instead.
+statistics give the places where the longest suffix that occurs twice has at least ``window`` words. An automaton takes
+some hundred bytes a word, so a shard of more than ``AUTOMATON`` distinct segments counts its windows by 128-bit hashes
+instead: within its task up to ``LARGE`` segments (tens of MB), beyond that spread over all tasks.
 
 Shards reach their documents by key, not by broadcast: sending all shards to all documents would take work that grows
 with the square of the corpus.
@@ -24,7 +25,7 @@ from ..runtime import Scratch, ship
 from . import words as w
 from .bitmap import bitmap, passes, place
 
-WINDOW, GRAM, LARGE = 35, 8, 500
+WINDOW, GRAM, AUTOMATON, LARGE = 35, 8, 500, 100_000
 U = w.U
 NO_ID = -(1 << 63)
 
@@ -168,15 +169,32 @@ def _contents(window):
     return run
 
 
+def _hashes(words: bytes) -> np.ndarray:
+    x = np.zeros((len(words) // 6, 8), np.uint8)
+    x[:, :6] = np.frombuffer(words, np.uint8).reshape(-1, 6)
+    return x.view(U).ravel()
+
+
+def _counted(segments: list[bytes], copies: list[int], window: int) -> list[bytes]:
+    """For each window of each segment, whether it occurs twice or more among all, by hashes of windows."""
+    pairs = [(w.grams(h, window), w.grams(w.mix(h), window)) for h in map(_hashes, segments)]
+    size = np.array([len(x) for x, _ in pairs])
+    a, b = (np.concatenate([p[k] for p in pairs]) for k in range(2))
+    by = np.lexsort((b, a))
+    new = np.concatenate([[True], (a[by][1:] != a[by][:-1]) | (b[by][1:] != b[by][:-1])])
+    group = np.cumsum(new) - 1
+    flags = np.empty(len(by), np.uint8)
+    flags[by] = (np.bincount(group, np.repeat(copies, size)[by]) > 1)[group]
+    return [x.tobytes() for x in np.split(flags, np.cumsum(size)[:-1])]
+
+
 def _searched(window):
     """Rows sorted by anchor: for each segment, a flag for each of its windows that occurs elsewhere."""
 
     def judge(rows):
-        sequences = []
-        for words in rows["words"]:
-            x = np.zeros((len(words) // 6, 8), np.uint8)
-            x[:, :6] = np.frombuffer(words, np.uint8).reshape(-1, 6)
-            sequences.append(x.view(np.int64).ravel().tolist())
+        if len(rows["words"]) > AUTOMATON:
+            return _counted(rows["words"], rows["copies"], window)
+        sequences = [_hashes(x).view(np.int64).tolist() for x in rows["words"]]
         a = SuffixAutomaton()
         for s, n in zip(sequences, rows["copies"], strict=True):
             a.add(s, n)
@@ -207,9 +225,7 @@ def _windows(window):
         for batch in batches:
             rows = {k: [] for k in ("anchor", "fp", "copies", "i", "w1", "w2")}
             for anchor, fp, copies, words in zip(*(batch[c].to_pylist() for c in ("anchor", "fp", "copies", "words")), strict=True):
-                x = np.zeros((len(words) // 6, 8), np.uint8)
-                x[:, :6] = np.frombuffer(words, np.uint8).reshape(-1, 6)
-                h = x.view(U).ravel()
+                h = _hashes(words)
                 g, k = w.grams(h, window), w.grams(w.mix(h), window)
                 n = len(g)
                 rows["anchor"].append(np.full(n, anchor)), rows["fp"].append(np.full(n, fp)), rows["copies"].append(np.full(n, copies)), rows["i"].append(np.arange(n))

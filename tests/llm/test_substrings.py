@@ -39,8 +39,9 @@ def made(seed):
     return docs + [docs[5], (300, docs[7][1])]
 
 
-@pytest.mark.parametrize(("seed", "window", "large"), [(1, 12, 500), (2, 9, 1), (3, 5, 2)])
-def test_against_brute_force(spark, monkeypatch, seed, window, large):
+@pytest.mark.parametrize(("seed", "window", "automaton", "large"), [(1, 12, 500, 1000), (2, 9, 1, 1), (3, 5, 1, 1000), (4, 5, 2, 2)])
+def test_against_brute_force(spark, monkeypatch, seed, window, automaton, large):
+    monkeypatch.setattr(s, "AUTOMATON", automaton)
     monkeypatch.setattr(s, "LARGE", large)
     docs = made(seed)
     df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as d", "2 as f", "3 as anchor").repartition(3)
