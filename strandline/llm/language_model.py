@@ -8,7 +8,7 @@ in the final model. A text ends with one end token, and the first word's context
 
 Counts stay distributed. Texts are dealt into slices; a slice asks for its distinct unigrams and bigrams, as sorted
 blocks of hashes cut by hash range; each range merges the blocks of all slices, which gives the counts of the corpus, and
-answers each block in its own order. So no slice sees, and no driver or broadcast holds, more than what the slice asks.
+answers each block in its own order, with the counts alone: the slice finds its hashes again. So no slice sees, and no driver or broadcast holds, more than what the slice asks.
 """
 
 from __future__ import annotations
@@ -25,7 +25,8 @@ from . import words as w
 
 U = w.U
 END = w.hash_of("\n")  # no word has white space
-SLICE_BYTES, RANGE_BYTES = 6 << 20, 24 << 20
+SLICE_BYTES, RANGE_BYTES = 8 << 20, 24 << 20
+BIGRAM = U(0xFFFF_FFFF_FFFF_0000)  # 48 bits of a bigram's hash travel; words keep all 64
 EVALUATE, TUNE = (7, 2), (7, 5)  # crc32(doc_id) modulo, remainder: never learnt from; for the weights
 BUCKETS, STEPS, GRID = 24, 40, 24  # context buckets; steps of expectation-maximisation; bins per factor of 10
 COMPONENTS = 3
@@ -56,7 +57,7 @@ def _tokens(b: w.Words) -> Tokens:
     token = np.full(len(b.hashes) + n, END, U)
     token[np.arange(len(b.hashes)) + doc] = b.hashes
     before = np.concatenate([[END], token[:-1]]).astype(U)
-    return Tokens(token, w.mix(before * U(0x9E3779B97F4A7C15) + token), np.repeat(np.arange(n), b.counts() + 1))
+    return Tokens(token, w.mix(before * U(0x9E3779B97F4A7C15) + token) & BIGRAM, np.repeat(np.arange(n), b.counts() + 1))
 
 
 def _count(values: list[np.ndarray], weights: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -105,7 +106,7 @@ def _answered(table):
     first = [k == 0 for k in range(n)]
     return pa.table(
         {
-            "slice": table["slice"], "order": table["order"], "range": table["range"], "hashes": table["hashes"],
+            "slice": table["slice"], "order": table["order"], "range": table["range"],
             "main": pa.array([_pack(y[k, 0].view(U)) for k in at], pa.binary()), "tune": pa.array([_pack(y[k, 1].view(U)) for k in at], pa.binary()),
             "n_main": pa.array([known[0] * f for f in first], pa.int64()), "n_tune": pa.array([known[1] * f for f in first], pa.int64()),
             "v": pa.array([distinct * f for f in first], pa.int64()), "v_main": pa.array([distinct_main * f for f in first], pa.int64()),
@@ -113,7 +114,7 @@ def _answered(table):
     )
 
 
-_ANSWER = "slice long, order int, range int, hashes binary, main binary, tune binary, n_main long, n_tune long, v long, v_main long"
+_ANSWER = "slice long, order int, range int, main binary, tune binary, n_main long, n_tune long, v long, v_main long"
 
 
 @dataclass
@@ -126,14 +127,18 @@ class Model:
 
 
 class Counts:
-    """What a slice was told."""
+    """What a slice was told: ranges follow each other in the order of hashes, so their answers together fit its sorted hashes."""
 
-    def __init__(self, table: pa.Table):
+    def __init__(self, texts, table: pa.Table):
+        asked: dict[int, list] = {1: [], 2: []}
+        for b in w.blocks(texts, w.NOT_SPACE, True):
+            t = _tokens(b)
+            asked[1].append(np.unique(t.token)), asked[2].append(np.unique(t.bigram))
         self.of = {}
-        for order in (1, 2):
+        for order, x in asked.items():
             t = table.filter(pa.compute.equal(table["order"], order)).sort_by("range")
-            parts = [np.concatenate([_unpack(x) for x in t[c].to_pylist()] or [np.zeros(0, U)]) for c in ("hashes", "main", "tune")]
-            self.of[order] = parts[0], parts[1].view(np.int64), parts[2].view(np.int64)
+            main, tune = (np.concatenate([_unpack(x) for x in t[c].to_pylist()] or [np.zeros(0, U)]).view(np.int64) for c in ("main", "tune"))
+            self.of[order] = np.unique(np.concatenate(x or [np.zeros(0, U)])), main, tune
 
     def get(self, order: int, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         x, main, tune = self.of[order]
@@ -160,7 +165,7 @@ def _histogram(shared):
 
     def run(key, docs, answers):
         n, v = shared.value
-        counts, out = Counts(answers), {}
+        counts, out = Counts(docs["text"], answers), {}
         for b in w.blocks(docs["text"], w.NOT_SPACE, True):
             t = _tokens(b)
             bucket, p = _estimates(t, counts.get(1, t.token)[0], counts.get(2, t.bigram)[0], n, v)
@@ -197,7 +202,7 @@ def learn(cells: np.ndarray) -> np.ndarray:
 
 def _scores(shared):
     def run(key, docs, answers):
-        m, counts = shared.value, Counts(answers)
+        m, counts = shared.value, Counts(docs["text"], answers)
         out = [[], [], [], []]
         for b in w.blocks(docs["text"], w.NOT_SPACE, True):
             t = _tokens(b)
@@ -234,8 +239,10 @@ def score(docs: DataFrame) -> DataFrame:
     dealt = docs.withColumn("slice", F.when(F.col("part") == 1, -1 - F.pmod(F.xxhash64("doc_id", "text"), F.lit(tuned))).otherwise(F.pmod(F.xxhash64("doc_id", "text"), F.lit(slices))).cast("long"))
     ask = dealt.groupBy("slice").applyInArrow(_asked(ranges), "slice long, order int, range int, hashes binary, main binary, tune binary")
     answers = scratch.save(ask.groupBy("order", "range").applyInArrow(_answered, _ANSWER), "answers")
+    del ask
+    scratch.release()
     n_main, n_tune, v, v_main = answers.where("order = 1").agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n_main", "n_tune", "v", "v_main"))).first()
-    told = answers.select("slice", "order", "range", "hashes", "main", "tune")
+    told = answers.select("slice", "order", "range", "main", "tune")
     held = dealt.where("slice < 0").groupBy("slice").cogroup(told.where("slice < 0").groupBy("slice"))
     cells = held.applyInArrow(_histogram(spark.sparkContext.broadcast((n_main, v_main))), "bucket long, p0 long, p1 long, p2 long, n long")
     cells = cells.groupBy("bucket", "p0", "p1", "p2").agg(F.sum("n").alias("n")).toPandas().sort_values(["bucket", "p0", "p1", "p2"]).to_numpy(np.int64)
