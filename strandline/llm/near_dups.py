@@ -24,7 +24,7 @@ from .bitmap import bitmap, passes, place
 from .components import components
 
 SHINGLE, THRESHOLD = 5, 75
-TREES, BRANCH, START, DEPTH, SMALL, WIDTH = 6, 2, 2, 4, 64, 128
+TREES, BRANCH, START, DEPTH, SMALL, WIDTH = 6, 2, 2, 3, 64, 128
 ESTIMATE = 0.58
 CHUNK = 512
 U = w.U
