@@ -68,4 +68,31 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ALNUM = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op8_substring_dedup": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+     s AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS i FROM d WHERE len(ws) >= 35),
+     k AS (SELECT doc_id, i, array_to_string(ws[i : i + 34], ' ') AS w FROM s),
+     r AS (SELECT doc_id, i, count(*) OVER (PARTITION BY w) AS n FROM k),
+     gone AS (SELECT DISTINCT doc_id, i + j AS pos FROM r, range(0, 35) t(j) WHERE n > 1),
+     word AS (SELECT doc_id, unnest(ws) AS x, unnest(range(1, len(ws) + 1)) AS pos FROM d),
+     kept AS (SELECT doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY pos) AS x FROM word ANTI JOIN gone USING (doc_id, pos) GROUP BY 1)
+SELECT d.doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(x, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+""",
+    "op9_benchmark_decontamination": f"""
+WITH d AS (SELECT doc_id, {_ALNUM} AS ws FROM documents),
+     b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_ALNUM} AS ws FROM benchmark),
+     bi AS (SELECT item, ws, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) AS i FROM b WHERE len(ws) > 0),
+     win AS (SELECT DISTINCT item, array_to_string(ws[i : i + 9], ' ') AS w, least(len(ws), 10) AS n FROM bi),
+     sizes AS (SELECT DISTINCT n FROM win),
+     di AS (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM d, sizes WHERE len(ws) >= n),
+     hit AS (SELECT doc_id, i, n, item FROM (SELECT doc_id, i, n, array_to_string(ws[i : i + n - 1], ' ') AS w FROM di) x JOIN win USING (w, n)),
+     pos AS (SELECT doc_id, count(DISTINCT i + j) AS n_hit FROM hit, range(0, 10) t(j) WHERE j < n GROUP BY 1),
+     items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS x FROM (SELECT DISTINCT doc_id, item FROM hit) y GROUP BY 1)
+SELECT d.doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(x, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN items USING (doc_id)
+""",
+}
