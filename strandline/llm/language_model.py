@@ -13,11 +13,11 @@ answers each block in its own order, with the counts alone: the slice finds its
 
 from __future__ import annotations
 
-import zlib
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from ..runtime import Scratch, ship
@@ -33,16 +33,26 @@ COMPONENTS = 3
 
 
 def _pack(x: np.ndarray) -> bytes:
-    """Sorted or small 64-bit values: differences, byte by byte, deflated."""
+    """Sorted 64-bit values: differences, byte by byte, compressed."""
     d = np.diff(x, prepend=x[:1] * 0)
-    return zlib.compress(np.ascontiguousarray(d.view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+    return zstandard.compress(np.ascontiguousarray(d.view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
 
 
 def _unpack(raw: bytes) -> np.ndarray:
-    x = np.frombuffer(zlib.decompress(raw), np.uint8).reshape(8, -1)
+    x = np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(8, -1)
     return np.cumsum(np.ascontiguousarray(x.T).view(U).ravel(), dtype=U)
 
 
+def _pack_counts(x: np.ndarray) -> bytes:
+    """Counts, as narrow as they fit; the first byte is the width."""
+    width = next(k for k in (1, 2, 4, 8) if k == 8 or int(x.max(initial=0)) < 1 << 8 * k)
+    return bytes([width]) + zstandard.compress(x.astype(f"<u{width}").tobytes(), 1)
+
+
+def _unpack_counts(raw: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(raw[1:]), f"<u{raw[0]}").astype(np.int64)
+
+
 @dataclass
 class Tokens:
     """Tokens of some texts: each text's words and its end."""
@@ -88,7 +98,7 @@ def _asked(ranges: int):
             cut = np.searchsorted((x >> U(32)).astype(np.int64) * ranges >> 32, np.arange(ranges + 1))
             for k in np.flatnonzero(np.diff(cut)):
                 s = slice(cut[k], cut[k + 1])
-                for c, v in zip(rows, (key[0].as_py(), order, int(k), _pack(x[s]), _pack(y[s, 0].view(U)), _pack(y[s, 1].view(U))), strict=True):
+                for c, v in zip(rows, (key[0].as_py(), order, int(k), _pack(x[s]), _pack_counts(y[s, 0]), _pack_counts(y[s, 1])), strict=True):
                     rows[c].append(v)
         return pa.table(rows, pa.schema([("slice", pa.int64()), ("order", pa.int32()), ("range", pa.int32()), ("hashes", pa.binary()), ("main", pa.binary()), ("tune", pa.binary())]))
 
@@ -97,8 +107,8 @@ def _asked(ranges: int):
 
 def _answered(table):
     """Of one order and hash range: the corpus counts, for each block in its own order; and this range's totals."""
-    blocks = [[_unpack(x) for x in table[c].to_pylist()] for c in ("hashes", "main", "tune")]
-    x, y = _count(blocks[0], [np.stack([a.view(np.int64), b.view(np.int64)], axis=1) for a, b in zip(blocks[1], blocks[2], strict=True)])
+    blocks = [[f(x) for x in table[c].to_pylist()] for c, f in (("hashes", _unpack), ("main", _unpack_counts), ("tune", _unpack_counts))]
+    x, y = _count(blocks[0], [np.stack([a, b], axis=1) for a, b in zip(blocks[1], blocks[2], strict=True)])
     known = (y.sum(axis=0)).tolist()
     distinct, distinct_main = int((y.sum(axis=1) > 0).sum()), int((y[:, 0] > 0).sum())
     n = len(table)
@@ -107,7 +117,7 @@ def _answered(table):
     return pa.table(
         {
             "slice": table["slice"], "order": table["order"], "range": table["range"],
-            "main": pa.array([_pack(y[k, 0].view(U)) for k in at], pa.binary()), "tune": pa.array([_pack(y[k, 1].view(U)) for k in at], pa.binary()),
+            "main": pa.array([_pack_counts(y[k, 0]) for k in at], pa.binary()), "tune": pa.array([_pack_counts(y[k, 1]) for k in at], pa.binary()),
             "n_main": pa.array([known[0] * f for f in first], pa.int64()), "n_tune": pa.array([known[1] * f for f in first], pa.int64()),
             "v": pa.array([distinct * f for f in first], pa.int64()), "v_main": pa.array([distinct_main * f for f in first], pa.int64()),
         }
@@ -137,7 +147,7 @@ class Counts:
         self.of = {}
         for order, x in asked.items():
             t = table.filter(pa.compute.equal(table["order"], order)).sort_by("range")
-            main, tune = (np.concatenate([_unpack(x) for x in t[c].to_pylist()] or [np.zeros(0, U)]).view(np.int64) for c in ("main", "tune"))
+            main, tune = (np.concatenate([_unpack_counts(x) for x in t[c].to_pylist()] or [np.zeros(0, np.int64)]) for c in ("main", "tune"))
             self.of[order] = np.unique(np.concatenate(x or [np.zeros(0, U)])), main, tune
 
     def get(self, order: int, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -246,6 +256,7 @@ def score(docs: DataFrame) -> DataFrame:
     held = dealt.where("slice < 0").groupBy("slice").cogroup(told.where("slice < 0").groupBy("slice"))
     cells = held.applyInArrow(_histogram(spark.sparkContext.broadcast((n_main, v_main))), "bucket long, p0 long, p1 long, p2 long, n long")
     cells = cells.groupBy("bucket", "p0", "p1", "p2").agg(F.sum("n").alias("n")).toPandas().sort_values(["bucket", "p0", "p1", "p2"]).to_numpy(np.int64)
+    scratch.release()
     model = Model(n_main + n_tune, v, n_main, v_main, learn(cells))
     whole = dealt.groupBy("slice").cogroup(told.groupBy("slice"))
     return whole.applyInArrow(_scores(spark.sparkContext.broadcast(model)), _SCORED)
