@@ -128,3 +128,14 @@ def shares(rows: DataFrame, name: str, value: str) -> DataFrame:
 
 def histogram(rows: DataFrame, value: str, low: float, high: float, bins: int, *keys: str) -> DataFrame:
     return rows.where(F.col(value).between(low, high)).groupBy(*keys, F.least(F.floor((F.col(value) - low) / ((high - low) / bins)), F.lit(bins - 1)).alias("bin")).agg(F.count("*").alias("n"))
+
+
+def compared(a: DataFrame, b: DataFrame, name: str, value: str) -> DataFrame:
+    """Two models' percentages of each feature, side by side."""
+    x, y = shares(a, name, value).withColumnRenamed("percent", "percent_a"), shares(b, name, value).withColumnRenamed("percent", "percent_b")
+    return x.join(y, name, "full").na.fill(0.0)
+
+
+def observed(rows: DataFrame, name: str, ts: str = "ts_ms", arrival: str = "ingest_ms") -> DataFrame:
+    """The rows, with gauges that Spark reports for each batch or action: count, latency and largest time."""
+    return rows.observe(name, F.count(F.lit(1)).alias("events"), F.avg(F.col(arrival) - F.col(ts)).alias("mean_latency_ms"), F.max(ts).alias("max_ts"))

@@ -55,3 +55,17 @@ def geojson_line(rover: str, coords: str):
     """A GeoJSON feature of a line."""
     properties = F.struct(F.col(rover).alias("roverId"), F.size(coords).alias("points"))
     return F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(F.lit("LineString").alias("type"), F.col(coords).alias("coordinates")).alias("geometry"), properties.alias("properties")))
+
+
+def merged(a: DataFrame, b: DataFrame, ts: str = "ts_ms", order: str = "seq") -> DataFrame:
+    """(object_id, events): the events of both sides for each object, in order of time."""
+    row = F.struct(F.col(ts), F.col(order), "lon", "lat")
+    return a.unionByName(b).groupBy("object_id").agg(F.sort_array(F.collect_list(row)).alias("events"))
+
+
+def steps(events: DataFrame, value: str, ts: str = "ts_ms", order: str = "seq") -> DataFrame:
+    """Each object's change of a value since its event before, its size, and its size by second."""
+    by = Window.partitionBy("object_id").orderBy(ts, order)
+    change = F.col(value) - F.lag(value).over(by)
+    gap = (F.col(ts) - F.lag(ts).over(by)) / 1000.0
+    return events.select("object_id", order, change.alias("change"), F.abs(change).alias("size"), F.when(gap > 0, F.abs(change) / gap).alias("per_s"))

@@ -347,3 +347,35 @@ def _(s, d):
     line = F.concat(F.lit("[METRIC] kind="), "event_type", F.lit(" who="), "user_id", F.lit(" x=1.5"))
     m = logs.key_values(line)
     return s.read.parquet(f"{d}/events.parquet").select("event_id", F.try_element_at(m, F.lit("kind")).alias("kind"), F.try_element_at(m, F.lit("who")).alias("who"))
+
+
+@query("trajectory_steps", f"{W}, x AS (SELECT object_id, seq, lat - lag(lat) OVER (PARTITION BY object_id ORDER BY ts_ms, seq) AS change FROM g) SELECT object_id, seq, round(change, 7) AS change, round(abs(change), 7) AS size FROM x WHERE change IS NOT NULL")
+def _(s, d):
+    x = traj.steps(geo_events(s, d), "lat")
+    return x.where("change is not null").select("object_id", "seq", F.round("change", 7).alias("change"), F.round("size", 7).alias("size"))
+
+
+@query("trajectory_merged", f"{W} SELECT object_id, count(*) AS n, min(ts_ms) AS first_ms FROM g GROUP BY 1")
+def _(s, d):
+    e = geo_events(s, d)
+    x = traj.merged(e.where("seq % 2 = 0"), e.where("seq % 2 = 1"))
+    return x.select("object_id", F.size("events").cast("long").alias("n"), F.col("events")[0]["ts_ms"].alias("first_ms"))
+
+
+@query("aggregate_coverage", "SELECT 100.0 * count(DISTINCT event_type) / 6 AS coverage FROM events")
+def _(s, d):
+    e = s.read.parquet(f"{d}/events.parquet")
+    kinds = [r[0] for r in e.select("event_type").distinct().collect()]
+    return agg.coverage(e, {"event_type": [*kinds, "other"]})
+
+
+@query("aggregate_active_speed")
+def _(s, d):
+    return agg.active_mean_speed(traj.summary(geo_events(s, d)), 1704067200000, 1704067230000)
+
+
+@query("stream_profile")
+def _(s, d):
+    from ..streaming.loop import profile
+
+    return profile(geo_events(s, d), 5000, 3000)

@@ -47,3 +47,16 @@ def test_anchored_windows(spark, source):
 def test_unknown_names(spark, source):
     with pytest.raises(ValueError):
         m.pipeline(source([("a", 1)]), "nope", "dynamic", "object_id")
+
+
+def test_feedback_loop(spark):
+    from strandline.sources.fixture import geo_events
+    from strandline.streaming.loop import Loop, metric_line
+
+    out = []
+    loop = Loop(lambda row: (20_000, row["mean_latency_ms"]), lambda df, n: out.append((n, df.count())))
+    e = geo_events(spark, "/root/testdata/sf0.001").where("seq < 300")
+    loop(e, 0)
+    loop(e.limit(0), 1)
+    assert out[0][1] > 0 and len(out) == 1 and loop.runtime.window_ms == 10_000 and loop.runtime.delay_ms >= 500
+    assert metric_line({"a": 1, "b": 0.5}) == "[METRIC] a=1 b=0.5000"
