@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import geo
@@ -66,25 +68,27 @@ def weighted(edges: DataFrame) -> DataFrame:
     return edges.withColumn("seconds", F.when(n >= 2, length / F.coalesce("speed_mps", F.lit(EDGE_SPEED))).otherwise(float("inf")))
 
 
-def shortest_paths(edges: DataFrame, source, max_rounds: int = 200) -> DataFrame:
+def shortest_paths(edges: DataFrame, source, max_rounds: int | None = None) -> DataFrame:
     """(node, seconds, path) of the quickest way from a node to every node that can be reached: frontiers are relaxed with
-    joins, a round at a time, and only nodes that became cheaper go on."""
+    joins, a round at a time, and only nodes that became cheaper go on, until there are none. Raises RuntimeError if
+    ``max_rounds`` is given and not enough."""
     spark = edges.sparkSession
     scratch = Scratch(spark)
     kind = dict(edges.dtypes)["from"]
     legs = scratch.save(edges.where(F.col("seconds") < float("inf")).groupBy("from", "to").agg(F.min_by("id", F.struct("seconds", "id")).alias("edge"), F.min("seconds").alias("leg")), "legs")
     best = spark.createDataFrame([(source, 0.0, [])], f"node {kind}, seconds double, path array<string>")
     frontier = best = scratch.save(best, "best_0")
-    for k in range(1, max_rounds + 1):
+    for k in itertools.count(1):
         step = frontier.join(legs, frontier["node"] == legs["from"]).select(F.col("to").alias("node"), (F.col("seconds") + F.col("leg")).alias("seconds"), F.concat("path", F.array("edge")).alias("path"))
         step = step.groupBy("node").agg(F.min_by("path", F.struct("seconds", F.size("path"), "path")).alias("path"), F.min("seconds").alias("seconds")).select("node", "seconds", "path")
         known = best.select("node", F.col("seconds").alias("known"))
         frontier = scratch.save(step.join(known, "node", "left").where("known is null or seconds < known").select("node", "seconds", "path"), f"frontier_{k}")
         if frontier.isEmpty():
-            break
+            return best
+        if k == max_rounds:
+            raise RuntimeError(f"paths still change after {max_rounds} rounds")
         best = scratch.save(best.join(frontier.select("node"), "node", "left_anti").unionByName(frontier), f"best_{k}")
         scratch.drop(f"best_{k - 1}", f"frontier_{k - 1}")
-    return best
 
 
 def random_routes(edges: DataFrame, starts: DataFrame, length: int, seed: int = 1) -> DataFrame:

@@ -5,6 +5,7 @@ Every detector works on all windows at once, with the window as a key. Arrival o
 
 from __future__ import annotations
 
+import itertools
 import math
 
 from pyspark.sql import DataFrame, Window, functions as F
@@ -103,10 +104,10 @@ def conflicts(events: DataFrame) -> DataFrame:
     return pairs.select("w", F.col("a_object_id").alias("obj_a"), F.col("b_object_id").alias("obj_b"), F.greatest("a_ts_ms", "b_ts_ms").alias("ts_ms"), "ttc", "distance", severity.alias("severity"))
 
 
-def swarm_members(events: DataFrame, rounds: int = 60) -> DataFrame:
+def swarm_members(events: DataFrame, rounds: int | None = None) -> DataFrame:
     """(w, seq, cluster): members of density clusters of events. Core events have SWARM_MIN neighbours of other objects
     within reach; clusters are the components of core events, named by their first, plus all neighbours of those. The
-    labels of an object's window are lowered with joins until nothing changes."""
+    labels of an object's window are lowered with joins until nothing changes; RuntimeError if ``rounds`` is given and not enough."""
     near = radius_pairs(events, SWARM_M, "w", columns=("seq", "object_id", "lon", "lat")).select("w", "a_seq", "b_seq")
     core = near.groupBy("w", "a_seq").agg(F.count("*").alias("n")).where(F.col("n") >= SWARM_MIN).select("w", F.col("a_seq").alias("seq"))
     links = near.join(core.toDF("w", "a_seq"), ["w", "a_seq"])
@@ -114,7 +115,7 @@ def swarm_members(events: DataFrame, rounds: int = 60) -> DataFrame:
     scratch = Scratch(events.sparkSession)
     inner, links = scratch.save(inner.select("w", "a_seq", "b_seq"), "inner"), scratch.save(links, "links")
     labels, before = scratch.save(core.withColumn("cluster", F.col("seq")), "labels_0"), None
-    for k in range(1, rounds + 1):
+    for k in itertools.count(1):
         lower = inner.join(labels.withColumnRenamed("seq", "b_seq"), ["w", "b_seq"]).groupBy("w", F.col("a_seq").alias("seq")).agg(F.min("cluster").alias("low"))
         labels = labels.join(lower, ["w", "seq"], "left").select("w", "seq", F.least("cluster", F.coalesce("low", "cluster")).alias("cluster"))
         # a label is itself an event; its own label may be lower already
@@ -124,6 +125,8 @@ def swarm_members(events: DataFrame, rounds: int = 60) -> DataFrame:
         scratch.drop(f"labels_{k - 1}")
         if now == before:
             break
+        if k == rounds:
+            raise RuntimeError(f"labels still change after {rounds} rounds")
         before = now
     around = links.join(labels.withColumnRenamed("seq", "a_seq"), ["w", "a_seq"]).select("w", F.col("b_seq").alias("seq"), "cluster")
     return labels.unionByName(around).distinct()

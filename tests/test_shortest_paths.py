@@ -1,9 +1,11 @@
-"""The registered query against a plain search over every way."""
+"""The registered query against a plain search over every way; rounds run until nothing changes."""
 
 import heapq
 import math
 
-from strandline.operators.graph import DEGREE_M
+import pytest
+from strandline.operators import interactions as inter
+from strandline.operators.graph import DEGREE_M, shortest_paths
 from strandline.plans.queries import QUERIES
 from strandline.sources.fixture import geo_events
 
@@ -38,3 +40,18 @@ def test_query_uses_every_way(spark, tmp_path):
     got = {r.node: (r.seconds, r.path) for r in QUERIES["graph_shortest_paths"](spark, str(tmp_path)).collect()}
     want = plain(ways, places, 1)
     assert len(want) > 3 and {n: round(s, 5) for n, s in want.items()} == {n: round(s, 5) for n, (s, _) in got.items()}
+
+
+def test_limits_do_not_cut_silently(spark):
+    edges = spark.createDataFrame([(f"e{k}", k, k + 1, 1.0) for k in range(4)], "id string, `from` long, `to` long, seconds double")
+    with pytest.raises(RuntimeError):
+        shortest_paths(edges, 0, max_rounds=2)
+    assert {r.node: r.seconds for r in shortest_paths(edges, 0).collect()} == {k: k for k in range(5)}
+
+
+def test_swarms_do_not_stop_early(spark):
+    rows = [(k, f"o{k}", 0, 0.0, k * 2 / 111_195) for k in range(40)]
+    e = inter.windowed(spark.createDataFrame(rows, "seq long, object_id string, ts_ms long, lon double, lat double"))
+    with pytest.raises(RuntimeError):
+        inter.swarm_members(e, rounds=1).count()
+    assert {r.cluster for r in inter.swarm_members(e).collect()} == {0}
