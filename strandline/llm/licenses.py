@@ -1,6 +1,7 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
-A block is a line, or a stretch of ``BLOCK`` words of a longer line, half of it shared with the next. A template meets a
+A block is a line, or a stretch of ``BLOCK`` words of a longer line, half of it shared with the next; with ``across``, such
+stretches of the whole text are blocks too, so that wrapped lines hide no template of up to half a block. A template meets a
 block if the block holds at least ``CONTAINED`` of its distinct words. Words are ordered by their frequency in the whole
 corpus, rarest first. A block that meets a template of n words holds a of them, a = ceil(CONTAINED n), and so one of the n - a + 1
 rarest (prefix filter), and has a template words at all (length filter); where the two agree, the
@@ -104,14 +105,14 @@ class Index:
         return block[a[good]], t[good], held[good] / self.size[t[good]]
 
 
-def _block_of(b: w.Words, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each word, its block, and a second one where blocks of a long line overlap (-1: none). Blocks are numbered over all texts."""
+def _block_of(b: w.Words, limit: int, across: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """For each word, its block, and a second one where blocks of a long line overlap (-1: none). Blocks are numbered over all
+    texts, by their first word; with ``across``, a text counts as one line."""
     n = len(b.starts)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     doc = b.doc()
-    breaks = np.cumsum(b.data == 0x0A)
-    line = breaks[b.starts]
+    line = np.zeros(n, np.int64) if across else np.cumsum(b.data == 0x0A)[b.starts]
     new = np.concatenate([[True], (line[1:] != line[:-1]) | (doc[1:] != doc[:-1])])
     start = np.maximum.accumulate(np.where(new, np.arange(n), 0))
     size = np.diff(np.append(np.flatnonzero(new), n))[np.cumsum(new) - 1]
@@ -147,7 +148,15 @@ def _phrases(b: w.Words, phrases: list[tuple[np.ndarray, str]]) -> list[tuple[np
     return out
 
 
-def _scanned(shared, limit: int):
+def _blocks_of(b: w.Words, limit: int, across: bool) -> list[np.ndarray]:
+    """For each word, its blocks (-1: none); those of whole texts are numbered after all others."""
+    out = [*_block_of(b, limit)]
+    if across:
+        out += [np.where(x < 0, -1, x + len(b.starts)) for x in _block_of(b, limit, True)]
+    return out
+
+
+def _scanned(shared, limit: int, across: bool):
     def run(batches):
         index, phrases = shared.value
         for batch in batches:
@@ -163,11 +172,11 @@ def _scanned(shared, limit: int):
                         base[d].add(label)
                 labels, score = [set(x) for x in base], np.where(n > 0, 1.0, 0.0)
                 at, k = index.places(b.hashes)
-                main, other = _block_of(b, limit)
-                both = np.concatenate([main[at], other[at]])
-                pairs = np.stack([both, index.rank[np.concatenate([k, k])]])[:, both >= 0]
+                of = _blocks_of(b, limit, across)
+                every_block = np.concatenate([x[at] for x in of])
+                pairs = np.stack([every_block, index.rank[np.tile(k, len(of))]])[:, every_block >= 0]
                 block, t, share = index.join(*np.unique(pairs, axis=1))
-                for d, x, s in zip(doc[block].tolist(), t.tolist(), share.tolist(), strict=True):
+                for d, x, s in zip(doc[block % max(len(doc), 1)].tolist(), t.tolist(), share.tolist(), strict=True):
                     labels[d].add(index.labels[x])
                     score[d] = max(score[d], s)
                 first = np.searchsorted(every, b.at[:-1])
@@ -184,11 +193,11 @@ def _scanned(shared, limit: int):
     return run
 
 
-def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, contained: float = CONTAINED) -> DataFrame:
+def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, contained: float = CONTAINED, across: bool = False) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score) for every row of ``docs`` (doc_id, text).
 
     score is 1 where a phrase stands, else the largest share of a template held by a block that meets it, else 0. Null
-    and empty texts have no words, no labels ('') and score 0. An empty table gives no rows.
+    and empty texts have no words, no labels ('') and score 0. An empty table gives no rows. ``across``: see above.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -197,4 +206,4 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, contained: floa
     counts = docs.select("text").mapInArrow(_frequencies(spark.sparkContext.broadcast(first)), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     index = Index.build(templates, {r.word: r.n for r in counts.collect()}, contained)
     phrases = [(_hashes(p), label) for p, label in PHRASES.items()]
-    return docs.mapInArrow(_scanned(spark.sparkContext.broadcast((index, phrases)), BLOCK), "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
+    return docs.mapInArrow(_scanned(spark.sparkContext.broadcast((index, phrases)), BLOCK, across), "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
