@@ -42,6 +42,24 @@ TEMPLATES = {
     "mpl-2.0-notice": "subject to the terms of the Mozilla Public License, v. 2.0",
     "public-domain-notice": "This is free and unencumbered software released into the public domain",
 }
+# What tells a license from others with much the same words; a block must hold one of these, word for word.
+REQUIRED = {
+    "agpl-notice": ("gnu affero general public license",),
+    "apache-2.0-notice": ("apache license version 2", "apache license 2", "apache license v2", "apache 2"),
+    "apache-2.0-terms": ("as is basis",),
+    "bsd-terms": ("source and binary forms",),
+    "cc-by-notice": ("creative commons attribution 4", "creative commons attribution 3", "creative commons attribution 2", "creative commons attribution 1"),
+    "cc-by-nc-notice": ("cc by nc 4", "cc by nc 3", "cc by nc 2", "cc by nc 1"),
+    "cc-by-sa-notice": ("cc by sa",),
+    "gpl-3.0-notice": ("gnu general public license version 3", "gnu general public license v3", "gnu general public license 3"),
+    "gpl-terms": ("gnu general public license",),
+    "isc-terms": ("without fee",),
+    "lgpl-notice": ("gnu lesser general public license", "gnu library general public license"),
+    "mit-notice": ("mit license",),
+    "mit-terms": ("obtaining a copy", "copy of this software"),
+    "mpl-2.0-notice": ("mozilla public license v 2", "mozilla public license version 2", "mozilla public license 2"),
+    "public-domain-notice": ("free and unencumbered", "into the public domain"),
+}
 
 
 def _hashes(text: str) -> np.ndarray:
@@ -156,9 +174,22 @@ def _blocks_of(b: w.Words, limit: int, across: bool) -> list[np.ndarray]:
     return out
 
 
+def _holders(b: w.Words, blocks: list[np.ndarray], required: list[tuple[int, np.ndarray]], templates: int) -> np.ndarray:
+    """block * templates + template of each block that holds a required phrase of the template."""
+    out = [np.zeros(0, np.int64)]
+    for (t, h), (at, _) in zip(required, _phrases(b, [(h, "") for _, h in required]), strict=True):
+        for x in blocks:
+            for y in blocks:
+                same = x[at] == y[at + len(h) - 1]
+                out.append(x[at][same & (x[at] >= 0)] * templates + t)
+    return np.unique(np.concatenate(out))
+
+
 def _scanned(shared, limit: int, across: bool):
     def run(batches):
-        index, phrases = shared.value
+        index, phrases, required = shared.value
+        needs = np.zeros(len(index.labels), bool)
+        needs[[t for t, _ in required]] = True
         for batch in batches:
             rows = {c: [] for c in ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")}
             for b in w.blocks(batch["text"], w.ALNUM, True):
@@ -176,6 +207,8 @@ def _scanned(shared, limit: int, across: bool):
                 every_block = np.concatenate([x[at] for x in of])
                 pairs = np.stack([every_block, index.rank[np.tile(k, len(of))]])[:, every_block >= 0]
                 block, t, share = index.join(*np.unique(pairs, axis=1))
+                good = ~needs[t] | np.isin(block * len(needs) + t, _holders(b, of, required, len(needs)))
+                block, t, share = block[good], t[good], share[good]
                 for d, x, s in zip(doc[block % max(len(doc), 1)].tolist(), t.tolist(), share.tolist(), strict=True):
                     labels[d].add(index.labels[x])
                     score[d] = max(score[d], s)
@@ -193,11 +226,12 @@ def _scanned(shared, limit: int, across: bool):
     return run
 
 
-def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, contained: float = CONTAINED, across: bool = False) -> DataFrame:
+def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, contained: float = CONTAINED, across: bool = False, required: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score) for every row of ``docs`` (doc_id, text).
 
     score is 1 where a phrase stands, else the largest share of a template held by a block that meets it, else 0. Null
     and empty texts have no words, no labels ('') and score 0. An empty table gives no rows. ``across``: see above.
+    A block meets a template that is in ``required`` only if it also holds one of the phrases given there.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -206,4 +240,5 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, contained: floa
     counts = docs.select("text").mapInArrow(_frequencies(spark.sparkContext.broadcast(first)), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     index = Index.build(templates, {r.word: r.n for r in counts.collect()}, contained)
     phrases = [(_hashes(p), label) for p, label in PHRASES.items()]
-    return docs.mapInArrow(_scanned(spark.sparkContext.broadcast((index, phrases)), BLOCK, across), "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
+    needed = [(t, _hashes(p)) for t, label in enumerate(index.labels) for p in (required or {}).get(label, ())]
+    return docs.mapInArrow(_scanned(spark.sparkContext.broadcast((index, phrases, needed)), BLOCK, across), "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")

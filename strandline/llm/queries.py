@@ -27,7 +27,7 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(spark.read.parquet(f"{sf_dir}/documents.parquet"), across=True)
+    return licenses.scan(spark.read.parquet(f"{sf_dir}/documents.parquet"), across=True, required=licenses.REQUIRED)
 
 
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

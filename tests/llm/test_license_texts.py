@@ -33,3 +33,32 @@ def test_every_place_in_a_long_text(labels):
 def test_far_apart_words_do_not_meet(labels):
     text = ("\n" + "rope " * 150 + "\n").join(lic.TEMPLATES["mit-terms"].split())
     assert labels(text) == [set()]
+
+
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions: FITNESS FOR A PARTICULAR PURPOSE"""
+REDISTRIBUTE = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation"
+
+
+@pytest.mark.parametrize("across", ["lines", "wrapped"])
+def test_labels_of_one_license_only(labels, across):
+    cases = [
+        ("Licensed under CC BY-NC 4.0.", {"cc-by", "cc-by-nc-notice"}),
+        ("Licensed under CC BY-SA 4.0.", {"cc-by", "cc-by-sa-notice"}),
+        ("Licensed under CC BY-NC-SA 4.0.", {"cc-by"}),
+        ("Released under the Apache License", {"apache"}),
+        ("Released under the MIT License", {"mit", "mit-notice"}),
+        (REDISTRIBUTE.format(""), {"gpl", "gpl-terms"}),
+        (REDISTRIBUTE.format("Affero "), {"agpl-notice"}),
+        (REDISTRIBUTE.format("Lesser "), {"lgpl-notice"}),
+        ("This work is licensed under the GNU General Public License, version 2", {"gpl"}),
+        ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", set()),
+        ("subject to the terms of the Eclipse Public License, v. 2.0", set()),
+        (MIT, {"mit-terms"}),
+    ]
+    texts = [t if across == "lines" else textwrap.fill(t, 30) for t, _ in cases]
+    assert labels(*texts) == [want for _, want in cases]
