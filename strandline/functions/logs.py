@@ -56,9 +56,52 @@ def stream_figures(lines: DataFrame, file: str = "file", line: str = "line", at:
     return rows.groupBy(file).agg(F.avg("lag").alias("event_latency_ms"), F.avg(F.col("now") - F.col("wm")).alias("watermark_lag_ms"), F.avg(F.col("emit") - F.col("end")).alias("window_latency_ms"), n.alias("windows"), F.when(last > first, n * 1000.0 / (last - first)).alias("windows_per_s"))
 
 
+# Lines of metrics, in the order they are tried: table, pattern, columns. What a pattern lacks reads ''.
+METRICS = [
+    ("timestamp", r"\[TIMESTAMP\]\s+eventTime=(\d+)\s+processingTime=(\d+)\s+lag=(\d+)\s+objectId=(\S+)", ["eventTime", "processingTime", "lag", "objectId"]),
+    ("window", r"\[WINDOW RESULT\]\s+windowStart=(\d+)\s+windowEnd=(\d+)\s+count=(\d+)\s+processingTime=(\d+)", ["windowStart", "windowEnd", "count", "processingTime"]),
+    ("spatial_insert", r"\[SPATIAL INDEX\]\s+action=insert\s+cell=\((\d+),(\d+)\)\s+size=(\d+)\s+objectId=(\S+)\s+lat=([\d\.\-]+)\s+lon=([\d\.\-]+)", ["cell_x", "cell_y", "size", "objectId", "lat", "lon"]),
+    ("spatial_query", r"\[SPATIAL INDEX\]\s+action=queryRadius\s+center=\((\d+),(\d+)\)\s+radius=([\d\.]+)\s+candidates=(\d+)\s+returned=(\d+)\s+timeMs=([\d\.]+)", ["center_x", "center_y", "radius", "candidates", "returned", "timeMs"]),
+    ("proximity", r"\[PROXIMITY\]\s+action=summary\s+events=(\d+)\s+neighbors=(\d+)\s+distanceComputations=(\d+)\s+interactionsRaw=(\d+)\s+interactionsFinal=(\d+)\s+timeMs=([\d\.]+)", ["events", "neighbors", "distanceComputations", "interactionsRaw", "interactionsFinal", "timeMs"]),
+    ("collision", r"\[COLLISION\]\s+summary\s+events=(\d+).*?collisions=(\d+).*?timeMs=([\d\.]+)", ["events", "collisions", "timeMs"]),
+    ("conflict", r"\[CONFLICT\]\s+summary\s+events=(\d+)\s+conflicts=(\d+)\s+timeMs=([\d\.]+)", ["events", "conflicts", "timeMs"]),
+    ("density", r"\[DENSITY\]\s+global\s+count=(\d+)\s+totalAreaKm2=([\d\.]+)\s+density=([\d\.]+)", ["count", "totalAreaKm2", "density"]),
+    ("trajectory_start", r"\[TRAJECTORY\]\s+start\s+objectId=(\S+)\s+events=(\d+)\s+ts=(\d+)", ["objectId", "events", "ts"]),
+    ("trajectory_update", r"\[TRAJECTORY\]\s+update\s+objectId=(\S+)\s+length=(\d+)\s+timeGap=(\d+)\s+lastTs=(\d+)\s+newTs=(\d+)", ["objectId", "length", "timeGap", "lastTs", "newTs"]),
+    ("collision_pair", r"\[COLLISION\]\s+pair=\((\S+),(\S+)\)\s+distance=([\d\.]+).*?ttc=([\d\.]+).*?relativeSpeed=([\d\.]+)", ["objA", "objB", "distance", "ttc", "relativeSpeed"]),
+    ("collision_pair", r"\[COLLISION\]\s+detected\s+pair=\((\S+),(\S+)\)\s+distance=([\d\.]+).*?ttc=([\d\.]+)", ["objA", "objB", "distance", "ttc"]),
+    ("collision_start", r"\[COLLISION\]\s+action=start\s+events=(\d+)", ["events"]),
+    ("collision_spatial_index_built", r"\[COLLISION\]\s+action=spatialIndexBuilt\s+size=(\d+)", ["size"]),
+    ("conflict_pair", r"\[CONFLICT\]\s+(detected|skipZeroSpeed)\s+pair=\((\S+),(\S+)\).*?t=([\d\.]+).*?distance=([\d\.]+)", ["type", "objA", "objB", "t", "distance"]),
+    ("swarm_start", r"\[SWARM\]\s+action=start\s+events=(\d+).*?eps=([\d\.]+).*?minPoints=(\d+)", ["events", "eps", "minPoints"]),
+    ("swarm_spatial_index_built", r"\[SWARM\]\s+action=spatialIndexBuilt\s+size=(\d+)", ["size"]),
+    ("swarm_seed", r"\[SWARM\]\s+seed=(\S+)\s+neighbors=(\d+)", ["objectId", "neighbors"]),
+    ("swarm_expand", r"\[SWARM\]\s+expand\s+current=(\S+)\s+neighbors=(\d+)", ["objectId", "neighbors"]),
+    ("proximity_pair", r"\[PROXIMITY\]\s+pair=\((\S+),(\S+)\)\s+distance=([\d\.]+)\s+threshold=([\d\.]+)", ["objA", "objB", "distance", "threshold"]),
+    ("knn", r"\[KNN\]\s+action=findKNN\s+k=(\d+)\s+candidates=(\d+)\s+distanceComputations=(\d+)\s+returned=(\d+)\s+timeMs=([\d\.]+)\s+queryLat=([\d\.\-]+)\s+queryLon=([\d\.\-]+)", ["k", "candidates", "distanceComputations", "returned", "timeMs", "queryLat", "queryLon"]),
+]
+
+
+def metric_table(lines: DataFrame, table: str, line: str = "line") -> DataFrame:
+    """The figures, as text, of all lines whose first pattern in METRICS is one of the table's; other columns are kept."""
+    own = [k for k, (name, _, _) in enumerate(METRICS) if name == table]
+    if not own:
+        raise ValueError(f"no metric {table}")
+    last = max(own)
+    first = F.coalesce(*(F.when(F.col(line).rlike(p), k) for k, (_, p, _) in enumerate(METRICS[: last + 1])))
+    rows, columns = lines.withColumn("_first", first).where(F.col("_first").isin(own)), METRICS[own[0]][2]
+    figure = lambda c: F.coalesce(*(F.when(F.col("_first") == k, F.regexp_extract(line, METRICS[k][1], METRICS[k][2].index(c) + 1)) for k in own if c in METRICS[k][2]), F.lit(""))
+    return rows.select(*(figure(c).alias(c) for c in columns), *(c for c in lines.columns if c != line))
+
+
 def swarm_sizes(lines: DataFrame, line: str = "line") -> DataFrame:
     """Cluster size of each seed: one more than the expand lines of its object; seeds without any are kept."""
-    who = F.regexp_extract(line, r"objectId=(\S+)", 1)
-    seeds = lines.where(F.col(line).contains("[SWARM_SEED]")).select(who.alias("object_id"))
-    grown = lines.where(F.col(line).contains("[SWARM_EXPAND]")).groupBy(who.alias("object_id")).agg(F.count("*").alias("n"))
+    seeds = metric_table(lines, "swarm_seed", line).select(F.col("objectId").alias("object_id")).distinct()
+    grown = metric_table(lines, "swarm_expand", line).groupBy(F.col("objectId").alias("object_id")).agg(F.count("*").alias("n"))
     return seeds.join(grown, "object_id", "left").select("object_id", (F.coalesce("n", F.lit(0)) + 1).alias("size"))
+
+
+def swarm_growth(lines: DataFrame, file: str = "file", line: str = "line") -> DataFrame:
+    """Expand lines by the time in their file's name."""
+    run = spatial_run(F.col(file))
+    return metric_table(lines, "swarm_expand", line).groupBy(run_time(run["day"], run["time"]).alias("at")).agg(F.count("*").alias("n"))
