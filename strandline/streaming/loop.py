@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -20,6 +21,12 @@ def profile(events: DataFrame, window_ms: int, delay_ms: int) -> DataFrame:
     return out.withColumn("window_fill_ratio", F.col("events_per_window") / (F.col("event_rate") * window_ms / 1000.0)).withColumn("watermark_lag_ms", F.lit(delay_ms)).drop("_all")
 
 
+def interaction_counts(found: DataFrame) -> dict[str, int]:
+    """How many interactions there are of each kind, and of all kinds."""
+    n = {r.kind: r["count"] for r in found.groupBy("kind").count().collect()}
+    return {f"{k.lower()}_count": n.get(k, 0) for k in ("Collision", "Proximity", "Conflict", "Swarm")} | {"interaction_count": sum(n.values())}
+
+
 def metric_line(row: dict) -> str:
     """[METRIC] k=v ..., figures with up to four decimals."""
     return "[METRIC] " + " ".join(f"{k}={v:.4f}" if isinstance(v, float) else f"{k}={v}" for k, v in row.items())
@@ -27,7 +34,8 @@ def metric_line(row: dict) -> str:
 
 @dataclass
 class Loop:
-    """For ``foreachBatch``. ``predict`` gives (window, delay) from a profile; results go to ``sink``, one metrics row a batch to
+    """For ``foreachBatch``. ``predict`` gives (window, delay) from a profile with the counts of
+    interactions by kind and the time that the batch took until then: all numeric features of ``control``. Results go to ``sink``, one metrics row a batch to
     ``metrics`` (bounded by the caller, e.g. a deque)."""
 
     predict: Callable[[dict], tuple[float, float]]
@@ -38,8 +46,16 @@ class Loop:
     def __call__(self, batch: DataFrame, number: int) -> None:
         if batch.isEmpty():
             return
-        found = inter.all_interactions(inter.windowed(batch, max(1000, self.runtime.window_ms)))
-        row = profile(batch, max(1000, self.runtime.window_ms), self.runtime.delay_ms).first().asDict()
+        began = time.perf_counter()
+        found = inter.all_interactions(inter.windowed(batch, max(1000, self.runtime.window_ms))).persist()
+        try:
+            self._step(batch, found, number, began)
+        finally:
+            found.unpersist()
+
+    def _step(self, batch: DataFrame, found: DataFrame, number: int, began: float) -> None:
+        row = profile(batch, max(1000, self.runtime.window_ms), self.runtime.delay_ms).first().asDict() | interaction_counts(found)
+        row |= {"avg_latency_ms": row["mean_latency_ms"], "processing_time_ms": (time.perf_counter() - began) * 1000}
         window, delay = self.predict(row)
         lo, hi = control.WINDOW_BOUNDS
         window = int(min(max(window, lo), hi))
