@@ -9,6 +9,7 @@ Several word numbers are packed into one 64-bit key, and a suffix is compared ke
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,8 +18,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..runtime import Scratch, ship
 from . import words as w
+from .lean import lean
 
-WINDOW, SHARD, SLICE = 10, 1 << 20, 1 << 21
+WINDOW, SHARD, SLICE = 10, 1 << 18, 1 << 21
 U = w.U
 
 
@@ -34,9 +36,9 @@ class Suffixes:
     @classmethod
     def of(cls, numbers: np.ndarray, vocabulary: int) -> Suffixes:
         base = vocabulary + 1
-        ends = np.flatnonzero(numbers == 0)
-        nxt = np.append(ends, len(numbers))[np.searchsorted(ends, np.arange(len(numbers)))]
-        return cls(numbers, nxt - np.arange(len(numbers)), base, max(1, int(63 / np.log2(max(base, 2)))))
+        ends = np.append(np.flatnonzero(numbers == 0), len(numbers))
+        run = np.repeat(ends, np.diff(ends, prepend=-1))[: len(numbers)].astype(np.int32) - np.arange(len(numbers), dtype=np.int32)
+        return cls(numbers, run, base, max(1, int(63 / np.log2(max(base, 2)))))
 
     def key(self, at: np.ndarray, level: int, limit: np.ndarray | int | None = None) -> np.ndarray:
         """Key number ``level`` of the suffixes at ``at``, of which only ``limit`` words count."""
@@ -145,14 +147,13 @@ class Benchmark:
 class Shard:
     """A suffix array over the words of some texts."""
 
-    def __init__(self, bench: Benchmark, numbers: list[np.ndarray], counts: list[np.ndarray]):
-        number, self.counts = np.concatenate(numbers), np.concatenate(counts)
-        doc = np.repeat(np.arange(len(self.counts)), self.counts)
-        self.place = np.arange(len(number)) + doc
-        self.bench, self.test = bench, bench.suffixes()
-        full = np.zeros(len(number) + len(self.counts), np.int64)
-        self.doc = np.repeat(np.arange(len(self.counts)), self.counts + 1)
-        full[self.place] = number
+    def __init__(self, bench: Benchmark, test: Suffixes, numbers: list[np.ndarray], counts: list[np.ndarray]):
+        self.counts = np.concatenate(counts)
+        self.bench, self.test = bench, test
+        self.doc = np.repeat(np.arange(len(self.counts), dtype=np.int32), self.counts + 1)
+        full, inside = np.zeros(len(self.doc), np.int32), np.ones(len(self.doc), bool)
+        inside[np.cumsum(self.counts + 1) - 1] = False
+        full[inside] = np.concatenate(numbers)
         self.train = Suffixes.of(full, len(bench.vocabulary))
         least = int(bench.lengths.min(initial=1 << 30))
         self.order = self.train.array(np.flatnonzero(self.train.run >= least), int(self.test.run.max(initial=0)))
@@ -197,16 +198,16 @@ class Shard:
 
 def _shards(bench: Benchmark, batches):
     """(rows, Shard) of about SHARD words each; rows are (batch, first row, last row)."""
-    numbers, counts, rows, size = [], [], [], 0
+    numbers, counts, rows, size, test = [], [], [], 0, bench.suffixes()
     for batch in batches:
         for b in w.blocks(batch["text"], w.ALNUM, True):
-            numbers.append(bench.number(b.hashes)), counts.append(b.counts()), rows.append(batch.slice(b.first, len(b)))
+            numbers.append(bench.number(b.hashes).astype(np.int32)), counts.append(b.counts()), rows.append(batch.slice(b.first, len(b)))
             size += len(b.hashes) + len(b)
             if size >= SHARD:
-                yield rows, Shard(bench, numbers, counts)
+                yield rows, Shard(bench, test, numbers, counts)
                 numbers, counts, rows, size = [], [], [], 0
     if rows:
-        yield rows, Shard(bench, numbers, counts)
+        yield rows, Shard(bench, test, numbers, counts)
 
 
 def _judged(shared):
@@ -228,16 +229,14 @@ def _judged(shared):
 _COLUMNS = "doc_id long, f long, n_words long, n_hit long, items array<string>, spans array<long>"
 
 
-def slices(benchmark: DataFrame, n: int) -> list[Benchmark]:
-    """The benchmark, cut by a hash of the item into slices of a bounded number of words."""
+def slices(benchmark: DataFrame, n: int) -> tuple[int, Iterator[Benchmark]]:
+    """How many slices the benchmark has, cut by a hash of the item into a bounded number of words, and the slices, one at
+    a time."""
     bench = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     size = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     k = max(1, -(-size // (4 * SLICE)))
-    out = []
-    for i in range(k):
-        rows = bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(k)) == i).toArrow()
-        out.append(Benchmark.build(rows["item_id"].to_pylist(), rows["text"], n))
-    return out
+    rows = (bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(k)) == i).toArrow() for i in range(k))
+    return k, (Benchmark.build(x["item_id"].to_pylist(), x["text"], n) for x in rows)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
@@ -250,13 +249,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> Dat
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("f"))
-    parts = [docs.mapInArrow(_judged(spark.sparkContext.broadcast(b)), _COLUMNS) for b in slices(benchmark, n)]
-    if len(parts) == 1:
-        return parts[0]
+    count, benches = slices(benchmark, n)
+    if count == 1:
+        return docs.mapInArrow(lean(_judged(spark.sparkContext.broadcast(next(benches)))), _COLUMNS)
     scratch, whole = Scratch(spark), None
-    for k, part in enumerate(parts):  # one slice at a time; equal rows are one group with a count
+    for k, bench in enumerate(benches):  # one slice at a time; equal rows are one group with a count
+        shared = spark.sparkContext.broadcast(bench)
+        part = docs.mapInArrow(lean(_judged(shared)), _COLUMNS)
         part = part.groupBy("doc_id", "f").agg(F.first("n_words").alias("n_words"), F.first("items").alias("items"), F.first("spans").alias("spans"), F.count("*").alias("copies"))
         part = scratch.save(part, f"slice_{k}")
+        shared.unpersist()
         whole = part if whole is None else whole.unionByName(part)
     joined = whole.groupBy("doc_id", "f").agg(F.first("n_words").alias("n_words"), F.first("copies").alias("copies"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.collect_list("spans").alias("spans"))
     return joined.mapInArrow(_merged, _COLUMNS)
@@ -287,11 +289,20 @@ def _clean(shared):
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, columns: list[str], n: int = WINDOW) -> DataFrame:
-    """The rows of ``docs`` without any occurrence of a window, in one pass for each slice of the benchmark."""
+    """The rows of ``docs`` (text among ``columns``) without any occurrence of a window, in one pass for each slice of the
+    benchmark. Rows whose text is null, empty or without a window stay, repeated rows stay or go together; empty tables
+    give no rows, or all."""
     spark, out = docs.sparkSession, docs.select(*columns)
     ship(spark)
-    for b in slices(benchmark, n):
-        out = out.mapInArrow(_clean(spark.sparkContext.broadcast(b)), out.schema)
+    scratch = Scratch(spark)
+    count, benches = slices(benchmark, n)
+    for k, b in enumerate(benches, 1):
+        shared = spark.sparkContext.broadcast(b)
+        out = out.mapInArrow(lean(_clean(shared)), out.schema)
+        if k < count:
+            out = scratch.save(out, f"clean_{k}")
+            shared.unpersist()
+            scratch.drop(f"clean_{k - 1}")
     return out
 
 
@@ -322,8 +333,8 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> D
     spark, out = docs.sparkSession, None
     ship(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    for b in slices(benchmark, n):
-        part = docs.mapInArrow(_longest(spark.sparkContext.broadcast(b), "doc_id"), "item_id string, item_word long, length long, doc_id long, doc_word long")
+    for b in slices(benchmark, n)[1]:
+        part = docs.mapInArrow(lean(_longest(spark.sparkContext.broadcast(b), "doc_id")), "item_id string, item_word long, length long, doc_id long, doc_word long")
         out = part if out is None else out.unionByName(part)
     top = F.max_by(F.struct("length", "doc_id", "doc_word"), F.struct("length", -F.col("doc_id"), -F.col("doc_word")))
     return out.groupBy("item_id", "item_word").agg(top.alias("m")).select("item_id", "item_word", "m.*")
@@ -332,5 +343,3 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> D
 def digest(found: DataFrame) -> DataFrame:
     """The columns of the query: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
-
-
