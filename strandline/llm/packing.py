@@ -19,11 +19,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..runtime import ship
 from . import words as w
+from .lean import lean
 
 TOKENIZER, END = "/opt/tokenizers/byte_bpe_50k.tiktoken", 50256
 # Fixed value: the pattern by which the public byte-level vocabulary cuts texts before merging bytes.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-LENGTH, SHARD_TOKENS, KNOWN = 2048, 4 << 20, 400_000
+LENGTH, SHARD_TOKENS, KNOWN = 2048, 2 << 20, 100_000
 U = w.U
 _cache: dict = {}
 
@@ -137,12 +138,11 @@ def best_fit(sizes: list[int], length: int) -> list[list[int]]:
     return rows
 
 
-def _packed(shared, length: int, end: int):
+def _packed(shared, length: int, end: int, kind):
     def shard(ids: list, tokens: list[np.ndarray]):
         pieces = [(k, a) for k, t in enumerate(tokens) for a in range(0, len(t), length)]
         sizes = [min(length, len(tokens[k]) - a) for k, a in pieces]
         name = hashlib.sha256(repr((ids, [len(t) for t in tokens])).encode() + b"".join(t[:64].tobytes() for t in tokens)).hexdigest()[:16]
-        kind = np.uint16 if end < 1 << 16 else np.uint32
         rows = {c: [] for c in ("shard", "row", "n_tokens", "doc_ids", "doc_starts", "cu_seqlens", "position_resets", "ids")}
         for r, row in enumerate(best_fit(sizes, length)):
             at = np.concatenate([[0], np.cumsum([sizes[i] for i in row])])
@@ -159,11 +159,14 @@ def _packed(shared, length: int, end: int):
             yield _batch(rows)
 
     def run(batches):
-        if "encoder" not in _cache:
-            _cache["encoder"] = Encoder(shared.value)
+        name = hashlib.sha256(shared.value).digest()
+        if name not in _cache:  # one vocabulary at a time
+            _cache.clear()
+            _cache[name] = Encoder(shared.value)
+        encoder = _cache[name]
         ids, tokens, size = [], [], 0
         for batch in batches:
-            for i, t in zip(batch["doc_id"].to_pylist(), _cache["encoder"].texts(batch["text"]), strict=True):
+            for i, t in zip(batch["doc_id"].to_pylist(), encoder.texts(batch["text"]), strict=True):
                 ids.append(i), tokens.append(np.append(t, np.uint32(end)))
                 size += len(t) + 1
                 if size >= SHARD_TOKENS:
@@ -171,8 +174,9 @@ def _packed(shared, length: int, end: int):
                     ids, tokens, size = [], [], 0
         if ids:
             yield from shard(ids, tokens)
+        encoder.known.clear()
 
-    return run
+    return lean(run)
 
 
 _ROW = [("shard", pa.string()), ("row", pa.int32()), ("n_tokens", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("doc_starts", pa.list_(pa.int64())), ("cu_seqlens", pa.list_(pa.int32())), ("position_resets", pa.list_(pa.int32())), ("ids", pa.binary())]
@@ -185,22 +189,24 @@ def _batch(rows: dict) -> pa.RecordBatch:
 def pack(docs: DataFrame, length: int = LENGTH, tokenizer: str = TOKENIZER, end: int = END) -> DataFrame:
     """Packed rows of the texts of ``docs`` (doc_id, text; other columns are ignored).
 
-    Each text's ids are followed by ``end``. A row has ``length`` ids, little-endian of 2 bytes (4 if ``end`` needs them),
+    Each text's ids are followed by ``end``. A row has ``length`` ids, little-endian of 2 bytes (4 if ``end`` or the vocabulary needs them),
     filled up with ``end``; n_tokens of them count. Segment k of a row is ids cu_seqlens[k] to cu_seqlens[k + 1], and is
     what starts at token doc_starts[k] of text doc_ids[k]; positions start anew at position_resets. Null and empty texts
-    give one end token. An empty table gives no rows.
+    give one end token. Repeated rows are texts of their own. An empty table gives no rows.
     """
     spark = docs.sparkSession
     ship(spark)
     with open(tokenizer, "rb") as f:
-        ranks = spark.sparkContext.broadcast(f.read())
+        table = f.read()
+    kind = np.uint16 if max(end, *(int(line.split()[1]) for line in table.splitlines() if line)) < 1 << 16 else np.uint32
+    ranks = spark.sparkContext.broadcast(table)
     schema = "shard string, row int, n_tokens int, doc_ids array<long>, doc_starts array<long>, cu_seqlens array<int>, position_resets array<int>, ids binary"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_packed(ranks, length, end), schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_packed(ranks, length, end, kind), schema)
 
 
-def matrix(rows: list, length: int, end: int = END) -> tuple[np.ndarray, np.ndarray]:
+def matrix(rows: list, length: int) -> tuple[np.ndarray, np.ndarray]:
     """(ids, positions) of some packed rows, as matrices."""
-    ids = np.stack([np.frombuffer(r["ids"], np.uint16 if end < 1 << 16 else np.uint32) for r in rows])
+    ids = np.stack([np.frombuffer(r["ids"], np.uint16 if len(r["ids"]) == 2 * length else np.uint32) for r in rows])
     positions = np.tile(np.arange(length), (len(rows), 1))
     for r, p in zip(rows, positions, strict=True):
         cuts = [*r["cu_seqlens"], length]

@@ -1,3 +1,4 @@
+import base64
 import random
 
 import numpy as np
@@ -58,3 +59,25 @@ def test_round_trip(spark, monkeypatch, shard):
 
 def test_empty_table(spark):
     assert p.pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def small_vocabulary(path, first):
+    """A vocabulary of single bytes whose ids start at ``first``."""
+    path.write_bytes(b"".join(base64.b64encode(bytes([k])) + f" {first + k}\n".encode() for k in range(256)))
+    return str(path)
+
+
+def test_each_tokenizer_encodes_its_own(spark, tmp_path):
+    """One after the other in the same workers; ids beyond two bytes take four."""
+    docs = spark.createDataFrame([(1, "ab"), (1, "ab")], "doc_id long, text string").coalesce(1)
+    for first, end in ((0, 300), (70_000, 300), (1000, 300)):
+        rows = p.pack(docs, 16, small_vocabulary(tmp_path / f"v{first}", first), end).collect()
+        ids, _ = p.matrix([x.asDict() for x in rows], 16)
+        assert ids[0].tolist() == [first + 97, first + 98, end] * 2 + [end] * 10
+
+
+def test_matrices_on_disk(spark, tmp_path):
+    packed = p.pack(spark.createDataFrame([(1, "some words " * 30), (2, "")], "doc_id long, text string"), 32)
+    p.write_matrices(packed, str(tmp_path / "m"))
+    key = lambda x: (x.shard, x.row)
+    assert sorted(spark.read.parquet(str(tmp_path / "m")).collect(), key=key) == sorted(packed.collect(), key=key)
