@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..runtime import ship
 from . import words as w
+from .lean import lean
 
 U = w.U
 BLOCK, CONTAINED = 128, 0.8
@@ -237,8 +238,8 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, contained: floa
     ship(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     first = Index.build(templates, {}, contained)
-    counts = docs.select("text").mapInArrow(_frequencies(spark.sparkContext.broadcast(first)), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = docs.select("text").mapInArrow(lean(_frequencies(spark.sparkContext.broadcast(first))), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     index = Index.build(templates, {r.word: r.n for r in counts.collect()}, contained)
     phrases = [(_hashes(p), label) for p, label in PHRASES.items()]
     needed = [(t, _hashes(p)) for t, label in enumerate(index.labels) for p in (required or {}).get(label, ())]
-    return docs.mapInArrow(_scanned(spark.sparkContext.broadcast((index, phrases, needed)), BLOCK, across), "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
+    return docs.mapInArrow(lean(_scanned(spark.sparkContext.broadcast((index, phrases, needed)), BLOCK, across)), "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")

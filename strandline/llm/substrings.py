@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..runtime import Scratch, ship
 from . import words as w
 from .bitmap import bitmap, passes, place
+from .lean import lean
 
 WINDOW, GRAM, AUTOMATON, LARGE = 35, 8, 500, 100_000
 U = w.U
@@ -294,19 +295,19 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     scratch = Scratch(spark)
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d")
     docs = docs.select(key, F.xxhash64("text").alias("f"), "text")
-    found = docs.mapInArrow(_found(window), _FOUND)
+    found = docs.mapInArrow(lean(_found(window)), _FOUND)
     anchors = found.groupBy("anchor").agg(F.count("*").alias("n"), F.min("fp").alias("low"), F.max("fp").alias("high")).where("n > 1")
     places = scratch.save(found.join(anchors, "anchor").withColumn("alike", F.col("low") == F.col("high")).drop("low", "high", "n"), "places")
 
     one = places.where("not alike").groupBy("anchor", "fp").agg(F.count("*").alias("copies"), F.min_by(F.struct("d", "f", "first", "windows"), F.struct("d", "f", "first")).alias("at"))
     one = scratch.save(one, "one")
     wanted = one.groupBy("at.d", "at.f").agg(F.collect_list(F.struct("anchor", "fp", "copies", F.col("at.first").alias("first"), F.col("at.windows").alias("windows"))).alias("wanted"))
-    texts = docs.withColumn("h", place("d", "f")).mapInArrow(_texts(bitmap(one.select("at.d", "at.f"), "d", "f"), ["d", "f", "text"]), "d long, f long, text string")
-    content = texts.dropDuplicates(["d", "f"]).join(wanted, ["d", "f"]).select("text", "wanted").mapInArrow(_contents(window), "anchor long, fp long, copies long, words binary")
+    texts = docs.withColumn("h", place("d", "f")).mapInArrow(lean(_texts(bitmap(one.select("at.d", "at.f"), "d", "f"), ["d", "f", "text"])), "d long, f long, text string")
+    content = texts.dropDuplicates(["d", "f"]).join(wanted, ["d", "f"]).select("text", "wanted").mapInArrow(lean(_contents(window)), "anchor long, fp long, copies long, words binary")
     sizes = one.groupBy("anchor").agg(F.count("*").alias("size"))
     content = scratch.save(content.join(sizes, "anchor"), "content")
-    flags = content.where(F.col("size") <= LARGE).drop("size").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_searched(window), "anchor long, fp long, flags binary")
-    each = content.where(F.col("size") > LARGE).drop("size").mapInArrow(_windows(window), "anchor long, fp long, copies long, i long, w1 long, w2 long")
+    flags = content.where(F.col("size") <= LARGE).drop("size").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(lean(_searched(window)), "anchor long, fp long, flags binary")
+    each = content.where(F.col("size") > LARGE).drop("size").mapInArrow(lean(_windows(window)), "anchor long, fp long, copies long, i long, w1 long, w2 long")
     again = each.groupBy("anchor", "w1", "w2").agg(F.sum("copies").alias("n")).where("n > 1")
     hot = each.join(again, ["anchor", "w1", "w2"]).groupBy("anchor", "fp").agg(F.collect_list("i").alias("at"))
     hot = hot.select("anchor", "fp", F.transform(F.sequence(F.lit(0).cast("bigint"), F.array_max("at")), lambda i: F.when(F.array_contains("at", i), "01").otherwise("00")).alias("x"))
@@ -321,8 +322,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     bits = bitmap(gone, "d", "f")
     schema = "d long, f long, n_words long, n_removed long, kept_sha256 string"
     keyed = docs.withColumn("h", place("d", "f"))
-    same = keyed.mapInArrow(_texts_not(bits), "d long, f long, text string").mapInArrow(_digest(window, False), schema)
-    maybe = keyed.mapInArrow(_texts(bits, ["d", "f", "text"]), "d long, f long, text string").join(gone, ["d", "f"], "left").mapInArrow(_digest(window, True), schema)
+    same = keyed.mapInArrow(lean(_texts_not(bits)), "d long, f long, text string").mapInArrow(lean(_digest(window, False)), schema)
+    maybe = keyed.mapInArrow(lean(_texts(bits, ["d", "f", "text"])), "d long, f long, text string").join(gone, ["d", "f"], "left").mapInArrow(lean(_digest(window, True)), schema)
     return same.unionByName(maybe).select(F.when(F.col("d") != NO_ID, F.col("d")).alias("doc_id"), "n_words", "n_removed", "kept_sha256")
 
 
