@@ -62,3 +62,56 @@ def test_packing_round_trip():
 
 def test_empty_table(spark):
     assert lm.score(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def plain_scores(docs):
+    """Every text's score by dictionaries and loops."""
+    tokens = [brute.SPACED.findall((t or "").translate(brute.LOWER)) + ["\n"] for _, t in docs]
+    fold = [zlib.crc32(str(i).encode()) % 7 for i, _ in docs]
+    main, tune = (Counter(), Counter()), (Counter(), Counter())
+    for ts, f in zip(tokens, fold, strict=True):
+        if f != 2:
+            one, two = tune if f == 5 else main
+            one.update(ts)
+            two.update(zip(["\n", *ts], ts, strict=False))
+
+    def estimates(ts, one, two, n, v):
+        for a, b in zip(["\n", *ts], ts, strict=False):
+            p = (two[a, b] / max(one[a], 1), one[b] / max(n, 1), (one[b] + 1) / (n + v + 1))
+            yield min(math.ceil(math.log2(one[a] + 1)), lm.BUCKETS - 1), p
+
+    cells = Counter()
+    for ts, f in zip(tokens, fold, strict=True):
+        if f == 5:
+            for bucket, p in estimates(ts, *main, sum(main[0].values()), len(main[0])):
+                cells[bucket, tuple(round(math.log10(x) * lm.GRID) if x else None for x in p)] += 1
+
+    def fitted(some):
+        x = [1 / 3] * 3
+        for _ in range(lm.STEPS):
+            total = [0.1] * 3
+            for (_, bins), n in some:
+                share = [w * (10 ** (b / lm.GRID) if b is not None else 0) for w, b in zip(x, bins, strict=True)]
+                total = [t + n * s / sum(share) for t, s in zip(total, share, strict=True)]
+            x = [t / sum(total) for t in total]
+        return x
+
+    rest = fitted(list(cells.items()))
+    weights = {k: fitted([c for c in cells.items() if c[0][0] == k]) for k in {k for k, _ in cells}}
+    one, two = main[0] + tune[0], main[1] + tune[1]
+    n, v = sum(one.values()), len(one)
+    return [sum(math.log10(sum(w * x for w, x in zip(weights.get(b, rest), p, strict=True))) for b, p in estimates(ts, one, two, n, v)) for ts in tokens]
+
+
+def test_scores_against_a_plain_version(spark):
+    docs = made()
+    out = lm.score(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).toPandas().drop_duplicates("doc_id").set_index("doc_id").score
+    want = dict(zip([i for i, _ in docs], plain_scores(docs), strict=True))
+    for i, x in want.items():
+        assert out[i] == pytest.approx(x, rel=1e-9), i
+
+
+def test_rows_without_id_are_trained_on(spark):
+    rows = [(None, "a b"), (None, None), (1, "a b")]
+    out = lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(out) == 3 and all(r.train_tokens == out[0].train_tokens >= 4 for r in out)
