@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
-import time
 import uuid
 import zipfile
 
@@ -13,9 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; where that is unset (tests), a fresh one is set."""
+    """The folder named in ``spark.checkpoint.dir``. Where that is unset, a fresh local one is set in local mode; on a cluster
+    that is an error, since executors do not share local folders."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="strandline-")
         spark.sparkContext.setCheckpointDir(path)
         path = spark.sparkContext.getCheckpointDir()
@@ -33,24 +34,27 @@ class Scratch:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(schema).parquet(path)
 
-    def release(self) -> None:
-        """Lets Spark delete shuffle files of finished jobs now; else they stay until the driver happens to collect garbage."""
-        for _ in range(2):  # the first round lets go of what Python still held
-            gc.collect()
-            self.spark._jvm.System.gc()
-            time.sleep(1)
-
     def drop(self, *names: str) -> None:
         """Deletes tables that nothing reads any more."""
         jvm, conf = self.spark._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
             path.getFileSystem(conf).delete(path, True)
 
+    def close(self) -> None:
+        """Deletes all of its tables; results that read them must have been written before."""
+        self.drop("")
+
+
+BATCH_CONF, BATCH_ROWS, DEFAULT_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2048, "10000"
+
 
 def ship(spark: SparkSession) -> None:
-    """Makes the package importable in Python workers, once for each Spark context."""
+    """Makes the package importable in Python workers, once for each Spark context. Arrow batches get fewer rows than by
+    default, since rows here are whole texts and both sides of the pipe hold batches; a setting of one's own stays."""
     sc = spark.sparkContext
+    if spark.conf.get(BATCH_CONF) == DEFAULT_ROWS:
+        spark.conf.set(BATCH_CONF, BATCH_ROWS)
     if getattr(sc, "_strandline_shipped", False):
         return
     top = os.path.dirname(os.path.abspath(__file__))
