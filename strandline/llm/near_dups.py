@@ -2,14 +2,23 @@
 
 A text's set is its distinct shingles (5 words). Equal sets are one class, kept as one representative. Each
 representative has ``WIDTH`` minwise tokens. In each of ``TREES`` independent trees it follows, at every node, the
-``BRANCH`` coordinates that a hash of the node chooses; the node reached is named by the path of (coordinate, minwise
-token) pairs. So texts of similarity s share a node at depth d of one tree with probability q(d), q(0) = 1,
-q(d + 1) = 1 - (1 - s q(d)) ^ BRANCH: over 0.88 at any depth for s = 0.75, hence below 1e-5 to be missed by all trees.
-Nodes of up to ``SMALL`` texts end the recursion; larger ones branch to depth ``DEPTH``.
-
-Nodes are compared exhaustively up to components: first every member with the node's smallest member; then every member
-left in another component with all members of components other than its own. Comparisons first use the minwise estimate
-(over 4 standard deviations below the threshold to fail), then the full sets, exactly.
+coordinates that a hash of the node chooses; the node reached is named by the path of (coordinate, minwise token) pairs.
+With ``BRANCH`` = 2 paths a node, texts of similarity s share a node at depth d of one tree with probability q(d),
+q(0) = 1, q(d + 1) = 1 - (1 - s q(d)) ^ 2: over 0.88 at any depth for s = 0.75, hence below 1e-5 to be missed by all
+trees. From depth ``WIDE`` on, a node has a second path with probability 1 / ``RATE`` only, so that texts of a similarity
+below the threshold part in the end and the work stays in proportion to the number of texts.
+
+Work is by nodes, and linear in their size until few texts are left:
+
+1. Every member of a node is estimated against the node's first ``PIVOTS`` members (in one order for all nodes), the best
+   candidate of each text is confirmed on full sets, and components are formed. This goes on for nodes over ``SMALL``,
+   with heads of their largest components as pivots, while it halves the rows of nodes that hold several components.
+2. In nodes that still hold several components, members of different ones are compared exhaustively, first by estimates,
+   then on full sets. A pair that meets in several nodes is compared in the first of them only.
+
+Nodes are small in this sense if they have at most ``HELD`` members (signatures of 1 MB); larger ones are starred as
+tables and, if they still hold several components, branch further, to any depth.
+Comparisons by the minwise estimate leave out pairs over 4 standard deviations below the threshold; full sets decide.
 """
 
 from __future__ import annotations
@@ -20,13 +29,15 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..runtime import Scratch, ship
 from . import words as w
-from .bitmap import bitmap, passes, place
+from .bitmap import BITS, bitmap, passes, place
 from .components import components
+from .lean import lean
 
 SHINGLE, THRESHOLD = 5, 75
-TREES, BRANCH, START, DEPTH, SMALL, WIDTH = 6, 2, 2, 3, 64, 128
+TREES, BRANCH, START, SMALL, WIDTH = 6, 2, 2, 64, 128
+WIDE, RATE = 4, 3
+HELD, PIVOTS, SALTS = 2048, 16, 32
 ESTIMATE = 0.58
-CHUNK = 512
 U = w.U
 _rng = np.random.default_rng(7)
 _A = _rng.integers(0, 2**63, WIDTH, dtype=U) * U(2) + U(1)
@@ -61,7 +72,7 @@ def _sketch(batches):
             a, b = w.set_fingerprint(s)
             n.append(len(s)), f1.append(a), f2.append(b)
             sig.append(signature(s).tobytes() if len(s) else None)
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(sig, pa.binary())], ["doc_id", "n", "f1", "f2", "sig"])
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_hash"], pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(sig, pa.binary())], ["doc_id", "text_hash", "n", "f1", "f2", "sig"])
 
 
 def _matrix(col) -> np.ndarray:
@@ -69,31 +80,54 @@ def _matrix(col) -> np.ndarray:
     return raw.view(np.uint32).reshape(len(offs) - 1, WIDTH) if len(raw) else np.zeros((0, WIDTH), np.uint32)
 
 
+def _below(node: np.ndarray, k: int) -> np.ndarray:
+    """The coordinate by which path ``k`` leaves each node."""
+    first = w.mix(node ^ U(0x51ED270B4D2F1C35))
+    c = first % U(WIDTH)
+    for j in range(1, k + 1):  # another coordinate than the one before
+        c = (c + U(1) + w.mix(first + U(j)) % U(WIDTH - 1)) % U(WIDTH)
+    return c
+
+
+def _named(node: np.ndarray, coordinate: np.ndarray, token: np.ndarray) -> np.ndarray:
+    return w.mix(node * U(0x9E3779B97F4A7C15) + w.mix(coordinate << U(32) | token))
+
+
 def _children(node: np.ndarray, sig: np.ndarray) -> np.ndarray:
     """For each (node, signature), the BRANCH nodes below."""
     out = np.empty((len(node), BRANCH), U)
-    first = w.mix(node ^ U(0x51ED270B4D2F1C35))
-    c = first % U(WIDTH)
     for k in range(BRANCH):
-        if k:  # another coordinate than the first
-            c = (c + U(1) + w.mix(first + U(k)) % U(WIDTH - 1)) % U(WIDTH)
-        out[:, k] = w.mix(node * U(0x9E3779B97F4A7C15) + w.mix(c << U(32) | sig[np.arange(len(node)), c.astype(np.int64)]))
+        c = _below(node, k)
+        out[:, k] = _named(node, c, sig[np.arange(len(node)), c.astype(np.int64)].astype(U))
     return out
 
 
+def _paths(sig: np.ndarray) -> np.ndarray:
+    """(texts, nodes) at depth START of all trees."""
+    node, who = np.tile(w.mix(np.arange(1, TREES + 1, dtype=U)), len(sig)), np.repeat(np.arange(len(sig)), TREES)
+    for _ in range(START):
+        node, who = _children(node, sig[who]).ravel(), who.repeat(BRANCH)
+    return node.reshape(len(sig), -1)
+
+
 def _roots(batches):
     for batch in batches:
-        sig, rep = _matrix(batch["sig"]), batch["rep"].to_numpy(zero_copy_only=False)
-        node, who = np.tile(w.mix(np.arange(1, TREES + 1, dtype=U)), len(rep)), np.repeat(np.arange(len(rep)), TREES)
-        for _ in range(START):
-            node, who = _children(node, sig[who]).ravel(), who.repeat(BRANCH)
-        yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(rep[who])], ["node", "rep"])
+        node = _paths(_matrix(batch["sig"]))
+        yield pa.RecordBatch.from_arrays([pa.array(node.ravel().view(np.int64)), pa.array(batch["rep"].to_numpy().repeat(node.shape[1]))], ["node", "rep"])
 
 
-def _branches(batches):
-    for batch in batches:
-        node = batch["node"].to_numpy().view(U)
-        yield pa.RecordBatch.from_arrays([pa.array(_children(node, _matrix(batch["sig"])).ravel().view(np.int64)), pa.array(batch["rep"].to_numpy().repeat(BRANCH))], ["node", "rep"])
+def _branches(depth: int):
+    """The nodes below those of one depth."""
+
+    def run(batches):
+        for batch in batches:
+            node = batch["node"].to_numpy().view(U)
+            below = _children(node, _matrix(batch["sig"]))
+            second = np.full(len(node), True) if depth < WIDE else w.mix(node ^ U(0x2127599BF4325C37)) % U(RATE) == 0
+            rep = batch["rep"].to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([below[:, 0], below[second, 1]]).view(np.int64)), pa.array(np.concatenate([rep, rep[second]]))], ["node", "rep"])
+
+    return run
 
 
 def _close(batches):
@@ -104,60 +138,96 @@ def _close(batches):
         yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(est)], ["a", "b", "est"]).filter(keep)
 
 
-def _by_group(judge):
-    """Runs ``judge`` on tables of whole groups, from rows sorted by g."""
+def _by_group(judge, rows: int = 4096):
+    """Runs ``judge`` on tables of whole groups, from rows sorted by g. Holds one group and about ``rows`` rows."""
 
     def run(batches):
         held = None
         for batch in batches:
-            t = pa.Table.from_batches([batch])
-            t = pa.concat_tables([held, t]).combine_chunks() if held is not None and len(held) else t
-            if not len(t):
-                continue
-            g = t["g"].to_numpy()
-            last = int(np.flatnonzero(g != g[-1])[-1]) + 1 if g[0] != g[-1] else 0
-            if last:
-                yield from judge(t.slice(0, last).combine_chunks()).to_batches()
-            held = t.slice(last)
+            for at in range(0, len(batch), rows):
+                t = pa.Table.from_batches([batch.slice(at, rows)])
+                t = pa.concat_tables([held, t]) if held is not None and len(held) else t
+                g = t["g"].to_numpy()
+                last = int(np.searchsorted(g, g[-1]))
+                if last:
+                    yield from judge(t.slice(0, last).combine_chunks()).to_batches()
+                held = t.slice(last)
         if held is not None and len(held):
             yield from judge(held.combine_chunks()).to_batches()
 
-    return run
-
-
-def _sides(t: pa.Table):
-    """For each group, the rows left over (side 1) and the other rows (side 0)."""
-    g, side = t["g"].to_numpy(), t["side"].to_numpy()
-    cut = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1], [True]]))
-    for lo, hi in zip(cut[:-1], cut[1:], strict=True):
-        yield lo + np.flatnonzero(side[lo:hi] == 1), lo + np.flatnonzero(side[lo:hi] == 0)
-
-
-def _closeness(t: pa.Table) -> pa.Table:
-    """Rows with a close row of another component on the other side of their group."""
-    comp, sig, keep = t["comp"].to_numpy(), _matrix(t["sig"]), np.zeros(len(t), bool)
-    for x, y in _sides(t):
-        theirs = sig[y]
-        for i in x:
-            near = ((theirs == sig[i]).mean(axis=1) >= ESTIMATE) & (comp[y] != comp[i])
-            keep[i] |= near.any()
-            keep[y[near]] = True
-    return t.filter(pa.array(keep))
+    return lean(run)
+
+
+def _candidates(pivots: int):
+    """For each row of a group, its likeliest partner of another component among the group's pivots. Pivots are the first
+    members of the group's components, largest components first, then other members; each row looks at pivots before it."""
+
+    def judge(t: pa.Table) -> pa.Table:
+        g, rep, comp, sig = t["g"].to_numpy(), t["rep"].to_numpy(), t["comp"].to_numpy(), _matrix(t["sig"])
+        h = w.mix(rep.view(U) + U(0x632BE59BD9B4E019))
+        by = np.lexsort((h, comp, g))
+        new = np.append(True, (comp[by][1:] != comp[by][:-1]) | (g[by][1:] != g[by][:-1]))
+        size, head = np.empty(len(g), np.int64), np.empty(len(g), bool)
+        size[by], head[by] = np.diff(np.append(np.flatnonzero(new), len(g)))[np.cumsum(new) - 1], new
+        by = np.lexsort((h, -size, ~head, g))
+        g, rep, comp, sig = g[by], rep[by], comp[by], sig[by]
+        start = np.searchsorted(g, g)
+        rank = np.arange(len(g)) - start
+        best, partner = np.zeros(len(g)), np.full(len(g), -1)
+        for j in range(pivots):
+            row = np.flatnonzero(rank > j)
+            row = row[comp[row] != comp[start[row] + j]]
+            if not len(row) and not (rank > j).any():
+                break
+            est = (sig[row] == sig[start[row] + j]).mean(axis=1)
+            more = est > best[row]
+            best[row[more]], partner[row[more]] = est[more], start[row[more]] + j
+        ok = np.flatnonzero(best >= ESTIMATE)
+        return pa.table([pa.array(rep[partner[ok]]), pa.array(rep[ok]), pa.array(best[ok])], ["a", "b", "est"])
+
+    return judge
+
+
+def _closeness(large):
+    """Members that are close to a member of another component of their node. A pair counts in the first node of depth START
+    that holds both and is certainly not a large one (``large``: a bitmap of those, or None); if there is none, in all."""
+
+    def judge(t: pa.Table) -> pa.Table:
+        g, comp, sig, keep = t["g"].to_numpy().view(U), t["comp"].to_numpy(), _matrix(t["sig"]), np.zeros(len(t), bool)
+        paths, end = _paths(sig), np.searchsorted(t["g"].to_numpy(), t["g"].to_numpy(), "right")
+        sure = np.ones(paths.shape, bool) if large is None else ~passes(large.value, (paths & U(BITS - 1)).astype(np.int64))
+        top = (paths == g[:, None]).any(axis=1)
+        rows, d = np.arange(len(t)), 1
+        while len(rows := rows[rows + d < end[rows]]):
+            a = rows[comp[rows] != comp[rows + d]]
+            for k in range(0, len(a), 1 << 16):
+                x = a[k : k + (1 << 16)]
+                x = x[(sig[x] == sig[x + d]).mean(axis=1) >= ESTIMATE]
+                both = (paths[x] == paths[x + d]) & sure[x]
+                first = both.argmax(axis=1)
+                x = x[~both.any(axis=1) | (paths[x, first] == g[x]) | ~top[x]]
+                keep[x] = keep[x + d] = True
+            d += 1
+        return t.select(["g", "rep", "comp"]).filter(pa.array(keep))
+
+    return judge
 
 
 def _linked(t: pa.Table) -> pa.Table:
     """Links between components, as many as join what can be joined: no pair of members already joined here is compared."""
-    rep, comp, sig = t["rep"].to_numpy(), t["comp"].to_numpy(), _matrix(t["sig"])
+    g, rep, label = t["g"].to_numpy(), t["rep"].to_numpy(), t["comp"].to_numpy().copy()
     raw, offs = w.column_bytes(t["shingles"])
     sets = [np.frombuffer(raw[a:b].tobytes(), U) for a, b in zip(offs[:-1], offs[1:], strict=True)]
-    size, out = np.array([len(s) for s in sets]), []
-    for x, y in _sides(t):
-        label, theirs = comp.copy(), sig[y]
-        for i in x:
-            near = y[((theirs == sig[i]).mean(axis=1) >= ESTIMATE) & (label[y] != label[i])]
+    sig = np.stack([signature(s) for s in sets])
+    size, out = np.diff(offs) // 8, []
+    cut = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1], [True]]))
+    for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+        for i in range(lo, hi - 1):
+            near = i + 1 + np.flatnonzero((label[i + 1 : hi] != label[i]) & (100 * np.minimum(size[i + 1 : hi], size[i]) >= THRESHOLD * np.maximum(size[i + 1 : hi], size[i])))
+            near = near[(sig[near] == sig[i]).mean(axis=1) >= ESTIMATE]
             for k in range(0, len(near), 64):
                 js = near[k : k + 64]
-                js = js[(label[js] != label[i]) & (100 * np.minimum(size[js], size[i]) >= THRESHOLD * np.maximum(size[js], size[i]))]
+                js = js[label[js] != label[i]]
                 if not len(js):
                     continue
                 at, both = np.cumsum(size[js]) - size[js], np.concatenate([sets[j] for j in js])
@@ -166,7 +236,8 @@ def _linked(t: pa.Table) -> pa.Table:
                 for j in js[100 * n >= THRESHOLD * (size[js] + size[i] - n)]:
                     if label[j] != label[i]:
                         out.append((min(rep[i], rep[j]), max(rep[i], rep[j])))
-                        label[label == label[j]] = label[i]
+                        mine = label[lo:hi]
+                        mine[mine == label[j]] = label[i]
     a, b = zip(*out, strict=True) if out else ((), ())
     return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
@@ -176,17 +247,11 @@ def _sets(bits):
         for batch in batches:
             batch = batch.filter(pa.array(passes(bits.value, batch["h"].to_numpy())))
             if len(batch):
-                yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([s.tobytes() for s in shingle_sets(batch["text"])], pa.binary())], ["doc_id", "shingles"])
-
-    return run
+                sets = list(shingle_sets(batch["text"]))
+                f1 = pa.array([w.set_fingerprint(s)[0] for s in sets], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch["doc_id"], f1, pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "f1", "shingles"])
 
-
-def _full_sets(docs: DataFrame, ids: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """(doc_id, shingles) of some ids. A bitmap of fixed size keeps most other texts from going over the network; an exact
-    join follows it, so the bitmap decides nothing."""
-    ids = scratch.save(ids.distinct(), f"{name}_ids")
-    sets = docs.where("doc_id is not null").select("doc_id", "text", place("doc_id").alias("h")).mapInArrow(_sets(bitmap(ids, "doc_id")), "doc_id long, shingles binary")
-    return scratch.save(sets.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), f"{name}_sets")
+    return lean(run)
 
 
 def _agree(threshold):
@@ -200,75 +265,137 @@ def _agree(threshold):
                 keep.append(100 * n >= threshold * (len(x) + len(y) - n))
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return run
-
-
-def _grid(groups: DataFrame, comp: DataFrame) -> DataFrame:
-    """(g, rep, comp, side): in each g, members outside the component of their group's pivot (side 1), and members to
-    compare those with. Groups are cut into chunks of about CHUNK on either side, so that no task holds a large group."""
-    of = lambda c: comp.select(F.col("node").alias(c), F.col("component").alias(f"{c}_comp"))
-    seen = groups.join(of("rep"), "rep", "left").join(of("pivot"), "pivot", "left").select("pivot", "rep", F.coalesce("rep_comp", "rep").alias("comp"), F.coalesce("pivot_comp", "pivot").alias("pcomp"))
-    per = seen.groupBy("pivot").agg(F.count("*").alias("size"), F.count_if(F.col("comp") != F.col("pcomp")).alias("odd")).where("odd > 0")
-    seen = seen.join(per, "pivot")
-    parts, odd_parts = (F.ceil(F.col(c) / CHUNK).cast("int") for c in ("size", "odd"))
-    spread = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
-    mine = seen.where("comp <> pcomp").select("pivot", "rep", "comp", F.lit(1).alias("side"), spread(odd_parts).alias("i"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("j"))
-    theirs = seen.select("pivot", "rep", "comp", F.lit(0).alias("side"), F.explode(F.sequence(F.lit(0), odd_parts - 1)).alias("i"), spread(parts).alias("j"))
-    return mine.unionByName(theirs).select(F.xxhash64("pivot", "i", "j").alias("g"), "rep", "comp", "side")
+    return lean(run)
+
+
+class _Join:
+    """The state of one join: representatives, the links found so far, and the components that they make."""
+
+    def __init__(self, docs: DataFrame, reps: DataFrame, scratch: Scratch):
+        self.docs, self.reps, self.scratch = docs, reps, scratch
+        self.sigs, self.links, self.comp, self.step = reps.select("rep", "sig"), None, None, 0
+
+    def labelled(self, members: DataFrame) -> DataFrame:
+        """(node, rep, comp)"""
+        if self.comp is None:
+            return members.select("node", "rep", F.col("rep").alias("comp"))
+        return members.join(self.comp.toDF("rep", "label"), "rep", "left").select("node", "rep", F.coalesce("label", "rep").alias("comp"))
+
+    def mixed(self, members: DataFrame) -> DataFrame:
+        """(node, rep, comp) of the nodes that hold several components."""
+        rows = self.scratch.save(self.labelled(members), f"labelled_{self.step}")
+        some = rows.groupBy("node").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("node")
+        out = self.scratch.save(rows.join(some, "node", "left_semi"), f"mixed_{self.step}")
+        self.scratch.drop(f"labelled_{self.step}")
+        self.step += 1
+        return out
+
+    def grouped(self, rows: DataFrame) -> DataFrame:
+        """(g, rep, comp, sig), whole nodes in one partition, in order."""
+        return rows.join(self.sigs, "rep").select(F.col("node").alias("g"), "rep", "comp", "sig").repartition("g").sortWithinPartitions("g")
+
+    def sets(self, ids: DataFrame, name: str) -> DataFrame:
+        """(rep, shingles) of some representatives. A bitmap of fixed size keeps most other texts from going over the
+        network; an exact join follows it, so the bitmap decides nothing."""
+        ids = self.scratch.save(ids.toDF("rep").distinct().join(self.reps.select("rep", "doc_id", "f1"), "rep"), f"{name}_ids")
+        found = self.docs.where("doc_id is not null").select("doc_id", "text", place("doc_id").alias("h")).mapInArrow(_sets(bitmap(ids, "doc_id")), "doc_id long, f1 long, shingles binary")
+        return self.scratch.save(found.join(ids, ["doc_id", "f1"]).dropDuplicates(["rep"]).select("rep", "shingles"), f"{name}_sets")
+
+    def confirm(self, candidates: DataFrame) -> None:
+        """Of (a, b, est), takes the likeliest a of each b, confirms it on full sets, and forms components anew. A much wanted
+        a is salted."""
+        name = f"round_{self.step}"
+        best = candidates.groupBy("b").agg(F.max_by("a", F.struct("est", -F.col("a"))).alias("a"))
+        best = self.scratch.save(best.select("a", "b"), name)
+        sets = self.sets(best.select(F.explode(F.array("a", "b"))), name)
+        salts = best.groupBy("a").agg(F.ceil(F.count("*") / 1024).cast("int").alias("salts"))
+        left = salts.join(sets.toDF("a", "xa"), "a").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+        pairs = best.join(salts, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int")).drop("salts")
+        full = pairs.join(sets.toDF("b", "xb"), "b").join(left.drop("salts"), ["a", "salt"]).select("a", "b", "xa", "xb")
+        found = self.scratch.save(full.mapInArrow(_agree(THRESHOLD), "a long, b long"), f"{name}_links")
+        self.scratch.drop(name, f"{name}_ids", f"{name}_sets")
+        self.add(found, name)
+
+    def add(self, links: DataFrame, name: str) -> None:
+        self.links = links if self.links is None else self.links.unionByName(links)
+        self.comp = self.scratch.save(components(self.links, self.scratch, f"{name}_cc"), f"{name}_comp")
+
+    def star(self, large: DataFrame) -> None:
+        """One round over nodes that no task can hold: all members against a few pivots of their node, salted."""
+        rows = self.labelled(large)
+        salt = F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int")
+        heads = rows.groupBy("node").agg(F.array_distinct(F.array(*(F.min_by("rep", F.xxhash64("rep", F.lit(k + self.step))) for k in range(4)))).alias("a"))
+        heads = heads.select("node", F.explode("a").alias("rep")).join(self.sigs, "rep").toDF("a", "node", "sa").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        pairs = rows.withColumn("salt", salt).join(heads, ["node", "salt"]).where("a <> rep").select("a", F.col("rep"), "sa")
+        pairs = pairs.join(self.sigs, "rep").select("a", F.col("rep").alias("b"), "sa", F.col("sig").alias("sb"))
+        self.confirm(pairs.mapInArrow(lean(_close), "a long, b long, est double"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text; other columns are ignored).
+    """(doc_id, n_shingles, component_id, kept, text_hash) for every row of ``docs`` (doc_id, text; other columns are ignored).
 
     Null or empty texts have no shingles and are linked with nothing. Rows without doc_id have component null and are
-    kept. Rows that repeat a doc_id are judged each by its own text where texts are equal, else by the first text.
+    kept. Rows that repeat a doc_id are judged each by its own text, whatever their order; text_hash tells those apart.
+    Rows with equal id and text have equal results.
     """
     spark = docs.sparkSession
     ship(spark)
     scratch = Scratch(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = scratch.save(docs.mapInArrow(_sketch, "doc_id long, n long, f1 long, f2 long, sig binary"), "rows")
+    rows = docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(lean(_sketch), "doc_id long, text_hash long, n long, f1 long, f2 long, sig binary")
+    rows = scratch.save(rows, "rows")
     some = rows.where("n > 0 and doc_id is not null")
-    reps = scratch.save(some.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "reps")
-    sigs = reps.select("rep", "sig").dropDuplicates(["rep"])
-
-    nodes, ends = reps.where("n > 0").select("rep", "sig").mapInArrow(_roots, "node long, rep long"), []
-    for depth in range(START, DEPTH + 1):
+    reps = some.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"))
+    # sets of ids with several texts get names of their own
+    several = some.groupBy("doc_id").agg(F.min(F.struct("f1", "f2", "n")).alias("low"), F.max(F.struct("f1", "f2", "n")).alias("high")).where("low <> high").select("doc_id")
+    several = scratch.save(several, "several")
+    clash = not several.isEmpty()
+    if clash:
+        own = F.when(F.col("s").isNotNull(), -1 - F.shiftrightunsigned(F.xxhash64("doc_id", "f1", "f2", "n"), 2)).otherwise(F.col("doc_id"))
+        reps = reps.join(several.withColumn("s", F.lit(1)), "doc_id", "left").withColumn("rep", own).drop("s")
+    else:
+        reps = reps.withColumn("rep", F.col("doc_id"))
+    reps = scratch.save(reps, "reps")
+    join = _Join(docs, reps, scratch)
+
+    # nodes that a task can hold; larger ones branch further, unless they are one component
+    nodes, held, depth, bits = reps.select("rep", "sig").mapInArrow(lean(_roots), "node long, rep long"), None, START, None
+    while True:
         nodes = scratch.save(nodes, f"nodes_{depth}")
-        size = nodes.groupBy("node").agg(F.count("*").alias("size"), F.min("rep").alias("pivot")).where("size > 1")
+        size = nodes.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
         full = scratch.save(nodes.join(size, "node"), f"full_{depth}")
         scratch.drop(f"nodes_{depth}")
-        ends.append(full.where(F.lit(depth == DEPTH) | (F.col("size") <= SMALL)))
-        large = full.where(F.col("size") > SMALL)
-        if depth == DEPTH or large.isEmpty():
+        part, large = full.where(F.col("size") <= HELD), full.where(F.col("size") > HELD)
+        held = part if held is None else held.unionByName(part)
+        if large.isEmpty():
             break
-        nodes = large.join(sigs, "rep").select("node", "rep", "sig").mapInArrow(_branches, "node long, rep long")
-    members = ends[0]
-    for x in ends[1:]:
-        members = members.unionByName(x)
-
-    # nodes with the same smallest member are one group; every member with that one, for each the likeliest
-    groups = scratch.save(members.select("pivot", "rep").distinct(), "groups")
-    star = groups.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
-    star = star.join(sigs.toDF("a", "sa"), "a").join(sigs.toDF("b", "sb"), "b")
-    best = star.mapInArrow(_close, "a long, b long, est double").groupBy("b").agg(F.max_by("a", F.struct("est", -F.col("a"))).alias("a"))
-    star = scratch.save(best.select("a", "b"), "star")
-    sets = _full_sets(docs, star.select(F.explode(F.array("a", "b")).alias("doc_id")), scratch, "star")
-    full = star.join(sets.toDF("a", "xa"), "a").join(sets.toDF("b", "xb"), "b")
-    links = scratch.save(full.mapInArrow(_agree(THRESHOLD), "a long, b long"), "star_links")
-
-    # what is left over
-    comp = scratch.save(components(links, scratch, "star_cc"), "comp")
-    row = "g long, rep long, comp long, side int"
-    rest = _grid(groups, comp).join(sigs, "rep").repartition("g").sortWithinPartitions("g").select("g", "rep", "comp", "side", "sig")
-    rest = scratch.save(rest.mapInArrow(_by_group(_closeness), f"{row}, sig binary"), "rest")
-    sets = _full_sets(docs, rest.select(F.col("rep").alias("doc_id")), scratch, "rest")
-    full = rest.join(sets.withColumnRenamed("doc_id", "rep"), "rep").repartition("g").sortWithinPartitions("g").select("g", "rep", "comp", "side", "sig", "shingles")
-    more = scratch.save(full.mapInArrow(_by_group(_linked), "a long, b long"), "more_links")
-    links = links.unionByName(more)
-    ids = scratch.save(components(links, scratch, "cc"), "ids").toDF("rep", "component")
-    whose = reps.select("f1", "f2", "n", "rep").join(ids, "rep", "left").select("f1", "f2", "n", F.coalesce("component", "rep").alias("component"))
-    out = rows.select("doc_id", "n", "f1", "f2").join(whose, ["f1", "f2", "n"], "left")
-    scratch.drop("star", "star_ids", "star_sets", "groups", "rest", "rest_ids", "rest_sets", *(f"full_{d}" for d in range(START, DEPTH + 1)))
+        if depth == START:
+            bits = bitmap(large, at=F.col("node").bitwiseAND(F.lit(BITS - 1)))
+        join.star(large)
+        nodes = join.mixed(large).join(join.sigs, "rep").select("node", "rep", "sig").mapInArrow(lean(_branches(depth)), "node long, rep long")
+        depth += 1
+
+    # stars within nodes; those of large ones again and again while that helps
+    link = "a long, b long, est double"
+    now = join.labelled(held) if join.comp is None else join.mixed(held)
+    before = None
+    while before is None or 0 < (n := now.count()) <= before / 2:
+        before = before and n or float("inf")
+        join.confirm(join.grouped(now).mapInArrow(_by_group(_candidates(PIVOTS)), link))
+        now = join.mixed(held.where(F.col("size") > SMALL))
+
+    # what is left is compared node by node
+    rest = scratch.save(join.grouped(join.mixed(held)).mapInArrow(_by_group(_closeness(bits)), "g long, rep long, comp long"), "rest")
+    full = rest.join(join.sets(rest.select("rep"), "rest"), "rep").repartition("g").sortWithinPartitions("g").select("g", "rep", "comp", "shingles")
+    more = scratch.save(full.mapInArrow(_by_group(_linked, 256), "a long, b long"), "more_links")
+    join.add(more, "last")
+    ids = join.comp.toDF("rep", "component")
+    whose = reps.select("f1", "f2", "n", "rep", "doc_id").join(ids, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    if clash:
+        least = whose.groupBy("component").agg(F.min("doc_id").alias("least"))
+        whose = whose.join(least, "component").withColumn("component", F.col("least"))
+    whose = whose.select("f1", "f2", "n", "component")
+    out = rows.select("doc_id", "text_hash", "n", "f1", "f2").join(whose, ["f1", "f2", "n"], "left")
+    scratch.drop("rest", "rest_ids", "rest_sets", *(f"full_{d}" for d in range(START, depth + 1)), *(f"mixed_{k}" for k in range(join.step)))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "text_hash")
