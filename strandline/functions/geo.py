@@ -72,11 +72,16 @@ def grid_cell(lat, lon, metres: float = 100.0) -> tuple[Column, Column]:
 
 
 def parse_wkt(wkt) -> Column:
-    """struct(kind, points): points of a POINT, LINESTRING, or of the first ring of each polygon, as (lon, lat) structs."""
+    """struct(kind, rings, holes, points): the rings of polygons (and whether each is a hole), the parts of lines, or points,
+    all as arrays of (lon, lat) structs; ``points`` has those of all rings."""
     wkt = col(wkt)
-    pairs = F.regexp_extract_all(wkt, F.lit(_NUMBER + r"\s+" + _NUMBER), F.lit(0))
-    points = F.transform(pairs, lambda p: F.struct(F.element_at(F.split(p, r"\s+"), 1).cast("double").alias("lon"), F.element_at(F.split(p, r"\s+"), 2).cast("double").alias("lat")))
-    return F.struct(F.upper(F.regexp_extract(wkt, r"^\s*([A-Za-z]+)", 1)).alias("kind"), points.alias("points"))
+    # a hole is the only ring that opens after a comma with one bracket
+    parts = F.regexp_extract_all(wkt, F.lit(r"(\(\s*)?\([^()]+\)"), F.lit(0))
+    place = lambda p: F.struct(F.element_at(F.split(p, r"\s+"), 1).cast("double").alias("lon"), F.element_at(F.split(p, r"\s+"), 2).cast("double").alias("lat"))
+    rings = F.transform(parts, lambda r: F.transform(F.regexp_extract_all(r, F.lit(_NUMBER + r"\s+" + _NUMBER), F.lit(0)), place))
+    kind = F.upper(F.regexp_extract(wkt, r"^\s*([A-Za-z]+)", 1))
+    holes = F.transform(parts, lambda r: kind.endswith("POLYGON") & ~r.rlike(r"^\(\s*\("))
+    return F.struct(kind.alias("kind"), rings.alias("rings"), holes.alias("holes"), F.flatten(rings).alias("points"))
 
 
 def point_wkt(lon, lat) -> Column:
@@ -89,15 +94,19 @@ def ring(points: Column) -> Column:
 
 
 def _edges(points: Column) -> Column:
-    closed = ring(points)
-    n = F.size(closed)
-    return F.zip_with(F.slice(closed, F.lit(1), n - 1), F.slice(closed, F.lit(2), n - 1), lambda a, b: F.struct(a["lon"].alias("x1"), a["lat"].alias("y1"), b["lon"].alias("x2"), b["lat"].alias("y2")))
+    return _steps(ring(points))
 
 
-def contains(points: Column, lon, lat) -> Column:
-    """Whether a ring holds a point; a point on its boundary is outside."""
+def _steps(points: Column) -> Column:
+    """The segments from each point to the next."""
+    n = F.greatest(F.size(points) - 1, F.lit(0))
+    return F.zip_with(F.slice(points, F.lit(1), n), F.slice(points, F.lit(2), n), lambda a, b: F.struct(a["lon"].alias("x1"), a["lat"].alias("y1"), b["lon"].alias("x2"), b["lat"].alias("y2")))
+
+
+def contains(rings: Column, lon, lat) -> Column:
+    """Whether a polygon or several, given by all of their rings, hold a point: not in holes, and not on a boundary."""
     lon, lat = col(lon), col(lat)
-    edges = _edges(points)
+    edges = F.flatten(F.transform(rings, _edges))
 
     def on(e):
         cross = (e["x2"] - e["x1"]) * (lat - e["y1"]) - (e["y2"] - e["y1"]) * (lon - e["x1"])
@@ -119,17 +128,26 @@ def boxes_meet(a: Column, b: Column) -> Column:
     return (a["min_lon"] <= b["max_lon"]) & (b["min_lon"] <= a["max_lon"]) & (a["min_lat"] <= b["max_lat"]) & (b["min_lat"] <= a["max_lat"])
 
 
-def centroid(points: Column) -> Column:
-    """Area-weighted centre of a ring; the mean of its points where the ring has no area; a point's own place."""
-    edges = _edges(points)
-    cross = lambda e: e["x1"] * e["y2"] - e["x2"] * e["y1"]
-    total = lambda f: F.aggregate(F.transform(edges, f), F.lit(0.0), lambda s, x: s + x)
-    area, n = total(cross), F.size(points)
-    mean = lambda k: F.aggregate(points, F.lit(0.0), lambda s, p: s + p[k]) / n
-    flat = (n < 3) | (area == 0)
-    lon = F.when(flat, mean("lon")).otherwise(total(lambda e: (e["x1"] + e["x2"]) * cross(e)) / (3 * area))
-    lat = F.when(flat, mean("lat")).otherwise(total(lambda e: (e["y1"] + e["y2"]) * cross(e)) / (3 * area))
-    return F.struct(lon.alias("lon"), lat.alias("lat"))
+def _sum(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
+
+
+def centroid(shape: Column) -> Column:
+    """Centre of a parsed geometry: weighted by area for polygons (holes count against it), by length for lines and polygons
+    without area, else the mean of the points."""
+    sign = lambda ring, hole: F.signum(_sum(F.transform(_edges(ring), lambda e: e["x1"] * e["y2"] - e["x2"] * e["y1"]))) * F.when(hole, -1.0).otherwise(1.0)
+    weighed = F.flatten(F.zip_with(shape["rings"], shape["holes"], lambda r, h: F.transform(_edges(r), lambda e: F.struct(e.alias("e"), (sign(r, h) * (e["x1"] * e["y2"] - e["x2"] * e["y1"])).alias("k")))))
+    area = _sum(F.transform(weighed, lambda x: x["k"]))
+    by_area = lambda a, b: _sum(F.transform(weighed, lambda x: (x["e"][a] + x["e"][b]) * x["k"])) / (3 * area)
+    steps = F.flatten(F.transform(shape["rings"], _steps))
+    length = lambda e: F.sqrt(F.pow(e["x2"] - e["x1"], 2) + F.pow(e["y2"] - e["y1"], 2))
+    total = _sum(F.transform(steps, length))
+    by_length = lambda a, b: _sum(F.transform(steps, lambda e: (e[a] + e[b]) / 2 * length(e))) / total
+    mean = lambda k: _sum(F.transform(shape["points"], lambda p: p[k])) / F.size(shape["points"])
+    solid = shape["kind"].endswith("POLYGON") & (area != 0)
+    drawn = ~shape["kind"].endswith("POINT") & (total > 0)
+    pick = lambda a, b, k: F.when(solid, by_area(a, b)).when(drawn, by_length(a, b)).otherwise(mean(k))
+    return F.struct(pick("x1", "x2", "lon").alias("lon"), pick("y1", "y2", "lat").alias("lat"))
 
 
 def move(lat, lon, heading, metres) -> tuple[Column, Column]:

@@ -66,6 +66,19 @@ def disorder(events: DataFrame, key: str, delay_ms: int, ts: str = "ts_ms", orde
     return rows.groupBy(key).agg(n.alias("events"), bad.alias("out_of_order"), late.alias("late"), (bad / n).alias("disorder_ratio"), (late / n).alias("late_ratio"), F.avg(F.col(arrival) - F.col(ts)).alias("mean_latency_ms"))
 
 
+def disorder_overall(events: DataFrame, delay_ms: int, block: int = 1 << 16, ts: str = "ts_ms", arrival: str = "ingest_ms", order: str = "seq") -> DataFrame:
+    """As ``disorder``, for all events together: the largest time so far comes from the blocks of arrival numbers before,
+    of which only one row each is ordered as a whole, and from the block itself. An empty table gives no row."""
+    rows = events.select(ts, arrival, order, F.floor(F.col(order) / block).alias("_block"))
+    tops = rows.groupBy("_block").agg(F.max(ts).alias("_top"))
+    tops = tops.select("_block", F.max("_top").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
+    inside = F.max(ts).over(Window.partitionBy("_block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("_inside", inside).join(tops, "_block").withColumn("high", F.greatest("_before", "_inside"))
+    n, bad, late = F.count("*"), F.count_if(F.col(ts) < F.col("high")), F.count_if(F.col(ts) < F.col("high") - delay_ms)
+    out = rows.agg(n.alias("events"), bad.alias("out_of_order"), late.alias("late"), F.avg(F.col(arrival) - F.col(ts)).alias("mean_latency_ms")).where("events > 0")
+    return out.select("events", "out_of_order", "late", (F.col("out_of_order") / F.col("events")).alias("disorder_ratio"), (F.col("late") / F.col("events")).alias("late_ratio"), "mean_latency_ms")
+
+
 def moving_average(events: DataFrame, key: str, value: Column, alpha: float = 0.1, order: str = "seq") -> DataFrame:
     """Exponential moving average in arrival order; a state of zero counts as unset. One fold for each key, of values only."""
     rows = events.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct(F.col(order), value.cast("double").alias("v")))), lambda x: x["v"]).alias("v"))

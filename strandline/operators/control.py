@@ -14,12 +14,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 # Bounds, defaults, and the features of the control model with their categories.
 WINDOW_BOUNDS, DELAY_BOUNDS, FIXED_WINDOW, FIXED_DELAY, EVERY_MS = (1000, 10_000), (500, 10_000), 5000, 3000, 2000
+# Categories and figures stand in the order in which a served model takes them.
 CATEGORIES = {
-    "profile": ["late", "mixed", "out_of_order", "realtime", "skewed"],
-    "rate_mode": ["burst", "constant", "wave"],
-    "motion_mode": ["collision", "corridor", "random_walk", "straight", "swarm"],
+    "profile": ["realtime", "skewed", "late", "out_of_order", "mixed"],
+    "rate_pattern": ["constant", "burst", "wave"],
+    "motion_mode": ["straight", "corridor", "swarm", "collision", "random_walk"],
 }
-NUMERIC = ["event_rate", "avg_latency_ms", "disorder_ratio", "late_ratio", "watermark_lag_ms", "window_fill_ratio", "events_per_window", "processing_time_ms", "collision_count", "proximity_count", "conflict_count", "swarm_count"]
+NUMERIC = ["event_rate", "disorder_ratio", "late_event_ratio", "avg_latency_ms", "window_fill_ratio", "interaction_rate", "collision_rate", "proximity_rate", "swarm_rate", "conflict_rate", "watermark_lag_ms", "processing_latency_ms"]
 
 
 def clamp(x: Column, low: float, high: float) -> Column:
@@ -44,7 +45,7 @@ def decide(rows: DataFrame, mode: str, window: str = "window_pred", delay: str =
 
 def flags() -> list[Column]:
     """Whether a stream is highly disordered, and under high load."""
-    return [((F.col("disorder_ratio") > 0.3) | (F.col("late_ratio") > 0.2)).alias("is_disordered"), ((F.col("event_rate") > 100) | (F.col("processing_time_ms") > 1000)).alias("is_loaded")]
+    return [((F.col("disorder_ratio") > 0.3) | (F.col("late_event_ratio") > 0.2)).alias("is_disordered"), ((F.col("event_rate") > 100) | (F.col("processing_latency_ms") > 1000)).alias("is_loaded")]
 
 
 @dataclass
@@ -72,7 +73,7 @@ class Scaler:
 
 
 def one_hot() -> list[Column]:
-    """Indicators in alphabetical order of each feature's categories; an unknown category has none."""
+    """Indicators in the order of each feature's categories; an unknown category has none."""
     return [F.coalesce((F.col(c) == v).cast("double"), F.lit(0.0)).alias(f"{c}_{v}") for c, vs in CATEGORIES.items() for v in vs]
 
 
@@ -91,13 +92,16 @@ def clean(rows: DataFrame, needed: list[str], ranges: dict[str, tuple[float, flo
 
 
 def check(rows: DataFrame) -> None:
-    """Raises ValueError unless all columns are there and all categories are known."""
+    """Raises ValueError unless all columns are there, all categories are known and all figures are finite."""
     missing = [c for c in [*CATEGORIES, *NUMERIC] if c not in rows.columns]
     if missing:
         raise ValueError(f"columns missing: {', '.join(missing)}")
     odd = rows.agg(*(F.count_if(~F.col(c).isin(v) | F.col(c).isNull()).alias(c) for c, v in CATEGORIES.items())).first().asDict()
     if any(odd.values()):
         raise ValueError(f"unknown categories: {odd}")
+    bad = rows.agg(*(F.count_if(F.col(c).isNull() | F.isnan(F.col(c).cast("double")) | (F.abs(F.col(c).cast("double")) == float("inf"))).alias(c) for c in NUMERIC)).first().asDict()
+    if any(bad.values()):
+        raise ValueError(f"figures missing or not finite: {bad}")
 
 
 def split(rows: DataFrame, *keys: str, seed: int = 42) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import geo
 from ..runtime import Scratch
 
-# Speeds in m/s by kind of way.
-PEDESTRIAN = {"footway": 1.4, "path": 1.4, "pedestrian": 1.4, "steps": 0.7, "corridor": 1.2}
-SLOW = {"living_street": 2.8, "residential": 8.3, "service": 4.2, "track": 5.6}
+# Speeds by kind of way (m/s), by kind of service (m/s), of slow roads (km/h).
+PEDESTRIAN = {"footway": 1.4, "path": 1.4, "pedestrian": 1.4, "corridor": 1.3, "steps": 1.0, "indoor": 1.2, "cycleway": 4.0, "track": 2.0, "living_street": 2.0}
+SERVICE = {"alley": 2.0, "driveway": 3.0, "laneway": 2.0, "parking_aisle": 3.0, "parking road": 3.0, "yard": 2.0, "footway": 1.4, "مدخل الجامع": 1.2}
+SLOW_KMH = {"residential": 40, "service": 20, "unclassified": 30, "road": 30}
 DEFAULT_SPEED, EDGE_SPEED, DEGREE_M = 50 / 3.6, 13.9, 111_000.0
 
 
@@ -19,15 +20,16 @@ def max_speed(tag: Column) -> Column:
     """m/s of a tag like 50, 50 km/h or 30 mph; null for anything else."""
     x = F.lower(F.trim(tag))
     n = F.regexp_extract(x, r"^(\d+)", 1).cast("double")
-    return F.when(x.rlike(r"^\d+$") | x.rlike(r"^\d+ km/h$"), n / 3.6).when(x.rlike(r"^\d+ mph$"), n * 0.44704)
+    return F.when(x.rlike(r"^\d+$") | x.rlike(r"^\d+\s*km/h$"), n / 3.6).when(x.rlike(r"^\d+\s*mph$"), n * 0.44704)
 
 
 def resolved_speed(tags: Column) -> Column:
-    """The posted speed, else a default by the kind of way."""
-    highway = F.try_element_at(tags, F.lit("highway"))
-    pick = lambda table: F.coalesce(*[F.when(highway == k, v) for k, v in table.items()])
-    indoor = F.when(F.try_element_at(tags, F.lit("indoor")) == "true", PEDESTRIAN["corridor"])
-    return F.coalesce(max_speed(F.try_element_at(tags, F.lit("maxspeed"))), pick(PEDESTRIAN), indoor, pick(SLOW), F.lit(DEFAULT_SPEED))
+    """The posted speed, else a default by the kind of way, of service, or of slow road."""
+    tag = lambda k: F.try_element_at(tags, F.lit(k))
+    pick = lambda k, table: F.coalesce(*[F.when(tag(k) == x, v) for x, v in table.items()])
+    indoor = F.when(tag("indoor") == "true", PEDESTRIAN["indoor"])
+    slow = {k: v / 3.6 for k, v in SLOW_KMH.items()}
+    return F.coalesce(max_speed(tag("maxspeed")), pick("highway", PEDESTRIAN), indoor, pick("service_type", SERVICE), pick("highway", slow), F.lit(DEFAULT_SPEED))
 
 
 def build_edges(ways: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -39,7 +41,7 @@ def build_edges(ways: DataFrame, nodes: DataFrame) -> DataFrame:
     tags = F.coalesce("tags", F.create_map().cast("map<string,string>"))
     base = ways.join(shape, "id", "left").select(F.col("id").cast("string").alias("way"), F.element_at("node_ids", 1).alias("from"), F.element_at("node_ids", -1).alias("to"), F.coalesce("geometry", F.array().cast("array<struct<lat:double,lon:double>>")).alias("geometry"), tags.alias("tags"))
     there = base.select(F.concat("way", F.lit("-f")).alias("id"), "from", "to", "geometry", "tags")
-    oneway = F.lower(F.coalesce(F.try_element_at("tags", F.lit("oneway")), F.lit(""))).isin("true", "yes")
+    oneway = F.coalesce(F.try_element_at("tags", F.lit("oneway")), F.lit("")).isin("true", "yes")
     back = base.where(~oneway).select(F.concat("way", F.lit("-b")).alias("id"), F.col("to").alias("from"), F.col("from").alias("to"), F.reverse("geometry").alias("geometry"), "tags")
     return there.unionByName(back).withColumn("speed_mps", resolved_speed(F.col("tags")))
 

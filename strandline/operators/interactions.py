@@ -5,19 +5,19 @@ Every detector works on all windows at once, with the window as a key. Arrival o
 
 from __future__ import annotations
 
-import itertools
 import math
 
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import geo
 from ..runtime import Scratch
+from .components import components
 from .joins import nearest_pairs, radius_pairs
 from .trajectories import velocities
 from .windows import bucket
 
 COLLISION_M, PROXIMITY_M, CONFLICT_M, SWARM_M = 5.0, 20.0, 10.0, 15.0
-HORIZON_S, TTC_S, NEIGHBOURS, SWARM_MIN, STILL = 5.0, 5.0, 5, 3, 1e-6
+HORIZON_S, TTC_S, NEIGHBOURS, SWARM_MIN, STILL, FAR_M = 5.0, 5.0, 5, 3, 1e-6, 1e6
 
 
 def windowed(events: DataFrame, size_ms: int = 10_000) -> DataFrame:
@@ -33,9 +33,14 @@ def _first(df: DataFrame, *order) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(by)).where("_n = 1").drop("_n")
 
 
-def collisions(events: DataFrame) -> DataFrame:
+def near_pairs(events: DataFrame, metres: float, known: DataFrame | None) -> DataFrame:
+    """Pairs of a window within reach, from a table of pairs of a larger reach if there is one."""
+    return radius_pairs(events, metres, "w") if known is None else known.where(F.col("distance") <= metres)
+
+
+def collisions(events: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """Of each pair of objects in a window the first near pass (nearest events first) that would end in a collision soon."""
-    near = nearest_pairs(radius_pairs(events, COLLISION_M, "w"), NEIGHBOURS, "w")
+    near = nearest_pairs(near_pairs(events, COLLISION_M, pairs), NEIGHBOURS, "w")
     v = velocities(events, "w").select("w", "object_id", "vx", "vy")
     near = near.join(v.toDF("w", "a_object_id", "avx", "avy"), ["w", "a_object_id"]).join(v.toDF("w", "b_object_id", "bvx", "bvy"), ["w", "b_object_id"])
     speed = F.sqrt(F.pow(F.col("avx") - F.col("bvx"), 2) + F.pow(F.col("avy") - F.col("bvy"), 2))
@@ -51,9 +56,9 @@ def _scan_order():
     return ["a_seq", bx - ax, by - ay, "b_seq"]
 
 
-def proximity(events: DataFrame) -> DataFrame:
+def proximity(events: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """Of each pair of objects in a window the first two events within reach, not at the same place."""
-    near = radius_pairs(events, PROXIMITY_M, "w").where(F.col("distance") > STILL)
+    near = near_pairs(events, PROXIMITY_M, pairs).where(F.col("distance") > STILL)
     return _first(_pair(near), *_scan_order()).select("w", "obj_a", "obj_b", F.greatest("a_ts_ms", "b_ts_ms").alias("ts_ms"), "distance", *(x.alias(n) for x, n in zip(geo.midpoint("a_lat", "a_lon", "b_lat", "b_lon"), ("lat", "lon"), strict=True)))
 
 
@@ -68,10 +73,17 @@ def proximity_first_only(events: DataFrame) -> DataFrame:
 
 
 def _object_pairs(events: DataFrame) -> DataFrame:
-    """All pairs of objects of a window, with place and velocity at the end of their current trajectories."""
-    v = velocities(events, "w", plane=True)
-    side = lambda p: v.select("w", *(F.col(c).alias(f"{p}_{c}") for c in ("object_id", "vx", "vy", "lon", "lat", "ts_ms")))
-    pairs = side("a").join(side("b"), "w").where("a_object_id < b_object_id")
+    """Pairs of objects of a window that can meet within the horizon, with place and velocity at the end of their current
+    trajectories: those no farther apart than what the fastest two can cover, found by cells."""
+    v = Scratch(events.sparkSession).save(velocities(events, "w", plane=True), "velocities")
+    fastest = v.agg(F.max(F.sqrt(F.col("vx") * F.col("vx") + F.col("vy") * F.col("vy")))).first()[0] or 0.0
+    reach = 1.1 * (CONFLICT_M + 2 * fastest * HORIZON_S)  # places are taken as plane; a tenth covers that
+    columns = ("seq", "object_id", "vx", "vy", "lon", "lat", "ts_ms")
+    if reach < FAR_M:
+        pairs = radius_pairs(v, reach, "w", columns=columns).where("a_object_id < b_object_id").drop("distance")
+    else:  # a speed that no place on earth is out of reach of
+        side = lambda p: v.select("w", *(F.col(c).alias(f"{p}_{c}") for c in columns))
+        pairs = side("a").join(side("b"), "w").where("a_object_id < b_object_id")
     return pairs.withColumn("rvx", F.col("b_vx") - F.col("a_vx")).withColumn("rvy", F.col("b_vy") - F.col("a_vy"))
 
 
@@ -104,37 +116,25 @@ def conflicts(events: DataFrame) -> DataFrame:
     return pairs.select("w", F.col("a_object_id").alias("obj_a"), F.col("b_object_id").alias("obj_b"), F.greatest("a_ts_ms", "b_ts_ms").alias("ts_ms"), "ttc", "distance", severity.alias("severity"))
 
 
-def swarm_members(events: DataFrame, rounds: int | None = None) -> DataFrame:
+def swarm_members(events: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """(w, seq, cluster): members of density clusters of events. Core events have SWARM_MIN neighbours of other objects
-    within reach; clusters are the components of core events, named by their first, plus all neighbours of those. The
-    labels of an object's window are lowered with joins until nothing changes; RuntimeError if ``rounds`` is given and not enough."""
-    near = radius_pairs(events, SWARM_M, "w", columns=("seq", "object_id", "lon", "lat")).select("w", "a_seq", "b_seq")
-    core = near.groupBy("w", "a_seq").agg(F.count("*").alias("n")).where(F.col("n") >= SWARM_MIN).select("w", F.col("a_seq").alias("seq"))
-    links = near.join(core.toDF("w", "a_seq"), ["w", "a_seq"])
-    inner = links.join(core.toDF("w", "b_seq"), ["w", "b_seq"])
+    within reach; clusters are the components of core events, named by their first, plus all neighbours of those. seq
+    must be unique."""
     scratch = Scratch(events.sparkSession)
-    inner, links = scratch.save(inner.select("w", "a_seq", "b_seq"), "inner"), scratch.save(links, "links")
-    labels, before = scratch.save(core.withColumn("cluster", F.col("seq")), "labels_0"), None
-    for k in itertools.count(1):
-        lower = inner.join(labels.withColumnRenamed("seq", "b_seq"), ["w", "b_seq"]).groupBy("w", F.col("a_seq").alias("seq")).agg(F.min("cluster").alias("low"))
-        labels = labels.join(lower, ["w", "seq"], "left").select("w", "seq", F.least("cluster", F.coalesce("low", "cluster")).alias("cluster"))
-        # a label is itself an event; its own label may be lower already
-        jump = labels.select("w", F.col("seq").alias("cluster"), F.col("cluster").alias("next"))
-        labels = scratch.save(labels.join(jump, ["w", "cluster"]).select("w", "seq", F.col("next").alias("cluster")), f"labels_{k}")
-        now = labels.agg(F.sum("cluster")).first()[0]
-        scratch.drop(f"labels_{k - 1}")
-        if now == before:
-            break
-        if k == rounds:
-            raise RuntimeError(f"labels still change after {rounds} rounds")
-        before = now
+    near = scratch.save(near_pairs(events, SWARM_M, pairs).select("w", "a_seq", "b_seq"), "near")
+    core = scratch.save(near.groupBy("w", "a_seq").agg(F.count("*").alias("n")).where(F.col("n") >= SWARM_MIN).select("w", F.col("a_seq").alias("seq")), "core")
+    links = near.join(core.toDF("w", "a_seq"), ["w", "a_seq"])
+    inner = links.join(core.toDF("w", "b_seq"), ["w", "b_seq"]).where("a_seq < b_seq")
+    parts = components(inner.select(F.col("a_seq").alias("a"), F.col("b_seq").alias("b")), scratch)
+    labels = core.join(parts.toDF("seq", "cluster"), "seq", "left").select("w", "seq", F.coalesce("cluster", "seq").alias("cluster"))
+    labels = scratch.save(labels, "labels")
     around = links.join(labels.withColumnRenamed("seq", "a_seq"), ["w", "a_seq"]).select("w", F.col("b_seq").alias("seq"), "cluster")
     return labels.unionByName(around).distinct()
 
 
-def swarms(events: DataFrame) -> DataFrame:
+def swarms(events: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """(w, cluster, size, objects, lat, lon) of each swarm; size counts its events."""
-    members = swarm_members(events).join(events.select("w", "seq", "object_id", "lat", "lon"), ["w", "seq"])
+    members = swarm_members(events, pairs).join(events.select("w", "seq", "object_id", "lat", "lon"), ["w", "seq"])
     return members.groupBy("w", "cluster").agg(F.count("*").alias("size"), F.count_distinct("object_id").alias("objects"), F.avg("lat").alias("lat"), F.avg("lon").alias("lon"))
 
 
@@ -188,5 +188,6 @@ def all_interactions(events: DataFrame) -> DataFrame:
     """One row for each interaction of any kind: w, kind, obj_a, obj_b (null for swarms), ts_ms, severity."""
     part = lambda df, kind, severity: df.select("w", F.lit(kind).alias("kind"), "obj_a", "obj_b", "ts_ms", severity.cast("double").alias("severity"))
     last = events.groupBy("w").agg(F.max("ts_ms").alias("ts_ms"))
-    swarm = swarms(events).join(last, "w").select("w", F.lit("Swarm").alias("kind"), F.lit(None).cast("string").alias("obj_a"), F.lit(None).cast("string").alias("obj_b"), "ts_ms", F.col("size").cast("double").alias("severity"))
-    return part(collisions(events), "Collision", F.col("severity")).unionByName(part(proximity(events), "Proximity", F.lit(None))).unionByName(part(conflicts(events), "Conflict", F.col("severity"))).unionByName(swarm)
+    pairs = Scratch(events.sparkSession).save(radius_pairs(events, PROXIMITY_M, "w"), "pairs")  # the widest reach serves all
+    swarm = swarms(events, pairs).join(last, "w").select("w", F.lit("Swarm").alias("kind"), F.lit(None).cast("string").alias("obj_a"), F.lit(None).cast("string").alias("obj_b"), "ts_ms", F.col("size").cast("double").alias("severity"))
+    return part(collisions(events, pairs), "Collision", F.col("severity")).unionByName(part(proximity(events, pairs), "Proximity", F.lit(None))).unionByName(part(conflicts(events), "Conflict", F.col("severity"))).unionByName(swarm)

@@ -28,11 +28,12 @@ def segments(events: DataFrame, max_gap_ms: int = MAX_GAP_MS, ts: str = "ts_ms",
 
 def velocities(events: DataFrame, *keys: str, plane: bool = False, ts: str = "ts_ms", order: str = "seq") -> DataFrame:
     """(keys, object_id, vx, vy, lon, lat, ts_ms, seq) from the last two events of each object's current trajectory."""
-    two = F.struct(F.col(ts).alias("ts"), F.col(order).alias("seq"), "lat", "lon")
-    rows = current(events, *keys, ts=ts, order=order).groupBy(*keys, "object_id").agg(F.slice(F.reverse(F.sort_array(F.collect_list(two))), 1, 2).alias("last"))
-    a, b = F.get("last", F.lit(1)), F.get("last", F.lit(0))
-    vx, vy = (geo.plane_velocity if plane else geo.velocity)(a["lat"], a["lon"], a["ts"], b["lat"], b["lon"], b["ts"])
-    return rows.select(*keys, "object_id", vx.alias("vx"), vy.alias("vy"), b["lon"].alias("lon"), b["lat"].alias("lat"), b["ts"].alias("ts_ms"), b["seq"].alias("seq"))
+    by = Window.partitionBy(*keys, "object_id").orderBy(ts, order)
+    rows = current(events, *keys, ts=ts, order=order)
+    back = {f"_{c}": F.lag(c).over(by) for c in ("lat", "lon", ts)}
+    last = rows.withColumns(back | {"_left": F.lead(order).over(by)}).where("_left is null")
+    vx, vy = (geo.plane_velocity if plane else geo.velocity)(F.col("_lat"), F.col("_lon"), F.col(f"_{ts}"), F.col("lat"), F.col("lon"), F.col(ts))
+    return last.select(*keys, "object_id", vx.alias("vx"), vy.alias("vy"), "lon", "lat", F.col(ts).alias("ts_ms"), F.col(order).alias("seq"))
 
 
 def summary(events: DataFrame, *keys: str, ts: str = "ts_ms", order: str = "seq") -> DataFrame:

@@ -189,7 +189,12 @@ def _(s, d):
     return inter.conflicts_sampled(inter.windowed(geo_events(s, d))).select("w", "obj_a", "obj_b", "ts_ms", "ttc")
 
 
-@query("interaction_swarm")
+# clusters are named by the smallest core event that can be reached
+_SWARM = ", core AS (SELECT w, s1 AS seq FROM near15 GROUP BY ALL HAVING count(*) >= 3), hop AS (SELECT n.w, s1, s2 FROM near15 n JOIN core a ON a.seq = s1 JOIN core b ON b.seq = s2), reach AS (SELECT w, seq, seq AS root FROM core UNION SELECT hop.w, s2, root FROM reach JOIN hop ON s1 = seq), label AS (SELECT w, seq, min(root) AS cluster FROM reach GROUP BY ALL), member AS (SELECT w, seq, cluster FROM label UNION SELECT n.w, s2, cluster FROM near15 n JOIN label ON label.seq = s1), swarm AS (SELECT m.w, cluster, count(*) AS size, count(DISTINCT object_id) AS objects FROM member m JOIN g USING (seq) GROUP BY ALL)"
+_RECURSIVE = W.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("interaction_swarm", f"{_RECURSIVE}{_pairs(15.0).replace('near AS', 'near15 AS')}{_SWARM} SELECT * FROM swarm")
 def _(s, d):
     return inter.swarms(inter.windowed(geo_events(s, d))).select("w", "cluster", "size", "objects")
 
@@ -243,9 +248,9 @@ def _(s, d):
     return x.select("object_id", "events", "out_of_order", "late", *r6("disorder_ratio", "late_ratio", "mean_latency_ms"))
 
 
-@query("aggregate_moving_average")
+@query("aggregate_moving_average", f"{W}, x AS (SELECT object_id, list(CAST(ingest_ms - ts_ms AS DOUBLE) ORDER BY seq) AS v FROM g GROUP BY 1) SELECT object_id, round(list_reduce(list_concat([0.0::DOUBLE], v), lambda s, y: CASE WHEN s = 0 THEN y ELSE 0.1 * y + 0.9 * s END), 6) AS ema FROM x")
 def _(s, d):
-    return agg.moving_average(geo_events(s, d), "object_id", F.col("ingest_ms") - F.col("ts_ms"))
+    return agg.moving_average(geo_events(s, d), "object_id", F.col("ingest_ms") - F.col("ts_ms")).select("object_id", *r6("ema"))
 
 
 @query("aggregate_recent_rate", f"{W}, x AS (SELECT unnest(range(CAST(floor(ingest_ms / 1000) AS BIGINT), CAST(floor((ingest_ms + 4999) / 1000) AS BIGINT) + 1)) AS s FROM g) SELECT s, count(*) / 5.0 AS events_per_s FROM x GROUP BY 1")
@@ -314,7 +319,7 @@ def _roads(s, d):
     return ways, nodes
 
 
-@query("graph_edges", "WITH w AS (SELECT o_orderkey AS id, o_custkey AS c FROM orders), e AS (SELECT id, id % 500 AS a, id * 13 % 500 AS b, c, CASE WHEN id % 3 = 0 THEN 50 / 3.6 WHEN id % 3 = 1 THEN 30 * 0.44704 ELSE [50 / 3.6, 1.4, 8.3, 4.2][c % 4 + 1] END AS v FROM w), d AS (SELECT CAST(id AS VARCHAR) || '-f' AS id, a AS \"from\", b AS \"to\", v FROM e UNION ALL SELECT CAST(id AS VARCHAR) || '-b', b, a, v FROM e WHERE c % 2 = 1) SELECT id, \"from\", \"to\", round(CAST(v AS DOUBLE), 6) AS speed_mps FROM d")
+@query("graph_edges", "WITH w AS (SELECT o_orderkey AS id, o_custkey AS c FROM orders), e AS (SELECT id, id % 500 AS a, id * 13 % 500 AS b, c, CASE WHEN id % 3 = 0 THEN 50 / 3.6 WHEN id % 3 = 1 THEN 30 * 0.44704 ELSE [50 / 3.6, 1.4, 40 / 3.6, 20 / 3.6][c % 4 + 1] END AS v FROM w), d AS (SELECT CAST(id AS VARCHAR) || '-f' AS id, a AS \"from\", b AS \"to\", v FROM e UNION ALL SELECT CAST(id AS VARCHAR) || '-b', b, a, v FROM e WHERE c % 2 = 1) SELECT id, \"from\", \"to\", round(CAST(v AS DOUBLE), 6) AS speed_mps FROM d")
 def _(s, d):
     return graph.build_edges(*_roads(s, d)).select("id", "from", "to", *r6("speed_mps"))
 
@@ -330,6 +335,39 @@ def _(s, d):
     return graph.shortest_paths(graph.weighted(graph.build_edges(ways, nodes)), 1).select("node", *r6("seconds"), "path")
 
 
+_SHAPES = [
+    ("holed", "POLYGON((30.3140 59.9380, 30.3180 59.9380, 30.3180 59.9400, 30.3140 59.9400, 30.3140 59.9380), (30.3150 59.9385, 30.3165 59.9385, 30.3165 59.9395, 30.3150 59.9395, 30.3150 59.9385))"),
+    ("two", "MULTIPOLYGON(((30.3150 59.9385, 30.3156 59.9385, 30.3156 59.9395, 30.3150 59.9395, 30.3150 59.9385)), ((30.3160 59.9385, 30.3165 59.9385, 30.3165 59.9395, 30.3160 59.9395)))"),
+    ("block", "POLYGON ((0 0, 10 0, 10 10, 0 10, 0 0), (4 2, 4 4, 6 4, 6 2, 4 2))"),
+    ("apart", "MULTIPOLYGON (((0 0, 2 0, 2 2, 0 2, 0 0)), ((4 0, 5 0, 5 1, 4 1, 4 0)))"),
+    ("line", "LINESTRING (0 0, 4 0, 4 2)"),
+    ("point", "POINT (3 4)"),
+]
+
+
+@query("function_contains", f"WITH {ORACLE} SELECT 'holed' AS region_id, seq FROM geo WHERE lon > 30.3140 AND lon < 30.3180 AND lat > 59.9380 AND lat < 59.9400 AND NOT (lon BETWEEN 30.3150 AND 30.3165 AND lat BETWEEN 59.9385 AND 59.9395) UNION ALL SELECT 'two', seq FROM geo WHERE lat > 59.9385 AND lat < 59.9395 AND ((lon > 30.3150 AND lon < 30.3156) OR (lon > 30.3160 AND lon < 30.3165))")
+def _(s, d):
+    return joins.events_in_regions(geo_events(s, d), s.createDataFrame(_SHAPES[:2], "region_id string, wkt string")).select("region_id", "seq")
+
+
+@query("function_centroid", "SELECT name, round(lon, 9) AS lon, round(lat, 9) AS lat, min_lon, min_lat, max_lon, max_lat FROM (VALUES ('block', 5.0::DOUBLE, 488 / 96.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 10.0::DOUBLE, 10.0::DOUBLE), ('apart', 1.7, 0.9, 0.0, 0.0, 5.0, 2.0), ('line', 16 / 6.0, 2 / 6.0, 0.0, 0.0, 4.0, 2.0), ('point', 3.0, 4.0, 3.0, 4.0, 3.0, 4.0)) t(name, lon, lat, min_lon, min_lat, max_lon, max_lat)")
+def _(s, d):
+    shape = geo.parse_wkt("wkt")
+    return s.createDataFrame(_SHAPES[2:], "name string, wkt string").select("name", geo.centroid(shape).alias("c"), geo.bounding_box(shape["points"]).alias("b")).select("name", F.round("c.lon", 9).alias("lon"), F.round("c.lat", 9).alias("lat"), "b.*")
+
+
+_ONE_HOT = {"profile": "realtime skewed late out_of_order mixed", "rate_pattern": "constant burst wave", "motion_mode": "straight corridor swarm collision random_walk"}
+
+
+@query("control_features", f"{W}, x AS (SELECT w, ['late', 'mixed', 'odd'][CAST(w // {WIN} % 3 AS INT) + 1] AS profile, ['wave', 'burst'][CAST(w // {WIN} % 2 AS INT) + 1] AS rate_pattern, 'swarm' AS motion_mode, CAST(count(*) AS DOUBLE) AS event_rate FROM g GROUP BY w) SELECT w, " + ", ".join(f"CAST(CASE WHEN {c} = '{v}' THEN 1 ELSE 0 END AS DOUBLE) AS {c}_{v}" for c, vs in _ONE_HOT.items() for v in vs.split()) + ", round((event_rate - avg(event_rate) OVER ()) / stddev_pop(event_rate) OVER (), 6) AS event_rate FROM x")
+def _(s, d):
+    pick = lambda *v: F.element_at(F.array(*map(F.lit, v)), (F.floor(F.col("w") / WIN) % len(v) + 1).cast("int"))
+    x = inter.windowed(geo_events(s, d)).groupBy("w").agg(F.count("*").cast("double").alias("event_rate"))
+    x = x.select("w", pick("late", "mixed", "odd").alias("profile"), pick("wave", "burst").alias("rate_pattern"), F.lit("swarm").alias("motion_mode"), "event_rate")
+    scaled = control.Scaler.fit(x, ["event_rate"]).columns()
+    return x.select("w", *control.one_hot(), *(F.round(c, 6).alias("event_rate") for c in scaled))
+
+
 @query("control_decisions", f"{W}, x AS (SELECT w, count(*) AS n FROM g GROUP BY 1) SELECT w, CAST(least(greatest(n * 40, 1000), 10000) AS INT) AS window_ms, CAST(least(greatest(n * 9, 500), 10000) AS INT) AS delay_ms FROM x")
 def _(s, d):
     x = inter.windowed(geo_events(s, d)).groupBy("w").agg(F.count("*").alias("n"))
@@ -369,13 +407,14 @@ def _(s, d):
     return agg.coverage(e, {"event_type": [*kinds, "other"]})
 
 
-@query("aggregate_active_speed")
+@query("aggregate_active_speed", f"{W}, x AS (SELECT *, lag(lat) OVER o AS plat, lag(lon) OVER o AS plon FROM g WINDOW o AS (PARTITION BY object_id ORDER BY ts_ms, seq)), p AS (SELECT seq, plat AS lat, plon AS lon FROM x), y AS (SELECT x.object_id, x.ts_ms, coalesce({hav('p', 'x')}, 0) AS step FROM x JOIN p USING (seq)), z AS (SELECT object_id, min(ts_ms) AS a, max(ts_ms) AS b, sum(step) AS metres FROM y GROUP BY 1) SELECT round(coalesce(avg(CASE WHEN b > a THEN metres / ((b - a) / 1000.0) ELSE 0 END), 0), 6) AS mean_speed FROM z WHERE a <= 1704067230000 AND b >= 1704067200000")
 def _(s, d):
-    return agg.active_mean_speed(traj.summary(geo_events(s, d)), 1704067200000, 1704067230000)
+    return agg.active_mean_speed(traj.summary(geo_events(s, d)), 1704067200000, 1704067230000).select(*r6("mean_speed"))
 
 
-@query("stream_profile")
+@query("stream_profile", f"{W}, h AS (SELECT *, max(ts_ms) OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS high FROM g), a AS (SELECT count(*) AS events, count(*) FILTER (ts_ms < high) AS out_of_order, count(*) FILTER (ts_ms < high - 3000) AS late, avg(ingest_ms - ts_ms) AS latency, count(DISTINCT object_id) AS objects, count(DISTINCT ts_ms - ts_ms % 5000) AS windows, (max(ingest_ms) - min(ingest_ms)) / 1000.0 AS seconds, max(ts_ms) AS max_ts FROM h) SELECT events, out_of_order, late, objects, windows, max_ts, round(late / events, 6) AS late_ratio, round(out_of_order / events, 6) AS disorder_ratio, round(latency, 6) AS mean_latency_ms, round(events / greatest(seconds, 1.0), 6) AS event_rate, round(events / windows, 6) AS events_per_window, round((events / windows) / (events / greatest(seconds, 1.0) * 5), 6) AS window_fill_ratio, CAST(3000 AS BIGINT) AS watermark_lag_ms FROM a")
 def _(s, d):
     from ..streaming.loop import profile
 
-    return profile(geo_events(s, d), 5000, 3000)
+    x = profile(geo_events(s, d), 5000, 3000)
+    return x.select("events", "out_of_order", "late", "objects", "windows", "max_ts", "watermark_lag_ms", *r6("late_ratio", "disorder_ratio", "mean_latency_ms", "event_rate", "events_per_window", "window_fill_ratio"))

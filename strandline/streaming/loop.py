@@ -11,14 +11,14 @@ from pyspark.sql import DataFrame, functions as F
 from ..operators import aggregates as agg, control, interactions as inter
 
 
-def profile(events: DataFrame, window_ms: int, delay_ms: int) -> DataFrame:
-    """One row: events, objects, rate, disorder, lateness, latency, events a window and the fill of windows."""
-    rows = events.withColumn("_all", F.lit(0))
-    d = agg.disorder(rows, "_all", delay_ms)
-    size = rows.groupBy("_all").agg(F.count_distinct("object_id").alias("objects"), F.count_distinct(F.col("ts_ms") - F.pmod("ts_ms", F.lit(window_ms))).alias("windows"), ((F.max("ingest_ms") - F.min("ingest_ms")) / 1000.0).alias("seconds"), F.max("ts_ms").alias("max_ts"))
+def profile(events: DataFrame, window_ms: int, delay_ms: int, watermark_ms: int | None = None) -> DataFrame:
+    """One row: events, objects, rate, disorder, lateness, latency, events a window, the fill of windows, and how far the
+    watermark (by default that of these events alone) is behind the latest event."""
+    d = agg.disorder_overall(events, delay_ms)
+    size = events.agg(F.count_distinct("object_id").alias("objects"), F.count_distinct(F.col("ts_ms") - F.pmod("ts_ms", F.lit(window_ms))).alias("windows"), ((F.max("ingest_ms") - F.min("ingest_ms")) / 1000.0).alias("seconds"), F.max("ts_ms").alias("max_ts"))
     rate = F.col("events") / F.greatest("seconds", F.lit(1.0))
-    out = d.join(size, "_all").withColumn("event_rate", rate).withColumn("events_per_window", F.col("events") / F.greatest("windows", F.lit(1)))
-    return out.withColumn("window_fill_ratio", F.col("events_per_window") / (F.col("event_rate") * window_ms / 1000.0)).withColumn("watermark_lag_ms", F.lit(delay_ms)).drop("_all")
+    out = d.crossJoin(size).withColumn("event_rate", rate).withColumn("events_per_window", F.col("events") / F.greatest("windows", F.lit(1)))
+    return out.withColumn("window_fill_ratio", F.col("events_per_window") / (F.col("event_rate") * window_ms / 1000.0)).withColumn("watermark_lag_ms", F.greatest(F.lit(0), F.col("max_ts") - F.coalesce(F.lit(watermark_ms), F.col("max_ts") - delay_ms)))
 
 
 def interaction_counts(found: DataFrame) -> dict[str, int]:
@@ -42,6 +42,7 @@ class Loop:
     sink: Callable[[DataFrame, int], None]
     runtime: control.Runtime = field(default_factory=control.Runtime)
     metrics: list = field(default_factory=list)
+    watermark_ms: int | None = None
 
     def __call__(self, batch: DataFrame, number: int) -> None:
         if batch.isEmpty():
@@ -54,8 +55,11 @@ class Loop:
             found.unpersist()
 
     def _step(self, batch: DataFrame, found: DataFrame, number: int, began: float) -> None:
-        row = profile(batch, max(1000, self.runtime.window_ms), self.runtime.delay_ms).first().asDict() | interaction_counts(found)
-        row |= {"avg_latency_ms": row["mean_latency_ms"], "processing_time_ms": (time.perf_counter() - began) * 1000}
+        row = profile(batch, max(1000, self.runtime.window_ms), self.runtime.delay_ms, self.watermark_ms).first().asDict()
+        counts, seconds = interaction_counts(found), max(row["seconds"], 1.0)
+        row |= counts | {k.replace("_count", "_rate"): n / seconds for k, n in counts.items()}
+        row |= {"avg_latency_ms": row["mean_latency_ms"], "late_event_ratio": row["late_ratio"], "processing_latency_ms": (time.perf_counter() - began) * 1000}
+        self.watermark_ms = max(self.watermark_ms or 0, row["max_ts"] - self.runtime.delay_ms)
         window, delay = self.predict(row)
         lo, hi = control.WINDOW_BOUNDS
         window = int(min(max(window, lo), hi))

@@ -18,15 +18,34 @@ def events(spark, rows):
 
 
 def test_geometry(spark):
-    square = geo.parse_wkt(F.lit("POLYGON((0 0, 4 0, 4 2, 0 2, 0 0))"))["points"]
-    place = lambda lon, lat: geo.contains(square, F.lit(lon), F.lit(lat))
-    r = one(spark, place(1.0, 1.0), place(0.0, 1.0), place(4.0, 2.0), place(5.0, 1.0), geo.centroid(square), geo.bounding_box(square), geo.geohash(F.lit(57.64911), F.lit(10.40744), 11))
+    square = geo.parse_wkt(F.lit("POLYGON((0 0, 4 0, 4 2, 0 2, 0 0))"))
+    place = lambda lon, lat, shape=square: geo.contains(shape["rings"], F.lit(lon), F.lit(lat))
+    r = one(spark, place(1.0, 1.0), place(0.0, 1.0), place(4.0, 2.0), place(5.0, 1.0), geo.centroid(square), geo.bounding_box(square["points"]), geo.geohash(F.lit(57.64911), F.lit(10.40744), 11))
     assert tuple(r[:4]) == (True, False, False, False)
     assert (r[4].lon, r[4].lat) == (2.0, 1.0) and tuple(r[5]) == (0, 0, 4, 2) and r[6] == "u4pruydqqvj"
     r = one(spark, geo.haversine(0.0, 0.0, 0.0, 1.0), geo.normal_heading(-90.0), *geo.midpoint(0.0, 2.0, 2.0, 4.0), geo.short_cell(F.lit(-90.0), F.lit(-180.0), 6))
     assert r[0] == pytest.approx(math.radians(1) * geo.R) and r[1] == 270 and tuple(r[2:4]) == (1, 3) and r[4] == "0"
 
 
+def test_holes_and_several_parts(spark):
+    holed = geo.parse_wkt(F.lit("POLYGON ((0 0, 10 0, 10 10, 0 10, 0 0), (4 4, 6 4, 6 6, 4 6, 4 4))"))
+    parts = geo.parse_wkt(F.lit("MULTIPOLYGON(((0 0, 1 0, 1 1, 0 1, 0 0)), ((4 0, 5 0, 5 1, 4 1, 4 0)), ((8 0, 9 0, 9 1, 8 1, 8 0), (8.2 0.2, 8.8 0.2, 8.8 0.8, 8.2 0.8)))"))
+    place = lambda shape, lon, lat: geo.contains(shape["rings"], F.lit(lon), F.lit(lat))
+    r = one(spark, place(holed, 2.0, 2.0), place(holed, 5.0, 5.0), place(holed, 4.0, 5.0), place(parts, 0.5, 0.5), place(parts, 4.5, 0.5), place(parts, 2.5, 0.5), place(parts, 8.5, 0.5), place(parts, 8.1, 0.5), holed["holes"], parts["holes"])
+    assert tuple(r[:8]) == (True, False, False, True, True, False, False, True)
+    assert r[8] == [False, True] and r[9] == [False, False, False, True]
+    r = one(spark, geo.centroid(geo.parse_wkt(F.lit("LINESTRING(0 0, 4 0, 4 4)"))), geo.centroid(geo.parse_wkt(F.lit("POINT(3 4)"))), geo.centroid(geo.parse_wkt(F.lit("POLYGON((0 0, 2 0, 0 0))"))), geo.parse_wkt(F.lit(None).cast("string"))["rings"])
+    assert tuple(r[0]) == (3.0, 1.0) and tuple(r[1]) == (3.0, 4.0) and tuple(r[2]) == (1.0, 0.0) and not r[3]
+
+
+def test_speeds(spark):
+    """Posted speeds first, then the kind of way, of service, of slow road."""
+    cases = [({"maxspeed": "50"}, 50 / 3.6), ({"maxspeed": "30 mph"}, 30 * 0.44704), ({"maxspeed": "20km/h", "highway": "steps"}, 20 / 3.6), ({"highway": "steps"}, 1.0), ({"highway": "service", "indoor": "true"}, 1.2), ({"highway": "service", "service_type": "alley"}, 2.0), ({"highway": "service"}, 20 / 3.6), ({"highway": "road"}, 30 / 3.6), ({"highway": "primary", "maxspeed": "walk"}, 50 / 3.6), ({}, 50 / 3.6)]
+    rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "i int, tags map<string,string>")
+    got = [r.v for r in rows.select("i", graph.resolved_speed(F.col("tags")).alias("v")).sort("i").collect()]
+    assert got == pytest.approx([v for _, v in cases])
+
+
 def test_validity(spark):
     rows = [(90.0, 0.0, "P"), (90.1, 0.0, "P"), (0.0, 180.0, "P"), (0.0, -180.1, "P"), (0.0, 0.0, ""), (0.0, 0.0, None)]
     assert spark.createDataFrame(rows, "lat double, lon double, wkt string").where(geo.valid_event()).count() == 2
