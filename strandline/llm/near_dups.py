@@ -27,10 +27,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..operators.components import components
 from ..runtime import Scratch, ship
 from . import words as w
 from .bitmap import BITS, bitmap, passes, place
-from .components import components
 from .lean import lean
 
 SHINGLE, THRESHOLD = 5, 75
