@@ -4,12 +4,14 @@ that keeps blocks apart, marks list items and aligns the cells of tables."""
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..runtime import ship
+from .lean import lean
 
 # Element names by the role that the HTML standard gives them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -37,7 +39,9 @@ IMPLIED = {
 #: An end tag does not reach past these.
 SCOPE = frozenset("table td th caption html body template object marquee".split())
 CELLS = frozenset(("td", "th"))
-DEPTH = 400
+# The most columns and rows that the HTML standard lets a cell span.
+COLSPAN, ROWSPAN = 1000, 65534
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]+)))?")
 _HIDES = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)|content-visibility\s*:\s*hidden", re.I)
@@ -57,19 +61,28 @@ class Node:
 
 
 def parse(html: str) -> Node:
-    """The tree of a page; any text is accepted. Elements nested deeper than DEPTH become siblings."""
+    """The tree of a page; any text is accepted, nested to any depth."""
     root, at, n = Node("html"), 0, len(html)
-    stack, lower = [root], None
+    stack, lower, open_ = [root], None, Counter()
+
+    def push(node: Node) -> None:
+        stack.append(node)
+        open_[node.name] += 1
+
+    def pop(k: int) -> None:
+        """Closes element k and all within it."""
+        for x in stack[k:]:
+            open_[x.name] -= 1
+        del stack[k:]
 
     def close(names, stop) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].name in names:
-                del stack[k:]
-                # more than one of them may be open, as a cell in a row
-                return close(names, stop)
-            if stack[k].name in stop:
-                return None
-        return None
+        while any(open_[x] for x in names):  # more than one of them may be open, as a cell in a row
+            k = len(stack) - 1
+            while stack[k].name not in names and stack[k].name not in stop:
+                k -= 1
+            if stack[k].name not in names:
+                return
+            pop(k)
 
     while at < n:
         m = _TAG.search(html, at)
@@ -87,35 +100,35 @@ def parse(html: str) -> Node:
         if m["end"]:
             if name == "br":
                 stack[-1].kids.append(Node("br"))
-            elif name == "p" and not any(x.name == "p" for x in stack):
+            elif name == "p" and not open_["p"]:
                 stack[-1].kids.append(Node("p"))
-            else:
+            elif open_[name] or name in HEADINGS and any(open_[x] for x in HEADINGS):
                 for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].name == name or (name[0] == "h" and name[1:] in "123456" and len(name) == 2 and re.fullmatch("h[1-6]", stack[k].name)):
-                        del stack[k:]
+                    if stack[k].name == name or name in HEADINGS and stack[k].name in HEADINGS:
+                        pop(k)
                         break
                     if stack[k].name in SCOPE and name not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html") and name not in CELLS:
                         break
             continue
         if name in ("html", "body"):
-            if name == "body" and m["attrs"].strip() and not any(x.name == "body" for x in stack):
+            if name == "body" and m["attrs"].strip() and not open_["body"]:
                 body = Node(name, m["attrs"])
                 stack[-1].kids.append(body)
-                stack.append(body)
+                push(body)
             continue
         if name in IMPLIED:
             close(*IMPLIED[name])
-        elif name in CLOSES_P:
+        elif name in CLOSES_P and open_["p"]:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].name == "p":
-                    del stack[k:]
+                    pop(k)
                     break
                 if stack[k].name in SCOPE or stack[k].name == "button":
                     break
         if name in CELLS and stack[-1].name in ("table", "tbody", "thead", "tfoot"):
             row = Node("tr")
             stack[-1].kids.append(row)
-            stack.append(row)
+            push(row)
         node = Node(name, m["attrs"])
         stack[-1].kids.append(node)
         if name in RAW:
@@ -130,8 +143,8 @@ def parse(html: str) -> Node:
             at = end
             close_ = html.find(">", end)
             at = n if close_ < 0 else close_ + 1
-        elif name not in VOID and len(stack) < DEPTH:
-            stack.append(node)
+        elif name not in VOID:
+            push(node)
     return root
 
 
@@ -199,9 +212,9 @@ class Page:
         return "\n".join(self.lines)
 
 
-def _span(a: dict, key: str) -> int:
+def _span(a: dict, key: str, most: int) -> int:
     x = a.get(key, "1").strip()
-    return max(1, min(100, int(x))) if x.isascii() and x.isdigit() else 1
+    return max(1, min(most, int(x.lstrip("0")[:9] or "0"))) if x.isascii() and x.isdigit() else 1
 
 
 def _rows(table: Node):
@@ -229,21 +242,20 @@ def _table(node: Node, out: Page) -> None:
                         if isinstance(y, str) and y.strip() or isinstance(y, Node) and y.name not in CELLS:
                             _render(y, out)
                             out.end()
-    grid, taken = [], {}
+    grid, taken = [], {}  # taken: of each column, the last row that a cell above reaches
     for r, cells in enumerate(_rows(node)):
         row, c = {}, 0
         for cell in cells:
-            while taken.get((r, c)):
+            while taken.get(c, -1) >= r:
                 c += 1
             a = cell.attributes()
-            wide, high = _span(a, "colspan"), _span(a, "rowspan")
+            wide, high = _span(a, "colspan", COLSPAN), _span(a, "rowspan", ROWSPAN)
             inner = Page()
             for kid in cell.kids:
                 _render(kid, inner)
             row[c] = inner.result().split("\n")
-            for i in range(high):
-                for j in range(wide):
-                    taken[r + i, c + j] = True
+            for j in range(c, c + wide):
+                taken[j] = r + high - 1
             c += wide
         grid.append(row)
     columns = sorted({c for row in grid for c, x in row.items() if x != [""]})
@@ -328,7 +340,7 @@ def text_of(html: str | None) -> str:
 def _extracted(batches):
     import sys
 
-    sys.setrecursionlimit(10_000)
+    sys.setrecursionlimit(10_000_000)  # as deep as a page nests; frames are on the heap
     for batch in batches:
         texts = [text_of(x) for x in batch["html"].to_pylist()]
         yield pa.RecordBatch.from_arrays([batch["page_id"], batch["url"], pa.array(texts, pa.string())], ["page_id", "url", "text"])
@@ -338,10 +350,10 @@ def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars, n_lines) for every row of ``pages`` (page_id, url, html; other columns are ignored).
 
     Null and empty pages give ''. Malformed markup is read as browsers read it; nothing is ever an error. An empty table
-    gives no rows.
+    gives no rows. Repeated rows have equal texts.
     """
     ship(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    out = rows.mapInArrow(_extracted, "page_id long, url string, text string")
+    out = rows.mapInArrow(lean(_extracted), "page_id long, url string, text string")
     lines = F.when(F.col("text") == "", 0).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1)
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), lines.cast("long").alias("n_lines"))

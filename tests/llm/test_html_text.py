@@ -55,3 +55,18 @@ def test_pages(spark):
     got = h.extract(spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'x' as text")).collect()
     assert [(r.page_id, r.url, r.n_chars, r.n_lines) for r in got] == [(1, "u", 4, 3), (2, None, 0, 0), (None, "v", 0, 0), (3, "w", 4, 1), (3, "w", 9999, 5000)]
     assert h.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_depth_spans_and_digits():
+    """What is hidden stays hidden at any depth; spans are as the standard bounds them."""
+    import sys
+
+    sys.setrecursionlimit(10_000_000)
+    for depth in (450, 30_000):
+        assert h.text_of("<div>" * depth + "<div hidden>secret<div>more</div>all</div>seen" + "</div>" * depth + "<p>end") == "seen\n\nend"
+        assert h.text_of("<div hidden>" + "<b>" * depth + "x" + "</b>" * depth + "y</div>z") == "z"
+    wide = "<table><tr><td colspan=%s>a<td>b<tr>" + "<td>c" * 150 + "<td>d</table>"
+    lines = h.text_of(wide % 150).split("\n")
+    assert lines[0].index("b") == lines[1].index("d")
+    for digits in ("9" * 5000, "0" * 5000 + "2", "-3", "x", ""):
+        assert "b" in h.text_of(f"<table><tr><td colspan='{digits}' rowspan='{digits}'>a<td>b</table>")
