@@ -2,9 +2,10 @@
 
 A shard's distinct vectors are inserted in batches: a greedy beam search from the entry points proposes neighbours, and
 pruning with a relaxed distance keeps those that no kept, nearer neighbour is (``ALPHA`` times) closer to; edges are then
-also added backwards, and pruned again where a point has too many. Queries go to every shard in blocks; a beam search finds
-candidates in its graph, whose distances are then computed in double precision on the original vectors. Equal vectors
-are one point of the graph with all their ids. Shards and blocks have a bounded size, whatever the input's.
+also added backwards, and pruned again where a point has too many. Queries are broadcast in blocks of ``BLOCK_BYTES`` at
+most, and every shard is read where it lies, once for each block; a beam search finds candidates in its graph, whose
+distances are then computed in double precision on the original vectors. Only each task's best candidates of a query
+travel. Equal vectors are one point of the graph with all their ids. Shards and blocks have a bounded size.
 """
 
 from __future__ import annotations
@@ -14,15 +15,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..runtime import Scratch, ship
+from .lean import lean, lean_group
 
-SHARD_ROWS, BLOCK_ROWS = 4096, 1024
-DEGREE, BUILD_BEAM, BEAM, ALPHA, BATCH, ENTRIES = 32, 48, 80, 1.2, 128, 24
+SHARD_ROWS, BLOCK_BYTES = 1 << 14, 32 << 20
+DEGREE, BUILD_BEAM, BEAM, ALPHA, BATCH, ENTRIES = 32, 48, 256, 1.2, 128, 24
 
 
 class Graph:
-    def __init__(self, points: np.ndarray, degree: int = DEGREE, edges: np.ndarray | None = None):
+    def __init__(self, points: np.ndarray, degree: int = DEGREE, edges: np.ndarray | None = None, entries: list[int] | None = None):
         self.points = points.astype(np.float32)
         self.degree = degree
+        if edges is not None:
+            self.entries, self.edges = entries, edges
+            return
         # entry points: the most central one, then one by one the farthest from all before
         far = ((points - points.mean(axis=0)) ** 2).sum(axis=1)
         self.entries = [int(far.argmin())]
@@ -30,9 +35,8 @@ class Graph:
         while len(self.entries) < min(ENTRIES, len(points)):
             np.minimum(far, ((points - points[self.entries[-1]]) ** 2).sum(axis=1), out=far)
             self.entries.append(int(far.argmax()))
-        self.edges = np.full((len(points), degree), -1, np.int32) if edges is None else edges
-        if edges is None:
-            self._build()
+        self.edges = np.full((len(points), degree), -1, np.int32)
+        self._build()
 
     def search(self, queries: np.ndarray, beam: int, done: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(points, squared distances) of the beam's end for each query, nearest first; -1 and inf where it has fewer."""
@@ -129,34 +133,53 @@ def _indexed(key, table):
     points, inv = np.unique(v, axis=0, return_inverse=True)
     by = np.lexsort((ids, inv.ravel()))
     g = Graph(points)
-    row = {"dim": [dim], "shard": [key[1].as_py()], "points": [points.tobytes()], "ids": [ids[by].tobytes()], "first": [np.searchsorted(inv.ravel()[by], np.arange(len(points) + 1)).tobytes()], "edges": [g.edges.tobytes()]}
-    return pa.table(row, pa.schema([("dim", pa.int32()), ("shard", pa.int32()), ("points", pa.binary()), ("ids", pa.binary()), ("first", pa.binary()), ("edges", pa.binary())]))
-
-
-_INDEX = "dim int, shard int, points binary, ids binary, first binary, edges binary"
-
-
-def _asked(top: int):
-    def run(key, index, queries):
-        out = {"query_id": [], "vec_id": [], "score": []}
-        if len(index) and len(queries):
-            dim, r = key[0].as_py(), index.to_pylist()[0]
-            points = np.frombuffer(r["points"]).reshape(-1, dim)
-            ids, first = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["first"], np.int64)
-            g = Graph(points, edges=np.frombuffer(r["edges"], np.int32).reshape(len(points), -1))
-            q, who = _matrix(queries["v"], dim), queries["vec_id"].to_numpy()
-            for lo in range(0, len(q), 256):
-                at, _ = g.search(q[lo : lo + 256], BEAM)
-                for x, i, near in zip(q[lo : lo + 256], who[lo : lo + 256].tolist(), at, strict=True):
-                    near = near[near >= 0]
-                    d = np.sqrt(((points[near] - x) ** 2).sum(axis=1))
-                    near_ids = [ids[first[p] : first[p + 1]][: top + 1] for p in near]  # sorted; the query's own may be one
-                    found, dist = np.concatenate(near_ids), np.repeat(d, [len(y) for y in near_ids])
-                    found, dist = found[found != i], dist[found != i]
-                    by = np.lexsort((found, dist))[:top]
-                    out["query_id"].append(np.full(len(by), i)), out["vec_id"].append(found[by]), out["score"].append(dist[by])
-        kinds = {"query_id": np.int64, "vec_id": np.int64, "score": np.float64}
-        return pa.table({c: np.concatenate([np.zeros(0, kinds[c]), *v]) for c, v in out.items()})
+    row = {"dim": [dim], "shard": [key[1].as_py()], "points": [points.tobytes()], "ids": [ids[by].tobytes()], "first": [np.searchsorted(inv.ravel()[by], np.arange(len(points) + 1)).tobytes()], "edges": [g.edges.tobytes()], "entries": [g.entries]}
+    return pa.table(row, pa.schema([("dim", pa.int32()), ("shard", pa.int32()), ("points", pa.binary()), ("ids", pa.binary()), ("first", pa.binary()), ("edges", pa.binary()), ("entries", pa.list_(pa.int32()))]))
+
+
+_INDEX = "dim int, shard int, points binary, ids binary, first binary, edges binary, entries array<int>"
+
+
+def _best(found: list[np.ndarray], top: int) -> list[np.ndarray]:
+    """Of (query, vector, distance) columns, the ``top`` nearest rows of each query."""
+    who, ids, dist = found
+    by = np.lexsort((ids, dist, who))
+    who, ids, dist = who[by], ids[by], dist[by]
+    keep = np.arange(len(who)) - np.searchsorted(who, who) < top
+    return [who[keep], ids[keep], dist[keep]]
+
+
+def _asked(shared, top: int):
+    """Searches a task's shards for all queries of a block, and merges what they find."""
+
+    def run(batches):
+        blocks, held = shared.value, [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        for batch in batches:
+            for k in range(len(batch)):
+                r = batch.slice(k, 1).to_pylist()[0]
+                dim = r["dim"]
+                if dim not in blocks:
+                    continue
+                points = np.frombuffer(r["points"]).reshape(-1, dim)
+                ids, first = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["first"], np.int64)
+                g = Graph(points, edges=np.frombuffer(r["edges"], np.int32).reshape(len(points), -1), entries=r["entries"])
+                who, q = blocks[dim]
+                for lo in range(0, len(q), 256):
+                    at, _ = g.search(q[lo : lo + 256], BEAM)
+                    out = [[held[0]], [held[1]], [held[2]]]
+                    for x, i, near in zip(q[lo : lo + 256], who[lo : lo + 256].tolist(), at, strict=True):
+                        near = near[near >= 0]
+                        d = np.sqrt(((points[near] - x) ** 2).sum(axis=1))
+                        near_ids = [ids[first[p] : first[p + 1]][: top + 1] for p in near]  # sorted; the query's own may be one
+                        found, dist = np.concatenate(near_ids), np.repeat(d, [len(y) for y in near_ids])
+                        found, dist = found[found != i], dist[found != i]
+                        by = np.lexsort((found, dist))[:top]
+                        for o, v in zip(out, (np.full(len(by), i), found[by], dist[by]), strict=True):
+                            o.append(v)
+                    held = [np.concatenate(o) for o in out]
+            held = _best(held, top)
+        if len(held[0]):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in _best(held, top)], ["query_id", "vec_id", "score"])
 
     return run
 
@@ -174,14 +197,23 @@ def nearest(vectors: DataFrame, is_query, top: int = 10) -> DataFrame:
     scratch = Scratch(spark)
     ok = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull()).where(ok)
-    rows = rows.distinct().withColumn("dim", F.size("v"))
-    n = rows.count()
-    shards, blocks = max(1, -(-n // SHARD_ROWS)), max(1, -(-rows.where(is_query).count() // BLOCK_ROWS))
-    spread = lambda k: F.pmod(F.xxhash64("vec_id"), F.lit(k)).cast("int")
-    index = scratch.save(rows.withColumn("shard", spread(shards)).groupBy("dim", "shard").applyInArrow(_indexed, _INDEX), "index")
-    index = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    queries = rows.where(is_query).withColumn("block", spread(blocks)).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    key = ("dim", "shard", "block")
-    found = index.groupBy(*key).cogroup(queries.groupBy(*key)).applyInArrow(_asked(top), "query_id long, vec_id long, score double")
+    rows = scratch.save(rows.distinct().withColumn("dim", F.size("v")), "rows")
+    shards = max(1, -(-rows.count() // SHARD_ROWS))
+    spread = lambda k, *of: F.pmod(F.xxhash64(*of), F.lit(k)).cast("int")
+    index = scratch.save(rows.withColumn("shard", spread(shards, "vec_id")).groupBy("dim", "shard").applyInArrow(lean_group(_indexed), _INDEX), "index")
+    queries, found = rows.where(is_query).select("vec_id", "dim", "v"), None
+    size = queries.agg(F.sum(F.col("dim").cast("long") * 8)).first()[0] or 0
+    blocks = max(1, -(-2 * size // BLOCK_BYTES))  # half full on average, so that none is too large
+    for k in range(blocks):
+        got = queries.where(spread(blocks, "vec_id", "v") == k).toArrow().sort_by([("dim", "ascending"), ("vec_id", "ascending")])
+        sizes, dims = got["dim"].to_numpy(), {}
+        for dim in np.unique(sizes).tolist():
+            of = got.filter(pa.array(sizes == dim))
+            dims[dim] = (of["vec_id"].to_numpy(), _matrix(of["v"], dim))
+        shared = spark.sparkContext.broadcast(dims)
+        part = scratch.save(index.mapInArrow(lean(_asked(shared, top)), "query_id long, vec_id long, score double"), f"found_{k}")
+        shared.unpersist()
+        found = part if found is None else found.unionByName(part)
+    scratch.drop("index", "rows")
     by = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")

@@ -19,7 +19,7 @@ def plain(rows, every, top=10):
 @pytest.mark.parametrize("shard", [4096, 300])
 def test_recall_and_exact_scores(spark, monkeypatch, shard):
     monkeypatch.setattr(nn, "SHARD_ROWS", shard)
-    monkeypatch.setattr(nn, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(nn, "BLOCK_BYTES", 1 << 13)
     r = np.random.default_rng(3)
     v = (r.standard_normal((10, 16))[r.integers(0, 10, 1500)] + 0.5 * r.standard_normal((1500, 16))).astype(np.float32)
     rows = [(i, [float(x) for x in y]) for i, y in enumerate(v)]
