@@ -6,11 +6,11 @@ weights depend on how frequent the context is (buckets of powers of two) and are
 held-out counts: one fold of the training texts is left out of the relative frequencies for that, and is part of them
 in the final model. A text ends with one end token, and the first word's context is the end token of the text before.
 
-Counts stay distributed. What a task reads is cut into slices of bounded size, each written once as one row with its
-texts and, as sorted blocks of hashes cut by hash range, its distinct unigrams and bigrams with their counts. Each range
-merges the blocks of all slices, which gives the counts of the corpus, and answers each block in its own order, with the
-counts alone: the slice finds its hashes again. So no slice sees, and no driver or broadcast holds, more than what the
-slice asks. Weights are learnt on a histogram of the held-out tokens' estimates, in bins of 10 ** (1 / ``GRID``).
+Counts stay distributed. Texts are dealt into slices; a slice asks for its distinct unigrams and bigrams, as sorted
+blocks of hashes cut by hash range; each range merges the blocks of all slices, which gives the counts of the corpus, and
+answers each block in its own order, with the counts alone: the slice finds its hashes again. So no slice sees, and no
+driver or broadcast holds, more than what the slice asks. Weights are learnt on a histogram of the held-out tokens'
+estimates, in bins of 10 ** (1 / ``GRID``).
 """
 
 from __future__ import annotations
@@ -19,13 +19,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from ..runtime import Scratch, ship
 from . import words as w
-from .lean import lean, lean_group
+from .lean import lean_group
 
 U = w.U
 END = w.hash_of("\n")  # no word has white space
@@ -82,62 +81,28 @@ def _count(values: list[np.ndarray], weights: list[np.ndarray]) -> tuple[np.ndar
     return x[new], np.add.reduceat(y, new, axis=0) if len(new) else y
 
 
-_ASKED = pa.schema([("kind", pa.int32()), ("slice", pa.int64()), ("order", pa.int32()), ("range", pa.int32()), ("hashes", pa.binary()), ("main", pa.binary()), ("tune", pa.binary())])
-
-
-def _blob(columns: dict) -> bytes:
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, (t := pa.table(columns)).schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-        out.write_table(t)
-    return sink.getvalue().to_pybytes()
-
-
-def _texts(table: pa.Table) -> pa.Table:
-    """The texts (doc_id, part, text) of a slice."""
-    return pa.ipc.open_stream(pa.py_buffer(table["hashes"][0].as_py())).read_all().combine_chunks()
-
-
-def _ask(number: int, tuning: bool, texts: pa.Table, ranges: int) -> pa.RecordBatch:
-    """Of one slice: its texts (kind 1, or 2 for the tuning fold), and for each order and hash range the distinct hashes with
-    their counts in the two parts of training (kind 0)."""
-    found, part = {1: ([], []), 2: ([], [])}, texts["part"].to_numpy()
-    for b in w.blocks(texts["text"], w.NOT_SPACE, True):
-        t = _tokens(b)
-        p = part[b.first : b.first + len(b)][t.doc]
-        weight = np.stack([p == 0, p == 1], axis=1).astype(np.int64)
-        for order, x in ((1, t.token), (2, t.bigram)):
-            x, y = _count([x], [weight])
-            found[order][0].append(x), found[order][1].append(y)
-    rows = [(1 + tuning, number, 0, 0, _blob({c: texts[c] for c in texts.column_names}), None, None)]
-    for order, (x, y) in found.items():
-        x, y = _count(x, y)
-        cut = np.searchsorted((x >> U(32)).astype(np.int64) * ranges >> 32, np.arange(ranges + 1))
-        for k in np.flatnonzero(np.diff(cut)):
-            s = slice(cut[k], cut[k + 1])
-            rows.append((0, number, order, int(k), _pack(x[s]), _pack_counts(y[s, 0]), _pack_counts(y[s, 1])))
-    return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*rows, strict=True), _ASKED, strict=True)], schema=_ASKED)
-
-
-def _asked(ranges: int, size: int):
-    """Cuts a task's rows into slices of about ``size`` bytes of text; texts of the tuning fold have slices of their own."""
-
-    def run(batches):
-        from pyspark import TaskContext
-
-        number, held, full = TaskContext.get().partitionId() << 32, {False: [], True: []}, {False: 0, True: 0}
-        for batch in batches:
-            for at in range(0, len(batch), 256):
-                some = pa.Table.from_batches([batch.slice(at, 256)])
-                tune = pc.equal(some["part"], 1)
-                for kind, rows in ((False, some.filter(pc.invert(tune))), (True, some.filter(tune))):
-                    held[kind].append(rows)
-                    full[kind] += rows["text"].nbytes
-                    if full[kind] >= size:
-                        yield _ask(number, kind, pa.concat_tables(held[kind]).combine_chunks(), ranges)
-                        number, held[kind], full[kind] = number + 1, [], 0
-        for kind, rows in held.items():
-            if sum(map(len, rows)):
-                yield _ask(number + kind, kind, pa.concat_tables(rows).combine_chunks(), ranges)
+def _asked(ranges: int):
+    """Of one slice: for each order and hash range, the distinct hashes with their counts in the two parts of training."""
+
+    def run(key, table):
+        found = {1: ([], []), 2: ([], [])}
+        part = table["part"].to_numpy()
+        for b in w.blocks(table["text"], w.NOT_SPACE, True):
+            t = _tokens(b)
+            p = part[b.first : b.first + len(b)][t.doc]
+            weight = np.stack([p == 0, p == 1], axis=1).astype(np.int64)
+            for order, x in ((1, t.token), (2, t.bigram)):
+                x, y = _count([x], [weight])
+                found[order][0].append(x), found[order][1].append(y)
+        rows = {k: [] for k in ("slice", "order", "range", "hashes", "main", "tune")}
+        for order, (x, y) in found.items():
+            x, y = _count(x, y)
+            cut = np.searchsorted((x >> U(32)).astype(np.int64) * ranges >> 32, np.arange(ranges + 1))
+            for k in np.flatnonzero(np.diff(cut)):
+                s = slice(cut[k], cut[k + 1])
+                for c, v in zip(rows, (key[0].as_py(), order, int(k), _pack(x[s]), _pack_counts(y[s, 0]), _pack_counts(y[s, 1])), strict=True):
+                    rows[c].append(v)
+        return pa.table(rows, pa.schema([("slice", pa.int64()), ("order", pa.int32()), ("range", pa.int32()), ("hashes", pa.binary()), ("main", pa.binary()), ("tune", pa.binary())]))
 
     return run
 
@@ -183,7 +148,7 @@ class Counts:
             asked[1].append(np.unique(t.token)), asked[2].append(np.unique(t.bigram))
         self.of = {}
         for order, x in asked.items():
-            t = table.filter(pc.equal(table["order"], order)).sort_by("range")
+            t = table.filter(pa.compute.equal(table["order"], order)).sort_by("range")
             main, tune = (np.concatenate([_unpack_counts(x) for x in t[c].to_pylist()] or [np.zeros(0, np.int64)]) for c in ("main", "tune"))
             self.of[order] = np.unique(np.concatenate(x or [np.zeros(0, U)])), main, tune
 
@@ -210,9 +175,8 @@ def _estimates(t: Tokens, c1: np.ndarray, c2: np.ndarray, n: int, v: int) -> tup
 def _histogram(shared):
     """Of one slice, for the tokens of the tuning fold: how many fall in each cell of (bucket, estimates by bins)."""
 
-    def run(key, texts, answers):
+    def run(key, docs, answers):
         n, v = shared.value
-        docs = _texts(texts)
         counts, out = Counts(docs["text"], answers), {}
         for b in w.blocks(docs["text"], w.NOT_SPACE, True):
             t = _tokens(b)
@@ -249,8 +213,7 @@ def learn(cells: np.ndarray) -> np.ndarray:
 
 
 def _scores(shared):
-    def run(key, texts, answers):
-        docs = _texts(texts)
+    def run(key, docs, answers):
         m, counts = shared.value, Counts(docs["text"], answers)
         out = [[], [], [], []]
         for b in w.blocks(docs["text"], w.NOT_SPACE, True):
@@ -261,7 +224,7 @@ def _scores(shared):
             for o, x in zip(out, (np.ones(len(c1)), c1 > 0, np.log10(p[:, 2]), np.log10((p * m.weights[bucket]).sum(axis=1))), strict=True):
                 o.append(np.bincount(t.doc, x, len(b)))
         cols = [np.concatenate(o) if o else np.zeros(0) for o in out]
-        return pa.table({"doc_id": docs["doc_id"], "held_out": pc.equal(docs["part"], 2), "n_tokens": pa.array(cols[0].astype(np.int64)), "n_known": pa.array(cols[1].astype(np.int64)), "train_tokens": pa.array(np.full(len(docs), m.n, np.int64)), "base_score": pa.array(cols[2]), "score": pa.array(cols[3])})
+        return pa.table({"doc_id": docs["doc_id"], "held_out": pa.compute.equal(docs["part"], 2), "n_tokens": pa.array(cols[0].astype(np.int64)), "n_known": pa.array(cols[1].astype(np.int64)), "train_tokens": pa.array(np.full(len(docs), m.n, np.int64)), "base_score": pa.array(cols[2]), "score": pa.array(cols[3])})
 
     return run
 
@@ -273,8 +236,8 @@ def score(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of ``docs`` (doc_id, text).
 
     Null and empty texts have the end token alone. Rows without doc_id are trained on. Repeated rows count each time and
-    have equal scores. base_score is the sum of log10((c + 1) / (N + V + 1)); score is the model's log10 probability of
-    the text, its end included. An empty table gives no rows.
+    have equal scores. An empty table gives no rows. base_score is the sum of
+    log10((c + 1) / (N + V + 1)); score is the model's log10 probability of the text, its end included.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -283,17 +246,20 @@ def score(docs: DataFrame) -> DataFrame:
     part = F.when(crc % EVALUATE[0] == EVALUATE[1], 2).when(crc % TUNE[0] == TUNE[1], 1).otherwise(0).cast("int")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("part", part)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    asked = docs.select("doc_id", "part", "text").mapInArrow(lean(_asked(max(1, -(-size // RANGE_BYTES)), SLICE_BYTES)), "kind int, slice long, order int, range int, hashes binary, main binary, tune binary")
-    asked = scratch.save(asked, "asked")
-    texts = asked.where("kind > 0").select("kind", "slice", "hashes")
-    ask = asked.where("kind = 0").drop("kind")
+    slices, ranges = max(1, -(-size // SLICE_BYTES)), max(1, -(-size // RANGE_BYTES))
+    # texts of the tuning fold have slices of their own
+    tuned = max(1, slices // TUNE[0])
+    dealt = docs.withColumn("slice", F.when(F.col("part") == 1, -1 - F.pmod(F.xxhash64("doc_id", "text"), F.lit(tuned))).otherwise(F.pmod(F.xxhash64("doc_id", "text"), F.lit(slices))).cast("long"))
+    ask = dealt.groupBy("slice").applyInArrow(lean_group(_asked(ranges)), "slice long, order int, range int, hashes binary, main binary, tune binary")
     answers = scratch.save(ask.groupBy("order", "range").applyInArrow(lean_group(_answered), _ANSWER), "answers")
+    del ask
+    scratch.release()
     n_main, n_tune, v, v_main = answers.where("order = 1").agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n_main", "n_tune", "v", "v_main"))).first()
     told = answers.select("slice", "order", "range", "main", "tune")
-    tuned = texts.where("kind = 2")
-    held = tuned.groupBy("slice").cogroup(told.join(tuned.select("slice"), "slice", "left_semi").groupBy("slice"))
+    held = dealt.where("slice < 0").groupBy("slice").cogroup(told.where("slice < 0").groupBy("slice"))
     cells = held.applyInArrow(lean_group(_histogram(spark.sparkContext.broadcast((n_main, v_main)))), "bucket long, p0 long, p1 long, p2 long, n long")
     cells = cells.groupBy("bucket", "p0", "p1", "p2").agg(F.sum("n").alias("n")).toPandas().sort_values(["bucket", "p0", "p1", "p2"]).to_numpy(np.int64)
+    scratch.release()
     model = Model(n_main + n_tune, v, n_main, v_main, learn(cells))
-    whole = texts.groupBy("slice").cogroup(told.groupBy("slice"))
+    whole = dealt.groupBy("slice").cogroup(told.groupBy("slice"))
     return whole.applyInArrow(lean_group(_scores(spark.sparkContext.broadcast(model))), _SCORED)

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 
 import pyarrow as pa
 
 
 def free() -> None:
     """Returns unused memory of Arrow's pool and of the C library to the system."""
+    gc.collect()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)

@@ -31,7 +31,7 @@ from ..operators.components import components
 from ..runtime import Scratch, ship
 from . import words as w
 from .bitmap import BITS, bitmap, passes, place
-from .lean import lean
+from .lean import free, lean
 
 SHINGLE, THRESHOLD = 5, 75
 TREES, BRANCH, START, SMALL, WIDTH = 6, 2, 2, 64, 128
@@ -319,6 +319,7 @@ class _Join:
     def add(self, links: DataFrame, name: str) -> None:
         self.links = links if self.links is None else self.links.unionByName(links)
         self.comp = self.scratch.save(components(self.links, self.scratch, f"{name}_cc"), f"{name}_comp")
+        free()  # of the driver, which has planned many small jobs
 
     def star(self, large: DataFrame) -> None:
         """One round over nodes that no task can hold: all members against a few pivots of their node, salted."""
