@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
+import time
 import uuid
 import zipfile
 
@@ -34,6 +36,13 @@ class Scratch:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(schema).parquet(path)
 
+    def release(self) -> None:
+        """Lets Spark delete shuffle files of finished jobs now; else they stay until the driver happens to collect garbage."""
+        for _ in range(2):  # the first round lets go of what Python still held
+            gc.collect()
+            self.spark._jvm.System.gc()
+            time.sleep(1)
+
     def drop(self, *names: str) -> None:
         """Deletes tables that nothing reads any more."""
         jvm, conf = self.spark._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
