@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.windows import scaled_size
+from ..operators.windows import bucket, scaled_size
 
 MODELS, STRATEGIES = ("dataflow", "microbatch", "actor", "log"), ("adaptive", "dynamic", "multitrigger", "session")
 
@@ -42,6 +42,36 @@ def counts(events: DataFrame, strategy: str, key: str, size_s: int = 10, factor:
     return out.select(key, F.unix_millis("w.start").alias("window_start"), F.unix_millis("w.end").alias("window_end"), "value")
 
 
+def sliding_counts(events: DataFrame, key: str, size_s: int, slide_s: int) -> DataFrame:
+    """Counts by key and epoch-aligned sliding window, from the output of ``with_time``."""
+    out = events.groupBy(key, F.window("ts", f"{size_s} seconds", f"{slide_s} seconds").alias("w")).agg(F.count("*").alias("value"))
+    return out.select(key, F.unix_millis("w.start").alias("window_start"), F.unix_millis("w.end").alias("window_end"), "value")
+
+
+def counts_every(events: DataFrame, key: str, size_ms: int, every: int, delay_ms: int = 0) -> DataFrame:
+    """Tumbling windows that fire at every ``every``-th event and, unless that was the last, once the watermark passes their end;
+    each time with all they hold so far. State is one count a window."""
+
+    def step(k, batches, state: GroupState):
+        end, before = int(k[1]) + size_ms, state.get[0] if state.exists else 0
+        n = before if state.hasTimedOut else before + sum(len(b) for b in batches)
+        fired = list(range(before // every * every + every, n + 1, every))
+        if state.hasTimedOut or end <= state.getCurrentWatermarkMs():
+            fired += [n] if n % every else []
+            if state.exists:
+                state.remove()
+        else:
+            state.update((n,))
+            state.setTimeoutTimestamp(end)
+        if fired:
+            yield pd.DataFrame({key: k[0], "window_start": k[1], "window_end": end, "value": fired})
+
+    timed = events.withColumn("ts", F.timestamp_millis("ts_ms")).withWatermark("ts", f"{delay_ms} milliseconds")
+    rows = timed.select(key, bucket("ts_ms", size_ms).alias("window_start"), "ts")
+    kind = dict(events.dtypes)[key]
+    return rows.groupBy(key, "window_start").applyInPandasWithState(step, f"`{key}` {kind}, window_start long, window_end long, value long", "n long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def pipeline(events: DataFrame, model: str, strategy: str, key: str, **options) -> DataFrame:
     return counts(with_time(events, model), strategy, key, **options)
 
