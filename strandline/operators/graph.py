@@ -129,4 +129,41 @@ def rover_ticks(routes: DataFrame, ticks: int, dt_s: float = 1.0) -> DataFrame:
     times = steps.select("roverId", "lap").distinct().select("roverId", "lap", F.explode(F.sequence(F.lit(0), F.lit(ticks - 1))).alias("tick"))
     at = times.withColumn("within", F.pmod(F.col("tick").cast("long"), F.col("lap")))
     hit = at.join(steps.drop("lap"), "roverId").where((F.col("within") < F.col("until")) & (F.col("within") >= F.col("until") - F.col("ticks")))
-    return hit.select("roverId", (F.col("tick") * int(dt_s * 1000)).alias("ts"), "edge_id", ((F.col("within") - F.col("until") + F.col("ticks")) * dt_s / F.col("seconds")).alias("progress"))
+    progress = F.coalesce(F.try_divide((F.col("within") - F.col("until") + F.col("ticks")) * dt_s, F.col("seconds")), F.lit(0.0))
+    return hit.select("roverId", (F.col("tick") * int(dt_s * 1000)).alias("ts"), "edge_id", progress.alias("progress"))
+
+
+def start_nodes(edges: DataFrame, count: int, seed: int = 1) -> DataFrame:
+    """(route, node) for routes 1 to ``count``: nodes with outgoing edges in the order of a seeded hash, from the start again
+    where there are fewer nodes than routes."""
+    spark = edges.sparkSession
+    some = edges.select(F.col("from").alias("node")).where("node is not null").distinct().orderBy(F.xxhash64(F.lit(seed), "node"), "node").limit(count)
+    some = some.withColumn("k", F.row_number().over(Window.orderBy(F.xxhash64(F.lit(seed), "node"), "node")) - 1)  # of ``count`` rows at most
+    size = some.withColumn("size", F.count("*").over(Window.partitionBy()))
+    every = size.withColumn("route", F.explode(F.sequence(F.col("k") + 1, F.lit(max(count, 1)), F.col("size")))).where(F.col("route") <= count)
+    return every.select(F.col("route").cast("long").alias("route"), "node") if count > 0 else spark.createDataFrame([], every.select(F.col("route").cast("long"), "node").schema)
+
+
+def rover_routes(edges: DataFrame, routes: DataFrame) -> DataFrame:
+    """(roverId, pos, edge_id, seconds, routeId) of (route, hops), for ``rover_ticks``; edges without length take no time, routes
+    without edges have no rover."""
+    legs = routes.select(F.concat(F.lit("rover-"), "route").alias("roverId"), F.array_join("hops", "-").alias("routeId"), F.posexplode("hops").alias("pos", "edge_id"))
+    times = weighted(edges).select(F.col("id").alias("edge_id"), F.when(F.col("seconds") < float("inf"), F.col("seconds")).otherwise(0.0).alias("seconds"))
+    return legs.join(times, "edge_id").select("roverId", "pos", "edge_id", "seconds", "routeId")
+
+
+def rover_telemetry(edges: DataFrame, routes: DataFrame, ticks: int, dt_s: float = 1.0, start_ms: int = 0) -> DataFrame:
+    """Telemetry after each of ``ticks`` steps of the rovers of (route, hops): place, speed and heading on the edge."""
+    legs = rover_routes(edges, routes)
+    at = rover_ticks(legs.drop("routeId"), ticks + 1, dt_s).where("ts > 0").join(legs.where("pos = 0").select("roverId", "routeId"), "roverId")
+    shapes = edges.select(F.col("id").alias("edge_id"), "geometry", F.coalesce("speed_mps", F.lit(EDGE_SPEED)).alias("speed"))
+    n, g = F.size("geometry"), F.col("geometry")
+    i = F.least(F.floor(F.col("progress") * (n - 1)).cast("int"), n - 2)
+    facing = F.when(n >= 2, heading(F.get(g, i), F.get(g, i + 1))).otherwise(0.0)
+    rows = at.join(shapes, "edge_id").withColumn("place", F.when(n >= 1, place_on(g, F.col("progress"))))
+    return rows.select("roverId", (F.col("ts") + start_ms).alias("ts"), "place.lat", "place.lon", "speed", facing.alias("heading"), F.col("edge_id").alias("edgeId"), "routeId")
+
+
+def simulate(edges: DataFrame, rovers: int = 50, length: int = 20, ticks: int = 1800, dt_s: float = 1.0, start_ms: int = 0, seed: int = 1) -> DataFrame:
+    """Telemetry of rovers on seeded random routes of ``length`` edges, one rover for each route."""
+    return rover_telemetry(edges, random_routes(edges, start_nodes(edges, rovers, seed), length, seed), ticks, dt_s, start_ms)

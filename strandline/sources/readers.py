@@ -6,9 +6,11 @@ import struct
 import zlib
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import geo
+from ..runtime import ship
 
 RAW_EVENT = "id string, wkt string, timestamp bigint, attributes map<string,string>"
 GEO_EVENT = "id string, objectId string, timestamp bigint, lon double, lat double, wkt string, speed double, heading double, attributes map<string,string>"
@@ -88,6 +90,49 @@ def wkb_points(wkb: bytes | None) -> list[tuple[float, float]] | None:
     return list(zip(flat[::2], flat[1::2], strict=True))
 
 
+# Columns of the road table, and the tags that ways take from them.
+ROAD_COLUMNS = ["rover_way_id", "osm_id", "geom_wkb", "highway", "name", "surface", "lanes", "oneway", "foot_access", "bicycle_access", "indoor", "service_type"]
+ROAD_TAGS = {"highway": "highway", "name": "name", "surface": "surface", "lanes": "lanes", "oneway": "oneway", "foot_access": "foot_access", "bicycle_access": "bicycle_access", "indoor": "indoor", "service": "service_type"}
+ROAD_TABLE, NODES_A_WAY = "api.v_osm_dubai_rover", 1000
+
+
+def road_query(table: str = ROAD_TABLE) -> str:
+    """For ``jdbc_roads``: only the columns in use, places as WKB."""
+    columns = ", ".join("ST_AsBinary(geom) AS geom_wkb" if c == "geom_wkb" else c for c in ROAD_COLUMNS)
+    return f"(SELECT {columns} FROM {table}) AS roads"
+
+
+def _lines(wkb: pd.Series) -> pd.Series:
+    return wkb.map(lambda b: None if (line := wkb_points(b)) is None else [{"lat": y, "lon": x} for x, y in line])
+
+
+def roads(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Ways (id, node_ids, tags) and nodes (id, lat, lon) of rows with ROAD_COLUMNS, for ``graph.build_edges``.
+
+    A way's k-th node is way * 1000 + k. Null tags and lanes=0 are left out, flags that are null read false; rows without id
+    or whose shape is no line string are left out. A way of over 1,000 nodes is an error, as its ids would be another's.
+    """
+    ship(rows.sparkSession)
+    points = F.pandas_udf(_lines, "array<struct<lat:double,lon:double>>")
+    flag = lambda c: F.coalesce(F.col(c).cast("boolean"), F.lit(False)).cast("string")
+    value = {"lanes": F.when(F.col("lanes") != 0, F.col("lanes").cast("string")), "oneway": flag("oneway"), "indoor": flag("indoor")}
+    tags = F.map_filter(F.create_map(*(x for tag, c in ROAD_TAGS.items() for x in (F.lit(tag), value.get(c, F.col(c).cast("string"))))), lambda k, v: v.isNotNull())
+    way = F.col("rover_way_id").cast("long")
+    lines = rows.select(way.alias("id"), points("geom_wkb").alias("line"), tags.alias("tags")).where("id is not null and line is not null")
+    error = F.raise_error(F.concat(F.lit("too many nodes in way "), "id")).cast("array<struct<lat:double,lon:double>>")
+    fits = F.when(F.size("line") > NODES_A_WAY, error).otherwise(F.col("line"))
+    lines = lines.withColumn("line", fits)
+    ways = lines.select("id", F.transform("line", lambda p, k: F.col("id") * NODES_A_WAY + k).alias("node_ids"), "tags")
+    nodes = lines.select("id", F.posexplode("line").alias("k", "p")).select((F.col("id") * NODES_A_WAY + F.col("k")).alias("id"), "p.lat", "p.lon")
+    return ways, nodes
+
+
+def graph_tables(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes, edges and envelopes that ``writers.write_graph`` has written."""
+    nodes, edges, boxes = (spark.read.parquet(f"{path}/{name}") for name in ("nodes", "edges", "spatial_index"))
+    return nodes, edges, boxes
+
+
 # --- OSM PBF -------------------------------------------------------------------------------------------------------
 
 
