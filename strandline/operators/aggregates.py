@@ -105,6 +105,39 @@ def by_experiment(metrics: DataFrame, keys: list[str], values: list[str]) -> Dat
     return metrics.groupBy(*keys).agg(*(f(v).alias(f"{v}_{s}") for v in values for s, f in stats.items()))
 
 
+def compare_modes(metrics: DataFrame, key: str, means: list[str], maxima: list[str], digits: int = 3) -> DataFrame:
+    """By mode: the means of some figures and the maxima of others, rounded, under the figures' own names."""
+    figures = [F.avg(c).alias(c) for c in means] + [F.max(c).alias(c) for c in maxima]
+    return metrics.groupBy(key).agg(*figures).select(key, *(F.round(c, digits).alias(c) for c in [*means, *maxima]))
+
+
+# What an experiment's summary is named by, and its figures with their titles.
+SUMMARY_KEYS = ["mode", "profile", "rate_pattern", "motion_mode", "window_size_ms", "watermark_delay_ms"]
+SUMMARY = {
+    "total_events_max": "Total Events",
+    "total_interactions_max": "Total Interactions",
+    "event_rate_mean": "Avg Event Rate",
+    "avg_latency_ms_mean": "Avg Latency (ms)",
+    "processing_latency_ms_mean": "Avg Processing (ms)",
+    "ml_inference_ms_mean": "Avg ML Inference (ms)",
+    "interaction_rate_mean": "Interaction Rate",
+    "collision_count_max": "Collisions",
+    "proximity_count_max": "Proximity Events",
+    "swarm_count_max": "Swarms",
+    "conflict_count_max": "Conflicts",
+    "adaptation_count_max": "Adaptations",
+    "window_oscillation_max": "Window Oscillations",
+    "watermark_oscillation_max": "Watermark Oscillations",
+    "window_change_rate_mean": "Window Change Rate",
+    "watermark_change_rate_mean": "Watermark Change Rate",
+}
+
+
+def experiment_summary(experiments: DataFrame) -> DataFrame:
+    """The keys and those figures of SUMMARY that ``by_experiment`` gave, under their titles."""
+    return experiments.select(*SUMMARY_KEYS, *(F.col(c).alias(title) for c, title in SUMMARY.items() if c in experiments.columns))
+
+
 def coverage(rows: DataFrame, columns: dict[str, list[str]]) -> DataFrame:
     """Share of all combinations of allowed values that occur, in percent."""
     total = math.prod(len(v) for v in columns.values())

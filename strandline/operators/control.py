@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
 import json
-from dataclasses import dataclass, field
+import random
+from dataclasses import asdict, dataclass
 
-from pyspark.ml import Pipeline
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
-from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
 from pyspark.sql import Column, DataFrame, functions as F
 
 # Bounds, defaults, and the features of the control model with their categories.
@@ -110,20 +110,75 @@ def split(rows: DataFrame, *keys: str, seed: int = 42) -> tuple[DataFrame, DataF
     return rows.where(h < 70), rows.where((h >= 70) & (h < 85)), rows.where(h >= 85)
 
 
+# What a search may choose from.
+SPACES = {
+    "default": {"n_estimators": [50, 100, 150, 200], "max_depth": [3, 4, 5, 6], "learning_rate": [0.05, 0.1, 0.15, 0.2], "min_child_weight": [1, 3, 5], "subsample": [0.7, 0.8, 0.9], "colsample_bytree": [0.7, 0.8, 0.9], "reg_alpha": [0, 0.1, 0.2], "reg_lambda": [0.5, 1.0, 1.5]},
+    "light": {"n_estimators": [50, 100], "max_depth": [3, 4], "learning_rate": [0.05, 0.1], "min_child_weight": [3, 5], "subsample": [0.8], "colsample_bytree": [0.8], "reg_alpha": [0.05, 0.1], "reg_lambda": [0.5, 1.0]},
+    "reduced": {"n_estimators": [100, 150, 200], "max_depth": [4, 5, 6], "learning_rate": [0.05, 0.1, 0.15], "min_child_weight": [3, 5], "subsample": [0.8, 0.9], "colsample_bytree": [0.8, 0.9], "reg_alpha": [0.05, 0.1], "reg_lambda": [0.5, 1.0]},
+}
+#: Spark's names; its trees have no penalties on leaf weights, so a search leaves reg_alpha and reg_lambda out.
+_PARAMETERS = {"n_estimators": "maxIter", "max_depth": "maxDepth", "learning_rate": "stepSize", "min_child_weight": "minInstancesPerNode", "subsample": "subsamplingRate", "colsample_bytree": "featureSubsetStrategy"}
+
+
 @dataclass
-class Search:
-    depths: list[int] = field(default_factory=lambda: [3, 5])
-    trees: list[int] = field(default_factory=lambda: [20, 40])
-    rates: list[float] = field(default_factory=lambda: [0.1])
-
-
-def train(rows: DataFrame, label: str, search: Search | None = None):
-    """Boosted trees on (features, label); with a search, the best on a validation part."""
-    gbt = GBTRegressor(featuresCol="features", labelCol=label, maxIter=40, maxDepth=5, stepSize=0.1, seed=42)
-    if search is None:
-        return gbt.fit(rows)
-    grid = ParamGridBuilder().addGrid(gbt.maxDepth, search.depths).addGrid(gbt.maxIter, search.trees).addGrid(gbt.stepSize, search.rates).build()
-    return TrainValidationSplit(estimator=Pipeline(stages=[gbt]), estimatorParamMaps=grid, evaluator=RegressionEvaluator(labelCol=label, metricName="rmse"), trainRatio=0.8, seed=42).fit(rows).bestModel.stages[0]
+class TreeConfig:
+    """Parameters of one model of boosted trees."""
+
+    n_estimators: int = 40
+    max_depth: int = 5
+    learning_rate: float = 0.1
+    min_child_weight: int = 1
+    subsample: float = 1.0
+    colsample_bytree: float = 1.0
+
+    @classmethod
+    def from_dict(cls, values: dict) -> TreeConfig:
+        return cls(**values)
+
+    def to_dict(self) -> dict:
+        return asdict(self)
+
+    def regressor(self, label: str, **more) -> GBTRegressor:
+        values = self.to_dict() | {"colsample_bytree": str(float(self.colsample_bytree))}
+        return GBTRegressor(featuresCol="features", labelCol=label, seed=42, **{_PARAMETERS[k]: v for k, v in values.items()}, **more)
+
+
+def grid(space: dict[str, list]) -> list[TreeConfig]:
+    space = {k: v for k, v in space.items() if k in _PARAMETERS}
+    return [TreeConfig(**dict(zip(space, values, strict=True))) for values in itertools.product(*space.values())]
+
+
+def random_configs(space: dict[str, list], n: int = 50, seed: int = 42) -> list[TreeConfig]:
+    """``n`` different combinations, or all where there are fewer."""
+    every = grid(space)
+    return random.Random(seed).sample(every, min(n, len(every)))
+
+
+def train(rows: DataFrame, label: str, config: TreeConfig | None = None, validation: DataFrame | None = None, tolerance: float = 0.01):
+    """Boosted trees on (features, label). With ``validation``, trees are added only while its error falls by ``tolerance``."""
+    config = config or TreeConfig()
+    if validation is None:
+        return config.regressor(label).fit(rows)
+    both = rows.withColumn("_check", F.lit(False)).unionByName(validation.withColumn("_check", F.lit(True)), allowMissingColumns=True)
+    return config.regressor(label, validationIndicatorCol="_check", validationTol=tolerance).fit(both)
+
+
+def search(rows: DataFrame, validation: DataFrame, label: str, configs: list[TreeConfig]) -> tuple[TreeConfig, object, float]:
+    """The configuration with the smallest error (RMSE) on ``validation``, its model and that error; the first of those that tie."""
+    if not configs:
+        raise ValueError("nothing to search")
+    by, best = RegressionEvaluator(labelCol=label, metricName="rmse"), None
+    rows, validation = rows.persist(), validation.persist()
+    try:
+        for config in configs:
+            model = train(rows, label, config)
+            error = by.evaluate(model.transform(validation))
+            if best is None or error < best[2]:
+                best = (config, model, error)
+    finally:
+        rows.unpersist()
+        validation.unpersist()
+    return best
 
 
 @dataclass

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import geo, logs
 from ..operators import aggregates as agg, control, generators, graph, interactions as inter, joins, trajectories as traj, windows as win
+from ..runtime import Scratch
 from ..sources.fixture import ORACLE, geo_events
+from ..streaming import models, run
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -418,3 +420,42 @@ def _(s, d):
 
     x = profile(geo_events(s, d), 5000, 3000)
     return x.select("events", "out_of_order", "late", "objects", "windows", "max_ts", "watermark_lag_ms", *r6("late_ratio", "disorder_ratio", "mean_latency_ms", "event_rate", "events_per_window", "window_fill_ratio"))
+
+
+@query("aggregate_compare_modes", "SELECT event_type AS mode, round(avg(value), 3) AS value, round(max(user_id), 3) AS user_id FROM (SELECT event_type, CAST(value AS DOUBLE) AS value, CAST(user_id AS DOUBLE) AS user_id FROM events) GROUP BY 1")
+def _(s, d):
+    e = s.read.parquet(f"{d}/events.parquet").select(F.col("event_type").alias("mode"), F.col("value").cast("double").alias("value"), F.col("user_id").cast("double").alias("user_id"))
+    return agg.compare_modes(e, "mode", ["value"], ["user_id"])
+
+
+@query("graph_rovers")
+def _(s, d):
+    return graph.simulate(graph.build_edges(*_roads(s, d)), ticks=600)
+
+
+def _streamed(s, d, build):
+    """What a stream over the events writes until its input ends; windows that the watermark has not passed stay open."""
+    scratch = Scratch(s)
+    files = scratch.save(geo_events(s, d).select("object_id", "ts_ms"), "in")
+    source = s.readStream.schema(files.schema).parquet(f"{scratch.root}/in")
+    write = lambda: build(source).writeStream.format("parquet").option("path", f"{scratch.root}/out").outputMode("append").trigger(availableNow=True)
+    run.supervised(write, f"{scratch.root}/checkpoint", restarts=1, pause_s=1.0)
+    return s.read.schema("object_id string, window_start long, window_end long, value long").parquet(f"{scratch.root}/out")
+
+
+_CLOSED = "window_end <= (SELECT max(ts_ms) - 4000 FROM g)"
+
+
+@query("stream_window_count", f"{W} SELECT object_id, w AS window_start, w + 10000 AS window_end, count(*) AS value FROM g GROUP BY object_id, w HAVING w + 10000 <= (SELECT max(ts_ms) - 4000 FROM g)")
+def _(s, d):
+    return _streamed(s, d, lambda e: models.counts(models.with_time(e, "dataflow", 4000), "dynamic", "object_id", 10))
+
+
+@query("stream_sliding_count", f"{W}, x AS (SELECT object_id, ts_ms - ts_ms % 5000 - 5000 * unnest([0, 1]) AS window_start FROM g) SELECT object_id, window_start, window_start + 10000 AS window_end, count(*) AS value FROM x GROUP BY ALL HAVING {_CLOSED}")
+def _(s, d):
+    return _streamed(s, d, lambda e: models.sliding_counts(models.with_time(e, "dataflow", 4000), "object_id", 10, 5))
+
+
+@query("stream_count_trigger", f"{W}, x AS (SELECT object_id, ts_ms - ts_ms % 10000 AS window_start, ts_ms - ts_ms % 10000 + 10000 AS window_end, count(*) AS n FROM g GROUP BY ALL), f AS (SELECT *, unnest(range(4, n + 1, 4)) AS value FROM x UNION ALL SELECT *, n FROM x WHERE n % 4 <> 0 AND {_CLOSED}) SELECT object_id, window_start, window_end, value FROM f")
+def _(s, d):
+    return _streamed(s, d, lambda e: models.counts_every(e, "object_id", 10_000, 4, 4000))
