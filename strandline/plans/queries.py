@@ -459,3 +459,6 @@ def _(s, d):
 @query("stream_count_trigger", f"{W}, x AS (SELECT object_id, ts_ms - ts_ms % 10000 AS window_start, ts_ms - ts_ms % 10000 + 10000 AS window_end, count(*) AS n FROM g GROUP BY ALL), f AS (SELECT *, unnest(range(4, n + 1, 4)) AS value FROM x UNION ALL SELECT *, n FROM x WHERE n % 4 <> 0 AND {_CLOSED}) SELECT object_id, window_start, window_end, value FROM f")
 def _(s, d):
     return _streamed(s, d, lambda e: models.counts_every(e, "object_id", 10_000, 4, 4000))
+
+
+from . import more_queries  # noqa: E402, F401  (adds its own)
