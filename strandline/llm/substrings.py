@@ -10,7 +10,8 @@ some hundred bytes a word, so a shard of more than ``AUTOMATON`` distinct segmen
 instead: within its task up to ``LARGE`` segments (tens of MB), beyond that spread over all tasks.
 
 Shards reach their documents by key, not by broadcast: sending all shards to all documents would take work that grows
-with the square of the corpus.
+with the square of the corpus. A key that holds many rows of a join is dealt over as many parts as it has
+``PARTS``-ths of all rows, so that no task gets much more than one of them.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from . import words as w
 from .bitmap import bitmap, passes, place
 from .lean import lean
 
-WINDOW, GRAM, AUTOMATON, LARGE = 35, 8, 500, 100_000
+WINDOW, GRAM, AUTOMATON, LARGE, PARTS = 35, 8, 500, 100_000, 4096
 U = w.U
 NO_ID = -(1 << 63)
 
@@ -152,6 +153,25 @@ def _texts(bits, columns):
     return run
 
 
+class _Hot:
+    """Keys with two ``PARTS``-ths or more of all rows; there are at most half of ``PARTS``, so they are broadcast."""
+
+    def __init__(self, counts: DataFrame, on: list[str], n: str):
+        self.on, total = on, counts.agg(F.sum(n)).first()[0] or 1
+        parts = counts.select(*on, F.expr(f"{n} * {PARTS} div {total}").alias("parts")).where("parts > 1")
+        self.parts = counts.sparkSession.createDataFrame(parts.collect(), parts.schema)
+
+    def join(self, rows: DataFrame, one: DataFrame) -> DataFrame:
+        """``rows`` with the columns of ``one``, which has each key once. Rows of a hot key are dealt over its parts, equal
+        ones by their partition; ``one`` is copied to each part, at most 1.5 times ``PARTS`` copies in all."""
+        zero, parts = F.lit(0).cast("long"), F.broadcast(self.parts)
+        part = F.pmod(F.xxhash64(F.spark_partition_id(), *rows.columns), "parts")
+        dealt = rows.join(parts, self.on, "left").withColumn("part", F.coalesce(part, zero)).drop("parts")
+        last = F.coalesce(F.col("parts") - 1, zero)
+        copied = one.join(parts, self.on, "left").withColumn("part", F.explode(F.sequence(zero, last))).drop("parts")
+        return dealt.join(copied, [*self.on, "part"]).drop("part")
+
+
 def _contents(window):
     """The words of wanted segments, 6 bytes of hash each."""
 
@@ -164,8 +184,8 @@ def _contents(window):
                 for i in range(len(b)):
                     for x in wanted[b.first + i].as_py():
                         lo = b.at[i] + x["first"]
-                        rows.append({"anchor": x["anchor"], "fp": x["fp"], "copies": x["copies"], "words": short[lo : lo + x["windows"] + window - 1].tobytes()})
-                yield pa.RecordBatch.from_pylist(rows, pa.schema([("anchor", pa.int64()), ("fp", pa.int64()), ("copies", pa.int64()), ("words", pa.binary())]))
+                        rows.append({"anchor": x["anchor"], "fp": x["fp"], "copies": x["copies"], "size": x["size"], "words": short[lo : lo + x["windows"] + window - 1].tobytes()})
+                yield pa.RecordBatch.from_pylist(rows, pa.schema([("anchor", pa.int64()), ("fp", pa.int64()), ("copies", pa.int64()), ("size", pa.int64()), ("words", pa.binary())]))
 
     return run
 
@@ -296,16 +316,18 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d")
     docs = docs.select(key, F.xxhash64("text").alias("f"), "text")
     found = docs.mapInArrow(lean(_found(window)), _FOUND)
-    anchors = found.groupBy("anchor").agg(F.count("*").alias("n"), F.min("fp").alias("low"), F.max("fp").alias("high")).where("n > 1")
-    places = scratch.save(found.join(anchors, "anchor").withColumn("alike", F.col("low") == F.col("high")).drop("low", "high", "n"), "places")
+    anchors = found.groupBy("anchor").agg(F.count("*").alias("n"), (F.min("fp") == F.max("fp")).alias("alike")).where("n > 1")
+    anchors = scratch.save(anchors, "anchors")
+    places = scratch.save(_Hot(anchors, ["anchor"], "n").join(found, anchors.drop("n")), "places")
 
     one = places.where("not alike").groupBy("anchor", "fp").agg(F.count("*").alias("copies"), F.min_by(F.struct("d", "f", "first", "windows"), F.struct("d", "f", "first")).alias("at"))
     one = scratch.save(one, "one")
-    wanted = one.groupBy("at.d", "at.f").agg(F.collect_list(F.struct("anchor", "fp", "copies", F.col("at.first").alias("first"), F.col("at.windows").alias("windows"))).alias("wanted"))
+    sizes = scratch.save(one.groupBy("anchor").agg(F.count("*").alias("size")), "sizes")
+    sized = _Hot(sizes, ["anchor"], "size").join(one, sizes)
+    wanted = sized.groupBy("at.d", "at.f").agg(F.collect_list(F.struct("anchor", "fp", "copies", "size", F.col("at.first").alias("first"), F.col("at.windows").alias("windows"))).alias("wanted"))
     texts = docs.withColumn("h", place("d", "f")).mapInArrow(lean(_texts(bitmap(one.select("at.d", "at.f"), "d", "f"), ["d", "f", "text"])), "d long, f long, text string")
-    content = texts.dropDuplicates(["d", "f"]).join(wanted, ["d", "f"]).select("text", "wanted").mapInArrow(lean(_contents(window)), "anchor long, fp long, copies long, words binary")
-    sizes = one.groupBy("anchor").agg(F.count("*").alias("size"))
-    content = scratch.save(content.join(sizes, "anchor"), "content")
+    content = texts.dropDuplicates(["d", "f"]).join(wanted, ["d", "f"]).select("text", "wanted").mapInArrow(lean(_contents(window)), "anchor long, fp long, copies long, size long, words binary")
+    content = scratch.save(content, "content")
     flags = content.where(F.col("size") <= LARGE).drop("size").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(lean(_searched(window)), "anchor long, fp long, flags binary")
     each = content.where(F.col("size") > LARGE).drop("size").mapInArrow(lean(_windows(window)), "anchor long, fp long, copies long, i long, w1 long, w2 long")
     again = each.groupBy("anchor", "w1", "w2").agg(F.sum("copies").alias("n")).where("n > 1")
@@ -315,10 +337,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     flags = scratch.save(flags.where(F.instr(F.hex("flags"), "01") > 0), "flags")
 
     alike = places.where("alike").select("d", "f", "first", "windows", F.lit(None).cast("binary").alias("flags"))
-    others = places.where("not alike").join(flags, ["anchor", "fp"]).select("d", "f", "first", "windows", "flags")
+    others = _Hot(one, ["anchor", "fp"], "copies").join(places.where("not alike"), flags).select("d", "f", "first", "windows", "flags")
     gone = alike.unionByName(others).groupBy("d", "f").agg(F.collect_set(F.struct("first", "windows", "flags")).alias("found"))
     gone = scratch.save(gone, "gone")
-    scratch.drop("places", "one", "content", "flags")
+    scratch.drop("anchors", "places", "one", "sizes", "content", "flags")
     bits = bitmap(gone, "d", "f")
     schema = "d long, f long, n_words long, n_removed long, kept_sha256 string"
     keyed = docs.withColumn("h", place("d", "f"))

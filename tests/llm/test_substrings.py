@@ -55,3 +55,18 @@ def test_null_ids_and_empty_table(spark):
     got = sorted((r.doc_id or 0, r.n_words, r.n_removed) for r in s.remove_repeats(docs).collect())
     assert got == [(0, 1, 0), (0, 40, 40), (1, 41, 40)]
     assert s.remove_repeats(docs.limit(0)).count() == 0
+
+
+def test_hot_keys_are_dealt(spark):
+    # a third of the rows, all equal, share key 7; the others have a key each
+    rows = spark.range(3000).selectExpr("if(id % 3 = 0, 7, id + 10) as k", "if(id % 3 = 0, 0, id) as x").repartition(8)
+    one = rows.groupBy("k").count().withColumnRenamed("count", "n").selectExpr("k", "n", "k * 2 as y")
+    hot = s._Hot(one, ["k"], "n")
+    parts = {r.k: r.parts for r in hot.parts.collect()}
+    assert parts[7] == s.PARTS // 3
+    assert sum(parts.values()) <= s.PARTS
+    joined = hot.join(rows, one.drop("n"))
+    assert joined.columns == ["k", "x", "y"]
+    assert sorted(map(tuple, joined.collect())) == sorted((r.k, r.x, r.k * 2) for r in rows.collect())
+    assert hot.join(rows.limit(0), one).count() == 0
+    assert not s._Hot(one.limit(0), ["k"], "n").parts.count()
