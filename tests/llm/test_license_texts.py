@@ -62,3 +62,11 @@ def test_labels_of_one_license_only(labels, across):
     ]
     texts = [t if across == "lines" else textwrap.fill(t, 30) for t, _ in cases]
     assert labels(*texts) == [want for _, want in cases]
+
+
+def test_templates_longer_than_a_block(spark):
+    words = [f"term{i}" for i in range(200)]
+    wrapped = textwrap.fill(" ".join(words), 40)
+    docs = spark.createDataFrame([(k, "rope\n" * k + wrapped) for k in range(0, 420, 13)], "doc_id long, text string").coalesce(1)
+    got = lic.scan(docs, templates={"terms": " ".join(words)}, contained=1.0, across=True).collect()
+    assert {r.labels for r in got} == {"terms"}
