@@ -1,8 +1,8 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
 A block is a line, or a stretch of ``BLOCK`` words of a longer line, half of it shared with the next; with ``across``, such
-stretches of the whole text are blocks too, so that wrapped lines hide no template: ``BLOCK`` grows to twice the words of the
-longest one. A template meets a
+stretches of the whole text are blocks too, of twice the words of the longest template if that is more, so that wrapped lines
+hide no template. A template meets a
 block if the block holds at least ``CONTAINED`` of its distinct words. Words are ordered by their frequency in the whole
 corpus, rarest first. A block that meets a template of n words holds a of them, a = ceil(CONTAINED n), and so one of the n - a + 1
 rarest (prefix filter), and has a template words at all (length filter); where the two agree, the
@@ -168,11 +168,11 @@ def _phrases(b: w.Words, phrases: list[tuple[np.ndarray, str]]) -> list[tuple[np
     return out
 
 
-def _blocks_of(b: w.Words, limit: int, across: bool) -> list[np.ndarray]:
-    """For each word, its blocks (-1: none); those of whole texts are numbered after all others."""
+def _blocks_of(b: w.Words, limit: int, across: int) -> list[np.ndarray]:
+    """For each word, its blocks (-1: none); those of whole texts, of ``across`` words if any, are numbered after all others."""
     out = [*_block_of(b, limit)]
     if across:
-        out += [np.where(x < 0, -1, x + len(b.starts)) for x in _block_of(b, limit, True)]
+        out += [np.where(x < 0, -1, x + len(b.starts)) for x in _block_of(b, across, True)]
     return out
 
 
@@ -187,7 +187,7 @@ def _holders(b: w.Words, blocks: list[np.ndarray], required: list[tuple[int, np.
     return np.unique(np.concatenate(out))
 
 
-def _scanned(shared, limit: int, across: bool):
+def _scanned(shared, limit: int, across: int):
     def run(batches):
         index, phrases, required = shared.value
         needs = np.zeros(len(index.labels), bool)
@@ -242,6 +242,6 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, contained: floa
     counts = docs.select("text").mapInArrow(lean(_frequencies(spark.sparkContext.broadcast(first))), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     index = Index.build(templates, {r.word: r.n for r in counts.collect()}, contained)
     phrases = [(_hashes(p), label) for p, label in PHRASES.items()]
-    limit = max(BLOCK, *(2 * len(_hashes(t)) for t in templates.values())) if templates else BLOCK
+    stretch = max([BLOCK, *(2 * len(_hashes(t)) for t in templates.values())]) if across else 0
     needed = [(t, _hashes(p)) for t, label in enumerate(index.labels) for p in (required or {}).get(label, ())]
-    return docs.mapInArrow(lean(_scanned(spark.sparkContext.broadcast((index, phrases, needed)), limit, across)), "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
+    return docs.mapInArrow(lean(_scanned(spark.sparkContext.broadcast((index, phrases, needed)), BLOCK, stretch)), "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
