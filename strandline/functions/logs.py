@@ -18,6 +18,17 @@ def typed(value: Column) -> Column:
     return F.struct(F.when(value.rlike(r"^[+-]?\d+$"), "int").when(value.contains(".") & value.try_cast("double").isNotNull(), "float").otherwise("string").alias("kind"), value.try_cast("double").alias("number"))
 
 
+def blocks(text: Column, tag: str) -> Column:
+    """array of the records of several lines of a whole log: each from [tag] to an empty line, a line that begins with [, or the end."""
+    return F.regexp_extract_all(text, F.lit(rf"(?s)\[{tag}\]\s*(.*?)(?=\n\s*\n|\n\[|\z)"), F.lit(1))
+
+
+def block_table(texts: DataFrame, tag: str, *fields: str, file: str = "file", text: str = "text") -> DataFrame:
+    """(file, n, fields): the numbers after field= in each block of a tag, in order within its file; null where it has none."""
+    rows = texts.select(file, F.posexplode(blocks(F.col(text), tag)).alias("n", "_block"))
+    return rows.select(file, "n", *(F.nullif(F.regexp_extract("_block", rf"\b{f}=(-?\d+)", 1), F.lit("")).cast("long").alias(f) for f in fields))
+
+
 _STREAM = r"^(\w+?)_(adaptive|dynamic|multitrigger|session)_([a-z]+)_([a-z]+)_([a-z]+)_(\d{8})_(\d{6})\.log$"
 _SPATIAL = r"^([a-z]+)_([a-z]+)_([a-z]+|random_walk)_([a-z]+)_(\d{8})_(\d{6})\.log$"
 _ADAPTIVE = r"^(?:(fixed|adaptive)_)?(realtime|skewed|late|out_of_order|mixed)_([a-z]+)_(straight|random_walk|swarm|collision|corridor)_(\d+)_(\d+)_(\d{8})_(\d{6})\.log$"

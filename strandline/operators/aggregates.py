@@ -66,14 +66,19 @@ def disorder(events: DataFrame, key: str, delay_ms: int, ts: str = "ts_ms", orde
     return rows.groupBy(key).agg(n.alias("events"), bad.alias("out_of_order"), late.alias("late"), (bad / n).alias("disorder_ratio"), (late / n).alias("late_ratio"), F.avg(F.col(arrival) - F.col(ts)).alias("mean_latency_ms"))
 
 
-def disorder_overall(events: DataFrame, delay_ms: int, block: int = 1 << 16, ts: str = "ts_ms", arrival: str = "ingest_ms", order: str = "seq") -> DataFrame:
-    """As ``disorder``, for all events together: the largest time so far comes from the blocks of arrival numbers before,
-    of which only one row each is ordered as a whole, and from the block itself. An empty table gives no row."""
-    rows = events.select(ts, arrival, order, F.floor(F.col(order) / block).alias("_block"))
+def with_high(rows: DataFrame, block: int = 1 << 16, ts: str = "ts_ms", order: str = "seq") -> DataFrame:
+    """The rows with ``high``, the largest time of all rows before in order of arrival: it comes from the blocks of arrival
+    numbers before, of which only one row each is ordered as a whole, and from the block itself."""
+    rows = rows.withColumn("_block", F.floor(F.col(order) / block))
     tops = rows.groupBy("_block").agg(F.max(ts).alias("_top"))
     tops = tops.select("_block", F.max("_top").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
     inside = F.max(ts).over(Window.partitionBy("_block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("_inside", inside).join(tops, "_block").withColumn("high", F.greatest("_before", "_inside"))
+    return rows.withColumn("_inside", inside).join(tops, "_block").withColumn("high", F.greatest("_before", "_inside")).drop("_block", "_inside", "_before")
+
+
+def disorder_overall(events: DataFrame, delay_ms: int, block: int = 1 << 16, ts: str = "ts_ms", arrival: str = "ingest_ms", order: str = "seq") -> DataFrame:
+    """As ``disorder``, for all events together. An empty table gives no row."""
+    rows = with_high(events.select(ts, arrival, order), block, ts, order)
     n, bad, late = F.count("*"), F.count_if(F.col(ts) < F.col("high")), F.count_if(F.col(ts) < F.col("high") - delay_ms)
     out = rows.agg(n.alias("events"), bad.alias("out_of_order"), late.alias("late"), F.avg(F.col(arrival) - F.col(ts)).alias("mean_latency_ms")).where("events > 0")
     return out.select("events", "out_of_order", "late", (F.col("out_of_order") / F.col("events")).alias("disorder_ratio"), (F.col("late") / F.col("events")).alias("late_ratio"), "mean_latency_ms")
@@ -92,11 +97,15 @@ def recent_rate(events: DataFrame, span_ms: int = 5000, arrival: str = "ingest_m
 
 
 def oscillation(decisions: DataFrame, key: str, value: str, order: str) -> DataFrame:
-    """Changes of a controlled value and flips of their direction; the first value counts as a change from zero."""
+    """Of a controlled value: decisions, changes, flips of direction from one decision to the next, bounds, and the mean step of
+    ``order``. The first decision goes up from zero without being a change, one that changes nothing has no direction."""
     by = Window.partitionBy(key).orderBy(order)
-    rows = decisions.select(key, order, F.signum(F.col(value) - F.coalesce(F.lag(value).over(by), F.lit(0))).alias("d"))
-    moves = rows.where("d <> 0").withColumn("before", F.lag("d").over(by))
-    return moves.groupBy(key).agg(F.count("*").alias("changes"), F.count_if(F.col("d") * F.col("before") < 0).alias("flips"))
+    last = F.coalesce(F.lag(value).over(by), F.lit(0))
+    rows = decisions.select(key, order, value, last.alias("last"), F.signum(F.col(value) - last).alias("d")).withColumn("before", F.lag("d").over(by))
+    n = F.count("*")
+    figures = {"decisions": n, "changes": F.count_if((F.col("last") != 0) & (F.col("d") != 0)), "flips": F.count_if(F.col("d") * F.col("before") < 0), "lowest": F.min(value), "highest": F.max(value)}
+    step = F.when(n > 1, (F.max(order) - F.min(order)) / (n - 1)).otherwise(0.0)
+    return rows.groupBy(key).agg(*(c.alias(k) for k, c in figures.items()), step.alias("mean_step"))
 
 
 def by_experiment(metrics: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
@@ -176,6 +185,20 @@ def histogram(rows: DataFrame, value: str, low: float, high: float, bins: int, *
     return rows.where(F.col(value).between(low, high)).groupBy(*keys, F.least(F.floor((F.col(value) - low) / ((high - low) / bins)), F.lit(bins - 1)).alias("bin")).agg(F.count("*").alias("n"))
 
 
+def box_statistics(rows: DataFrame, value: str, *keys: str, reach: float = 1.5) -> DataFrame:
+    """What a box plot draws: number, quartiles, the outermost values within ``reach`` quartile distances of the box, and the
+    number of those beyond. Nulls are left out; quartiles are exact and interpolated."""
+    rows = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_x"))
+    quartiles = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+    boxes = rows.groupBy(*keys).agg(*(F.percentile("_x", q).alias(k) for k, q in quartiles.items()))
+    far = reach * (F.col("q3") - F.col("q1"))
+    inside = F.col("_x").between(F.col("q1") - far, F.col("q3") + far)
+    by = [*keys, *quartiles]
+    joined = rows.join(boxes, list(keys)) if keys else rows.crossJoin(boxes)
+    ends = [F.min(F.when(inside, F.col("_x"))).alias("low"), F.max(F.when(inside, F.col("_x"))).alias("high")]
+    return joined.groupBy(*by).agg(F.count("*").alias("n"), *ends, F.count_if(~inside).alias("outliers"))
+
+
 def compared(a: DataFrame, b: DataFrame, name: str, value: str) -> DataFrame:
     """Two models' percentages of each feature, side by side."""
     x, y = shares(a, name, value).withColumnRenamed("percent", "percent_a"), shares(b, name, value).withColumnRenamed("percent", "percent_b")

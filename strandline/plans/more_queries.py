@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import geo, logs
 from ..operators import aggregates as agg, control, graph
 from ..sources.fixture import ORACLE, geo_events
+from ..streaming.totals import batch_totals
 from .queries import W, _roads, hav, query, r6
 
 _LINE = "(SELECT o_orderkey AS id, o_orderkey % 500 AS n1, o_orderkey * 7 % 500 AS n2, o_orderkey * 13 % 500 AS n3, o_custkey AS c FROM orders)"
@@ -116,3 +117,15 @@ def _(s, d):
 def _(s, d):
     e = s.read.parquet(f"{d}/events.parquet").select("event_type", "user_id", F.when(F.col("event_id") % 4 > 0, F.col("value")).alias("value"))
     return control.clean(e.unionAll(e), ["value"], {"value": (20.0, 120.0)})
+
+
+@query("stream_totals", f"{W}, h AS (SELECT *, max(ts_ms) OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS high, (SELECT CAST(floor(avg(ts_ms)) AS BIGINT) FROM geo) AS wm FROM g) SELECT count(*) AS events, count(*) FILTER (ts_ms < high) AS out_of_order, count(*) FILTER (ts_ms < wm) AS late, CAST(sum(greatest(ingest_ms - ts_ms, 0)) AS BIGINT) AS latency_ms, max(ts_ms) AS latest, count(DISTINCT ts_ms - ts_ms % 5000) AS windows FROM h")
+def _(s, d):
+    e = geo_events(s, d)
+    return batch_totals(e, 5000, watermark=e.agg(F.floor(F.avg("ts_ms"))).first()[0])
+
+
+@query("aggregate_box_statistics", "WITH b AS (SELECT event_type, quantile_cont(CAST(value AS DOUBLE), 0.25) AS q1, quantile_cont(CAST(value AS DOUBLE), 0.5) AS median, quantile_cont(CAST(value AS DOUBLE), 0.75) AS q3 FROM events GROUP BY 1), x AS (SELECT b.*, CAST(value AS DOUBLE) AS v, v BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) AS inside FROM events JOIN b USING (event_type) WHERE value IS NOT NULL) SELECT event_type, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3, count(*) AS n, round(min(v) FILTER (inside), 6) AS low, round(max(v) FILTER (inside), 6) AS high, count(*) FILTER (NOT inside) AS outliers FROM x GROUP BY ALL")
+def _(s, d):
+    x = agg.box_statistics(s.read.parquet(f"{d}/events.parquet"), "value", "event_type")
+    return x.select("event_type", "n", "outliers", *r6("q1", "median", "q3", "low", "high"))

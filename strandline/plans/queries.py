@@ -260,9 +260,9 @@ def _(s, d):
     return agg.recent_rate(geo_events(s, d))
 
 
-@query("aggregate_oscillation", f"{W}, x AS (SELECT object_id, seq, sign(CAST(floor(lat * 1000) AS BIGINT) % 7 - coalesce(lag(CAST(floor(lat * 1000) AS BIGINT) % 7) OVER (PARTITION BY object_id ORDER BY seq), 0)) AS d FROM g), y AS (SELECT *, lag(d) OVER (PARTITION BY object_id ORDER BY seq) AS b FROM x WHERE d <> 0) SELECT object_id, count(*) AS changes, count(*) FILTER (d * b < 0) AS flips FROM y GROUP BY 1")
+@query("aggregate_oscillation", f"{W}, v AS (SELECT object_id, seq, CAST(floor(lat * 1000) AS BIGINT) % 7 AS v FROM g), x AS (SELECT *, coalesce(lag(v) OVER k, 0) AS last FROM v WINDOW k AS (PARTITION BY object_id ORDER BY seq)), y AS (SELECT *, sign(v - last) AS d, lag(sign(v - last)) OVER (PARTITION BY object_id ORDER BY seq) AS b FROM x) SELECT object_id, count(*) AS decisions, count(*) FILTER (last <> 0 AND d <> 0) AS changes, count(*) FILTER (d * b < 0) AS flips, min(v) AS lowest, max(v) AS highest, round(CASE WHEN count(*) > 1 THEN (max(seq) - min(seq)) / (count(*) - 1) ELSE 0.0 END, 6) AS mean_step FROM y GROUP BY 1")
 def _(s, d):
-    return agg.oscillation(geo_events(s, d).withColumn("v", F.floor(F.col("lat") * 1000) % 7), "object_id", "v", "seq")
+    return agg.oscillation(geo_events(s, d).withColumn("v", F.floor(F.col("lat") * 1000) % 7), "object_id", "v", "seq").withColumn("mean_step", F.round("mean_step", 6))
 
 
 @query("aggregate_by_experiment", f"{W} SELECT object_id, round(avg(speed), 6) AS speed_mean, round(stddev_samp(speed), 6) AS speed_std, min(speed) AS speed_min, max(speed) AS speed_max, round(avg(lat), 6) AS lat_mean, round(stddev_samp(lat), 6) AS lat_std, min(lat) AS lat_min, max(lat) AS lat_max FROM g GROUP BY 1")

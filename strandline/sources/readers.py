@@ -49,6 +49,11 @@ def log_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line"))
 
 
+def log_texts(spark: SparkSession, path: str) -> DataFrame:
+    """(file, text) of logs whose records span lines, for ``logs.blocks``. A file is one row, so one of 2 GB cannot be read."""
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
+
+
 def csv_union(spark: SparkSession, *paths: str) -> DataFrame:
     """CSV files with headers, united by column name; what a file lacks is null."""
     out = None

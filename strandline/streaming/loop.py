@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import aggregates as agg, control, interactions as inter
+from .totals import Totals, batch_totals
 
 
 def profile(events: DataFrame, window_ms: int, delay_ms: int, watermark_ms: int | None = None) -> DataFrame:
@@ -28,21 +29,22 @@ def interaction_counts(found: DataFrame) -> dict[str, int]:
 
 
 def metric_line(row: dict) -> str:
-    """[METRIC] k=v ..., figures with up to four decimals."""
+    """[METRIC] k=v ..., figures with up to four decimals. The running figures have their own, ``Totals.line``."""
     return "[METRIC] " + " ".join(f"{k}={v:.4f}" if isinstance(v, float) else f"{k}={v}" for k, v in row.items())
 
 
 @dataclass
 class Loop:
-    """For ``foreachBatch``. ``predict`` gives (window, delay) from a profile with the counts of
-    interactions by kind and the time that the batch took until then: all numeric features of ``control``. Results go to ``sink``, one metrics row a batch to
-    ``metrics`` (bounded by the caller, e.g. a deque)."""
+    """For ``foreachBatch``. ``predict`` gives (window, delay) from a profile of the batch with the running figures of the
+    stream, in which all numeric features of ``control`` are. Results go to ``sink``, one metrics row a batch to ``metrics``
+    (bounded by the caller, e.g. a deque), the metrics line to ``log``."""
 
     predict: Callable[[dict], tuple[float, float]]
     sink: Callable[[DataFrame, int], None]
     runtime: control.Runtime = field(default_factory=control.Runtime)
     metrics: list = field(default_factory=list)
-    watermark_ms: int | None = None
+    totals: Totals = field(default_factory=Totals)
+    log: Callable[[str], None] | None = None
 
     def __call__(self, batch: DataFrame, number: int) -> None:
         if batch.isEmpty():
@@ -55,15 +57,21 @@ class Loop:
             found.unpersist()
 
     def _step(self, batch: DataFrame, found: DataFrame, number: int, began: float) -> None:
-        row = profile(batch, max(1000, self.runtime.window_ms), self.runtime.delay_ms, self.watermark_ms).first().asDict()
-        counts, seconds = interaction_counts(found), max(row["seconds"], 1.0)
-        row |= counts | {k.replace("_count", "_rate"): n / seconds for k, n in counts.items()}
-        row |= {"avg_latency_ms": row["mean_latency_ms"], "late_event_ratio": row["late_ratio"], "processing_latency_ms": (time.perf_counter() - began) * 1000}
-        self.watermark_ms = max(self.watermark_ms or 0, row["max_ts"] - self.runtime.delay_ms)
+        totals, width = self.totals, max(1000, self.runtime.window_ms)
+        row = profile(batch, width, self.runtime.delay_ms, totals.watermark).first().asDict()
+        counts = interaction_counts(found)
+        of_batch = batch_totals(batch, width, totals.latest, totals.watermark).first().asDict()
+        totals.add(of_batch, counts, (time.perf_counter() - began) * 1000)
+        row |= totals.figures() | {f"batch_{k}": n for k, n in counts.items()} | {"interaction_count": totals.found["interaction"]}
+        asked = time.perf_counter()
         window, delay = self.predict(row)
         lo, hi = control.WINDOW_BOUNDS
         window = int(min(max(window, lo), hi))
         delay = int(min(max(delay, control.DELAY_BOUNDS[0]), control.DELAY_BOUNDS[1]))
+        totals.decide(window, delay, (time.perf_counter() - asked) * 1000)
+        totals.watermark = max(totals.watermark or 0, totals.latest - self.runtime.delay_ms)
         changed = self.runtime.update(window, delay, row["max_ts"])
-        self.metrics.append(row | {"batch": number, "changed": changed, "window_ms": self.runtime.window_ms, "delay_ms": self.runtime.delay_ms})
+        self.metrics.append(row | totals.figures() | {"batch": number, "changed": changed, "window_ms": self.runtime.window_ms, "delay_ms": self.runtime.delay_ms})
+        if self.log:
+            self.log(totals.line())
         self.sink(found, number)
