@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 
 from .windows import bucket
 
@@ -205,6 +205,9 @@ def compared(a: DataFrame, b: DataFrame, name: str, value: str) -> DataFrame:
     return x.join(y, name, "full").na.fill(0.0)
 
 
-def observed(rows: DataFrame, name: str, ts: str = "ts_ms", arrival: str = "ingest_ms") -> DataFrame:
-    """The rows, with gauges that Spark reports for each batch or action: count, latency and largest time."""
-    return rows.observe(name, F.count(F.lit(1)).alias("events"), F.avg(F.col(arrival) - F.col(ts)).alias("mean_latency_ms"), F.max(ts).alias("max_ts"))
+def observed(rows: DataFrame, name: str | Observation, ts: str = "ts_ms", arrival: str = "ingest_ms", bounds: tuple[int, ...] = ()) -> DataFrame:
+    """The rows, with gauges that Spark reports for each batch or action: count, latency and largest time; with ``bounds``, also
+    a cumulative histogram: how many rows have a latency of each bound at most (``latency_le_<bound>``)."""
+    latency = F.col(arrival) - F.col(ts)
+    buckets = [F.count_if(latency <= b).alias(f"latency_le_{b}") for b in bounds]
+    return rows.observe(name, F.count(F.lit(1)).alias("events"), F.avg(latency).alias("mean_latency_ms"), F.max(ts).alias("max_ts"), *buckets)

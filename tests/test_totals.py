@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from pyspark.sql import Observation
 from strandline.functions import logs
 from strandline.operators import aggregates as agg, control, interactions as inter
 from strandline.sources import readers
@@ -110,3 +111,11 @@ def test_box_statistics(spark):
     r = agg.box_statistics(df, "x").first()
     assert (r.q1, r.median, r.q3, r.low, r.high, r.n, r.outliers) == (2, 3, 4, 1, 4, 5, 1)
     assert agg.box_statistics(df.limit(0), "x").where("n > 0").count() == 0
+
+
+def test_histogram_gauge(spark):
+    df = spark.createDataFrame([(0, x) for x in (1, 5, 5, 20, None)], "ts_ms long, ingest_ms long")
+    gauges = Observation("latency")
+    agg.observed(df, gauges, bounds=(0, 5, 100)).collect()
+    got = gauges.get
+    assert [got[f"latency_le_{b}"] for b in (0, 5, 100)] == [0, 3, 4] and got["events"] == 5
