@@ -57,7 +57,7 @@ def events_in_regions(events: DataFrame, regions: DataFrame) -> DataFrame:
     four cells that its box touches, of a size (a power of two of a degree) that follows from the box; an event is in one
     cell of each size that occurs. No side is broadcast unless Spark finds it small."""
     shaped = regions.select("region_id", geo.parse_wkt("wkt").alias("shape")).where(F.size("shape.points") > 0)
-    shaped = shaped.withColumn("box", geo.bounding_box(F.col("shape.points"))).select("region_id", F.col("shape.rings").alias("rings"), "box")
+    shaped = shaped.withColumn("box", geo.bounding_box(F.col("shape.points"))).select("region_id", geo.sides(F.col("shape.rings")).alias("sides"), "box")
     side = F.greatest(F.col("box.max_lon") - F.col("box.min_lon"), F.col("box.max_lat") - F.col("box.min_lat"), F.lit(2.0**-20))
     shaped = shaped.withColumn("level", F.ceil(F.log2(side)).cast("int"))
     levels = sorted(r.level for r in shaped.select("level").distinct().collect())  # from -20 to 9
@@ -66,4 +66,4 @@ def events_in_regions(events: DataFrame, regions: DataFrame) -> DataFrame:
     inside: Column = F.col("lon").between(F.col("box.min_lon"), F.col("box.max_lon")) & F.col("lat").between(F.col("box.min_lat"), F.col("box.max_lat"))
     placed = events.withColumn("level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>"))).withColumn("cx", at("lon")).withColumn("cy", at("lat"))
     found = placed.join(cells, ["level", "cx", "cy"]).drop("level", "cx", "cy").where(inside)
-    return found.where(geo.contains(F.col("rings"), "lon", "lat")).drop("rings", "box")
+    return found.where(geo.within(F.col("sides"), "lon", "lat")).drop("sides", "box")

@@ -2,10 +2,12 @@ import math
 import struct
 import zlib
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 from strandline.functions import geo, logs
 from strandline.operators import control, generators, graph, interactions as inter, joins, trajectories as traj, windows as win
+from strandline.plans import queries
 from strandline.sources import readers
 
 
@@ -38,6 +40,19 @@ def test_holes_and_several_parts(spark):
     assert tuple(r[0]) == (3.0, 1.0) and tuple(r[1]) == (3.0, 4.0) and tuple(r[2]) == (1.0, 0.0) and not r[3]
 
 
+def test_regions_beside_an_edge_as_in_sql(spark, tmp_path):
+    """All places that objects can have in the fixture; two of them are all but on an edge of the triangle."""
+    places = "SELECT e + 3000 * u AS event_id, u AS user_id FROM range(3000) t(e), range(50) s(u)"
+    duckdb.sql(f"COPY ({places}) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    got = {tuple(r) for r in queries.QUERIES["join_regions"](spark, str(tmp_path)).collect()}
+    with duckdb.connect() as db:
+        db.sql(f"CREATE VIEW events AS FROM '{tmp_path}/events.parquet'")
+        assert got == set(db.sql(queries.ORACLE_SQL["join_regions"]).fetchall()) and {("triangle", 121149), ("triangle", 121851)} <= got
+    shape = geo.parse_wkt(F.lit("POLYGON((30.3140 59.9380, 30.3180 59.9380, 30.3160 59.9400))"))
+    turned = geo.parse_wkt(F.lit("POLYGON((30.3160 59.9400, 30.3180 59.9380, 30.3140 59.9380))"))
+    assert all(one(spark, *(geo.contains(x["rings"], F.lit(30.3163446), F.lit(59.9396554)) for x in (shape, turned))))
+
+
 def test_speeds(spark):
     """Posted speeds first, then the kind of way, of service, of slow road."""
     cases = [({"maxspeed": "50"}, 50 / 3.6), ({"maxspeed": "30 mph"}, 30 * 0.44704), ({"maxspeed": "20km/h", "highway": "steps"}, 20 / 3.6), ({"highway": "steps"}, 1.0), ({"highway": "service", "indoor": "true"}, 1.2), ({"highway": "service", "service_type": "alley"}, 2.0), ({"highway": "service"}, 20 / 3.6), ({"highway": "road"}, 30 / 3.6), ({"highway": "primary", "maxspeed": "walk"}, 50 / 3.6), ({}, 50 / 3.6)]
