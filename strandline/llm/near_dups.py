@@ -290,6 +290,11 @@ class _Join:
         self.step += 1
         return out
 
+    def left(self, members: DataFrame) -> int:
+        """How many rows of ``members`` are in nodes that hold several components."""
+        some = self.labelled(members).groupBy("node").agg(F.count("*").alias("rows"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
+        return some.agg(F.sum("rows")).first()[0] or 0
+
     def grouped(self, rows: DataFrame) -> DataFrame:
         """(g, rep, comp, sig), whole nodes in one partition, in order."""
         return rows.join(self.sigs, "rep").select(F.col("node").alias("g"), "rep", "comp", "sig").repartition("g").sortWithinPartitions("g")
@@ -376,14 +381,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         nodes = join.mixed(large).join(join.sigs, "rep").select("node", "rep", "sig").mapInArrow(lean(_branches(depth)), "node long, rep long")
         depth += 1
 
-    # stars within nodes; those of large ones again and again while that helps
-    link = "a long, b long, est double"
-    now = join.labelled(held) if join.comp is None else join.mixed(held)
-    before = None
-    while before is None or 0 < (n := now.count()) <= before / 2:
-        before = before and n or float("inf")
+    # stars within nodes; those of large ones again and again while that helps, the first round included
+    link, some = "a long, b long, est double", held.where(F.col("size") > SMALL)
+    now, n = join.labelled(held) if join.comp is None else join.mixed(held), join.left(some)
+    while True:
         join.confirm(join.grouped(now).mapInArrow(_by_group(_candidates(PIVOTS)), link))
-        now = join.mixed(held.where(F.col("size") > SMALL))
+        before, n = n, join.left(some)
+        if not 0 < n <= before / 2:
+            break
+        now = join.mixed(some)
 
     # what is left is compared node by node
     rest = scratch.save(join.grouped(join.mixed(held)).mapInArrow(_by_group(_closeness(bits)), "g long, rep long, comp long"), "rest")

@@ -63,6 +63,18 @@ def test_a_long_chain_with_the_defaults(spark):
     assert got == brute.near_duplicates(docs)
 
 
+def test_rounds_that_join_nothing_end(spark, monkeypatch):
+    """Strangers that share a passage stay in their nodes: they are not dealt again before the comparison of the rest."""
+    r, dealt = random.Random(2), []
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    common = [word() for _ in range(60)]
+    docs = [(i, " ".join(common + [word() for _ in range(40)])) for i in range(120)]
+    mixed = near_dups._Join.mixed
+    monkeypatch.setattr(near_dups._Join, "mixed", lambda self, members: dealt.append(mixed(self, members)) or dealt[-1])
+    got = near_dups.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert all(x.component_id == x.doc_id for x in got.collect()) and len(dealt) == 1
+
+
 def test_each_close_pair_counts_in_one_node():
     r = np.random.default_rng(2)
     base = r.integers(0, 1 << 32, near_dups.WIDTH, dtype=np.uint32)
