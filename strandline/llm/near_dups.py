@@ -16,8 +16,10 @@ Work is by nodes, and linear in their size until few texts are left:
 2. In nodes that still hold several components, members of different ones are compared exhaustively, first by estimates,
    then on full sets. A pair that meets in several nodes is compared in the first of them only.
 
-Nodes are small in this sense if they have at most ``HELD`` members (signatures of 1 MB); larger ones are starred as
-tables and, if they still hold several components, branch further, to any depth.
+A task holds ``HELD`` members at once (signatures of 1 MB). Nodes of up to ``BLOCKS`` / 2 times that are dealt by hash into
+blocks of about half of it: stars are within blocks, and what is left is compared in all pairs of blocks. That repeats a
+member once for each other block; branching repeats it in two nodes for each level, and in every tree. Still larger nodes
+are starred as tables and, if they still hold several components, branch further, to any depth.
 Comparisons by the minwise estimate leave out pairs over 4 standard deviations below the threshold; full sets decide.
 """
 
@@ -36,7 +38,7 @@ from .lean import free, lean
 SHINGLE, THRESHOLD = 5, 75
 TREES, BRANCH, START, SMALL, WIDTH = 6, 2, 2, 64, 128
 WIDE, RATE = 4, 3
-HELD, PIVOTS, SALTS = 2048, 16, 32
+HELD, BLOCKS, PIVOTS, SALTS = 2048, 16, 16, 32
 ESTIMATE = 0.58
 U = w.U
 _rng = np.random.default_rng(7)
@@ -188,18 +190,25 @@ def _candidates(pivots: int):
     return judge
 
 
+def _blocks(t: pa.Table) -> np.ndarray:
+    """For each row, its block if another group compares that block within itself, else 0."""
+    return t["block"].to_numpy() if "block" in t.column_names else np.zeros(len(t), np.int32)
+
+
 def _closeness(large):
-    """Members that are close to a member of another component of their node. A pair counts in the first node of depth START
-    that holds both and is certainly not a large one (``large``: a bitmap of those, or None); if there is none, in all."""
+    """Members that are close to a member of another component of their group, a node or two blocks of one. A pair counts in
+    the first node of depth START that holds both and is certainly not one that branched (``large``: a bitmap of those, or
+    None); if there is none, in all."""
 
     def judge(t: pa.Table) -> pa.Table:
-        g, comp, sig, keep = t["g"].to_numpy().view(U), t["comp"].to_numpy(), _matrix(t["sig"]), np.zeros(len(t), bool)
+        g, comp, sig, keep = t["node" if "node" in t.column_names else "g"].to_numpy().view(U), t["comp"].to_numpy(), _matrix(t["sig"]), np.zeros(len(t), bool)
+        block = _blocks(t)
         paths, end = _paths(sig), np.searchsorted(t["g"].to_numpy(), t["g"].to_numpy(), "right")
         sure = np.ones(paths.shape, bool) if large is None else ~passes(large.value, (paths & U(BITS - 1)).astype(np.int64))
         top = (paths == g[:, None]).any(axis=1)
         rows, d = np.arange(len(t)), 1
         while len(rows := rows[rows + d < end[rows]]):
-            a = rows[comp[rows] != comp[rows + d]]
+            a = rows[(comp[rows] != comp[rows + d]) & ((block[rows] != block[rows + d]) | (block[rows] == 0))]
             for k in range(0, len(a), 1 << 16):
                 x = a[k : k + (1 << 16)]
                 x = x[(sig[x] == sig[x + d]).mean(axis=1) >= ESTIMATE]
@@ -208,14 +217,14 @@ def _closeness(large):
                 x = x[~both.any(axis=1) | (paths[x, first] == g[x]) | ~top[x]]
                 keep[x] = keep[x + d] = True
             d += 1
-        return t.select(["g", "rep", "comp"]).filter(pa.array(keep))
+        return t.select(["g", "rep", "comp"]).append_column("block", pa.array(block)).filter(pa.array(keep))
 
     return judge
 
 
 def _linked(t: pa.Table) -> pa.Table:
     """Links between components, as many as join what can be joined: no pair of members already joined here is compared."""
-    g, rep, label = t["g"].to_numpy(), t["rep"].to_numpy(), t["comp"].to_numpy().copy()
+    g, rep, label, block = t["g"].to_numpy(), t["rep"].to_numpy(), t["comp"].to_numpy().copy(), _blocks(t)
     raw, offs = w.column_bytes(t["shingles"])
     sets = [np.frombuffer(raw[a:b].tobytes(), U) for a, b in zip(offs[:-1], offs[1:], strict=True)]
     sig = np.stack([signature(s) for s in sets])
@@ -224,6 +233,7 @@ def _linked(t: pa.Table) -> pa.Table:
     for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
         for i in range(lo, hi - 1):
             near = i + 1 + np.flatnonzero((label[i + 1 : hi] != label[i]) & (100 * np.minimum(size[i + 1 : hi], size[i]) >= THRESHOLD * np.maximum(size[i + 1 : hi], size[i])))
+            near = near[(block[near] != block[i]) | (block[near] == 0)]
             near = near[(sig[near] == sig[i]).mean(axis=1) >= ESTIMATE]
             for k in range(0, len(near), 64):
                 js = near[k : k + 64]
@@ -276,13 +286,13 @@ class _Join:
         self.sigs, self.links, self.comp, self.step = reps.select("rep", "sig"), None, None, 0
 
     def labelled(self, members: DataFrame) -> DataFrame:
-        """(node, rep, comp)"""
+        """(node, rep, comp, size)"""
         if self.comp is None:
-            return members.select("node", "rep", F.col("rep").alias("comp"))
-        return members.join(self.comp.toDF("rep", "label"), "rep", "left").select("node", "rep", F.coalesce("label", "rep").alias("comp"))
+            return members.select("node", "rep", F.col("rep").alias("comp"), "size")
+        return members.join(self.comp.toDF("rep", "label"), "rep", "left").select("node", "rep", F.coalesce("label", "rep").alias("comp"), "size")
 
     def mixed(self, members: DataFrame) -> DataFrame:
-        """(node, rep, comp) of the nodes that hold several components."""
+        """(node, rep, comp, size) of the nodes that hold several components."""
         rows = self.scratch.save(self.labelled(members), f"labelled_{self.step}")
         some = rows.groupBy("node").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("node")
         out = self.scratch.save(rows.join(some, "node", "left_semi"), f"mixed_{self.step}")
@@ -295,9 +305,22 @@ class _Join:
         some = self.labelled(members).groupBy("node").agg(F.count("*").alias("rows"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
         return some.agg(F.sum("rows")).first()[0] or 0
 
-    def grouped(self, rows: DataFrame) -> DataFrame:
-        """(g, rep, comp, sig), whole nodes in one partition, in order."""
-        return rows.join(self.sigs, "rep").select(F.col("node").alias("g"), "rep", "comp", "sig").repartition("g").sortWithinPartitions("g")
+    def grouped(self, rows: DataFrame, pairs: bool = False) -> DataFrame:
+        """(g, rep, comp, sig), whole groups in one partition, in order. Groups are nodes; of nodes that a task cannot hold,
+        their blocks or, with ``pairs`` (adds node and block), all pairs of their blocks."""
+        count = F.ceil(F.col("size") * 2 / HELD).cast("int")
+        rows = rows.join(self.sigs, "rep").withColumn("own", F.when(F.col("size") > HELD, F.pmod(F.xxhash64("rep", "node"), count).cast("int")))
+        part = F.when(F.col("own").isNull(), F.col("node"))
+        if not pairs:
+            rows = rows.select(part.otherwise(F.xxhash64("node", "own")).alias("g"), "rep", "comp", "sig")
+            return rows.repartition("g").sortWithinPartitions("g")
+        others = F.array_except(F.sequence(F.lit(0), count - 1), F.array("own"))
+        rows = rows.withColumn("other", F.explode(F.when(F.col("own").isNull(), F.array(F.lit(0))).otherwise(others)))
+        # a block is compared within itself beside the next one, the last beside the one before
+        within = F.col("own").isNull() | (F.col("other") == F.least(F.col("own") + 1, count - 1)) | ((F.col("own") == count - 1) & (F.col("other") == count - 2))
+        g = part.otherwise(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")))
+        rows = rows.select(g.alias("g"), "node", "rep", "comp", F.when(within, 0).otherwise(F.col("own") + 1).cast("int").alias("block"), "sig")
+        return rows.repartition("g").sortWithinPartitions("g")
 
     def sets(self, ids: DataFrame, name: str) -> DataFrame:
         """(rep, shingles) of some representatives. A bitmap of fixed size keeps most other texts from going over the
@@ -364,14 +387,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     reps = scratch.save(reps, "reps")
     join = _Join(docs, reps, scratch)
 
-    # nodes that a task can hold; larger ones branch further, unless they are one component
+    # nodes that a task can hold, whole or by blocks; larger ones branch further, unless they are one component
     nodes, held, depth, bits = reps.select("rep", "sig").mapInArrow(lean(_roots), "node long, rep long"), None, START, None
     while True:
         nodes = scratch.save(nodes, f"nodes_{depth}")
         size = nodes.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
         full = scratch.save(nodes.join(size, "node"), f"full_{depth}")
         scratch.drop(f"nodes_{depth}")
-        part, large = full.where(F.col("size") <= HELD), full.where(F.col("size") > HELD)
+        most = HELD * BLOCKS // 2
+        part, large = full.where(F.col("size") <= most), full.where(F.col("size") > most)
         held = part if held is None else held.unionByName(part)
         if large.isEmpty():
             break
@@ -381,7 +405,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         nodes = join.mixed(large).join(join.sigs, "rep").select("node", "rep", "sig").mapInArrow(lean(_branches(depth)), "node long, rep long")
         depth += 1
 
-    # stars within nodes; those of large ones again and again while that helps, the first round included
+    # stars within nodes or blocks; those of large nodes again and again while that helps, the first round included
     link, some = "a long, b long, est double", held.where(F.col("size") > SMALL)
     now, n = join.labelled(held) if join.comp is None else join.mixed(held), join.left(some)
     while True:
@@ -392,8 +416,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         now = join.mixed(some)
 
     # what is left is compared node by node
-    rest = scratch.save(join.grouped(join.mixed(held)).mapInArrow(_by_group(_closeness(bits)), "g long, rep long, comp long"), "rest")
-    full = rest.join(join.sets(rest.select("rep"), "rest"), "rep").repartition("g").sortWithinPartitions("g").select("g", "rep", "comp", "shingles")
+    rest = scratch.save(join.grouped(join.mixed(held), pairs=True).mapInArrow(_by_group(_closeness(bits)), "g long, rep long, comp long, block int"), "rest")
+    full = rest.join(join.sets(rest.select("rep"), "rest"), "rep").repartition("g").sortWithinPartitions("g").select("g", "rep", "comp", "block", "shingles")
     more = scratch.save(full.mapInArrow(_by_group(_linked, 256), "a long, b long"), "more_links")
     join.add(more, "last")
     ids = join.comp.toDF("rep", "component")

@@ -75,6 +75,49 @@ def test_rounds_that_join_nothing_end(spark, monkeypatch):
     assert all(x.component_id == x.doc_id for x in got.collect()) and len(dealt) == 1
 
 
+def variants(n, seed=4):
+    """Texts of one origin, most of them a little too far from each other to be linked."""
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    base, docs = [word() for _ in range(150)], []
+    for i in range(n):
+        text = list(base)
+        for k in r.sample(range(150), r.choice([1, 4, 5, 6])):
+            text[k] = word()
+        docs.append((i, " ".join(text)))
+    return docs
+
+
+def test_a_large_group_is_dealt_by_blocks(spark, monkeypatch):
+    """Rows of mixed nodes stay in proportion to the texts while blocks suffice, and nothing is lost."""
+    monkeypatch.setattr(near_dups, "HELD", 32)
+    docs, dealt = variants(160), []
+    mixed = near_dups._Join.mixed
+    monkeypatch.setattr(near_dups._Join, "mixed", lambda self, members: dealt.append(mixed(self, members)) or dealt[-1])
+    grouped, rows = near_dups._Join.grouped, []
+    monkeypatch.setattr(near_dups._Join, "grouped", lambda self, some, **kw: rows.append(some.count()) or grouped(self, some, **kw))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dups.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    want = brute.near_duplicates(docs)
+    assert got == want and 3 < len({c for _, c in want.values()}) < 157
+    assert len(dealt) == 1 and max(rows) <= near_dups.TREES * near_dups.BRANCH**near_dups.START * len(docs)
+
+
+def test_each_pair_of_a_node_dealt_by_blocks_meets_once(spark, monkeypatch):
+    monkeypatch.setattr(near_dups, "HELD", 8)
+    for n in (8, 9, 30):
+        reps = spark.createDataFrame([(i, b"") for i in range(n)], "rep long, sig binary")
+        join = near_dups._Join(None, reps, None)
+        rows = reps.selectExpr("7L as node", "rep", "rep as comp", f"{n}L as size")
+        met = np.zeros((n, n), int)
+        for _, t in join.grouped(rows, pairs=True).toPandas().groupby("g"):
+            for i, x in zip(t["rep"], t["block"], strict=True):
+                for j, y in zip(t["rep"], t["block"], strict=True):
+                    met[i, j] += i < j and (x != y or x == 0)
+        assert (met == np.triu(np.ones((n, n), int), 1)).all()
+        dealt = [r.rep for r in join.grouped(rows).collect()]
+        assert sorted(dealt) == list(range(n))
+
+
 def test_each_close_pair_counts_in_one_node():
     r = np.random.default_rng(2)
     base = r.integers(0, 1 << 32, near_dups.WIDTH, dtype=np.uint32)
