@@ -21,6 +21,26 @@ def test_pieces_encode_like_whole_texts(texts):
     assert [x.tolist() for x in ENCODER.texts(pa.array(texts, pa.string()))] == [PLAIN.encode_ordinary(t) for t in texts]
 
 
+def test_many_pieces_take_few_calls(monkeypatch):
+    texts = [" ".join(f"w{k}é{n}" for k in range(400)) for n in range(5)] + ["odd\u00a0", " odd\u00a0", None, "  "]
+    encoder, calls = p.Encoder(RANKS), []
+    monkeypatch.setattr(encoder, "encode", lambda t: calls.append(t) or PLAIN.encode_ordinary(t))
+    assert [x.tolist() for x in encoder.texts(pa.array(texts))] == [PLAIN.encode_ordinary(t or "") for t in texts]
+    assert len(calls) < 20
+    del calls[:]
+    assert [x.tolist() for x in encoder.texts(pa.array(texts))] == [PLAIN.encode_ordinary(t or "") for t in texts] and not calls
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([b" a", b" b9", b"\n\nc", b"  ", b"\xc2\xa0", b"\xe2\x80", b"\xff", b"\xc3\xa9", b"'s", b" \xe2\x80\x8a", b"d"])).map(b"".join), max_size=6), st.booleans())
+def test_pieces_of_any_bytes_with_a_short_memory(texts, short):
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(p, "KNOWN", 3 if short else 1000)
+        encoder = p.Encoder(RANKS)
+        for part in (texts[:2], texts[1:], texts):
+            assert [x.tolist() for x in encoder.texts(pa.array(part, pa.binary()))] == [PLAIN.encode_ordinary(t.decode("utf-8", "replace")) for t in part]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(1, 20), max_size=40))
 def test_best_fit_against_plain_search(sizes):
